@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import mixing, neardup, quality, secrets, substrings, urls
+from engram.llm import decontaminate, mixing, neardup, quality, secrets, substrings, urls
 from engram.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.digest(F.col("s.base")), 256).alias("base_sha256"), secrets.digest(F.col("s.spans")).alias("spans"), "s.n_owned", "s.n_copied")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -44,5 +48,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "j.host", "j.path", "j.rule", "j.verdict")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_source_mix, op4_secret_scan, op8_substring_dedup, op9_minhash_dedup, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_source_mix, op4_secret_scan, op7_decontamination, op8_substring_dedup, op9_minhash_dedup, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
