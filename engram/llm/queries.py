@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontaminate, mixing, neardup, quality, secrets, substrings, urls
+from engram.llm import decontaminate, langid, mixing, neardup, quality, secrets, substrings, toxicity, urls
 from engram.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = quality.apply_rules(docs, out="q")
@@ -30,6 +34,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.digest(F.col("s.base")), 256).alias("base_sha256"), secrets.digest(F.col("s.spans")).alias("spans"), "s.n_owned", "s.n_copied")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +56,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "j.host", "j.path", "j.rule", "j.verdict")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_source_mix, op4_secret_scan, op7_decontamination, op8_substring_dedup, op9_minhash_dedup, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mix, op4_secret_scan, op5_language_id, op7_decontamination, op8_substring_dedup, op9_minhash_dedup, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
