@@ -7,11 +7,12 @@ permutations and bands of 5, a pair at similarity 0.8 misses all 32 bands with p
 Buckets never emit all their pairs:
 
 1. Equal sets are one class, found by fingerprint; only the least document of a class goes on.
-2. Every member of a bucket is confirmed against the bucket's least document, on full sets. Confirmed links are
-   joined to components, which settles groups of copies of any size with one pair per member and bucket.
+2. Every member of a bucket is confirmed on full sets against the bucket's most central document, the one whose
+   buckets are largest. Confirmed links are joined to components, which settles groups of copies of any size with one
+   pair per member and bucket.
 3. Buckets that still hold several components: small ones compare the members of different components; the documents
-   of larger ones go through an exact prefix filter (rarest shingles first), which needs no bound on group size.
-   Components over all links are the result.
+   of larger ones go through an exact prefix and position filter (rarest shingles first), which needs no bound on
+   group size. Components over all links are the result.
 
 Edge cases: null, empty or blank text has an empty set, no links, and is its own component; a text of fewer words than
 a shingle is one shingle; ties on the least id cannot occur between different ids; rows that repeat an id share its
@@ -113,12 +114,16 @@ def components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     sets = sig.where("n > 0 and id is not null").groupBy("fp", "n").agg(F.min("id").alias("rep"))
     rep_of = sig.select("id", "n", "fp").join(sets, ["fp", "n"], "left")
     reps = sig.join(sets.select(F.col("rep").alias("id"), F.col("n").alias("n2")), "id").where("n = n2").select("id", "n", "keys").dropDuplicates(["id"])
-    # 2. buckets: the least document against each member
+    # 2. buckets: one central document against each member
     rows = reps.select("id", "n", F.explode("keys").alias("k"))
-    buckets = rows.groupBy("k").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
-    members = scratch.save(rows.join(buckets, "k").select("k", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "m"), "members")
+    sizes = rows.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+    shared = scratch.save(rows.join(sizes, "k").select("k", "id", "n", "m"), "shared")
+    central = shared.groupBy("id").agg(F.sum("m").alias("c"))
+    pivots = shared.join(central, "id").groupBy("k").agg(F.max(F.struct("c", (-F.col("id")).alias("low"), "n")).alias("p"))
+    members = scratch.save(shared.join(pivots, "k").select("k", "id", "n", (-F.col("p.low")).alias("pivot"), F.col("p.n").alias("pivot_n"), "m"), "members")
+    scratch.drop("shared")
     alike = lambda x, y: (100 * F.least(F.col(x), F.col(y)) >= percent * F.greatest(F.col(x), F.col(y)))
-    first = scratch.save(members.where((F.col("id") != F.col("pivot")) & alike("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "first_pairs")
+    first = scratch.save(members.where((F.col("id") != F.col("pivot")) & alike("n", "pivot_n")).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct(), "first_pairs")
     wanted = members.select("id").distinct()
     texts = scratch.save(source.join(wanted, "id").dropDuplicates(["id"]), "texts")
     links = scratch.save(verify(first, texts, shingle, percent), "first_links")
@@ -159,8 +164,11 @@ def _prefix_pairs(rows: DataFrame, texts: DataFrame, shingle: int, percent: int,
     df = cells.join(cells.groupBy("s").agg(F.count("*").alias("df")), "s")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))
     prefix = df.withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
-    x, y = prefix.select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), prefix.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    return x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike("na", "nb")).select("a", "b")
+    side = lambda x: prefix.select("s", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"), (F.col("n") - F.col("r") + 1).alias(f"o{x}"))
+    # what is common lies at or behind the first common shingle of both orders
+    most = F.least("oa", "ob")
+    possible = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+    return side("a").join(side("b"), "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike("na", "nb") & possible).select("a", "b")
 
 
 def miss_probability(similarity: float, permutations: int = 80, band_rows: int = 5) -> float:
