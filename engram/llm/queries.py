@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontaminate, langid, mixing, neardup, quality, secrets, substrings, toxicity, urls
+from engram.llm import decontaminate, html_extract, langid, mixing, neardup, quality, secrets, substrings, toxicity, urls
 from engram.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return df.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,5 +61,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "j.host", "j.path", "j.rule", "j.verdict")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mix, op4_secret_scan, op5_language_id, op7_decontamination, op8_substring_dedup, op9_minhash_dedup, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mix, op4_secret_scan, op5_language_id, op6_html_extraction, op7_decontamination, op8_substring_dedup, op9_minhash_dedup, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
