@@ -178,81 +178,6 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, train_rows:
     return packed(True), packed(False), float(min(max(prior or 0.1, 0.005), 0.9))
 
 
-def score(self, rows: np.ndarray, w: np.ndarray, b: float, power: float) -> np.ndarray:
-        out = []
-        for part in np.array_split(rows, max(1, len(rows) // 500)):
-            index, value, row = self.take(part, power)
-            out.append(b + np.bincount(row, value * w[index], len(part)))
-        return np.concatenate(out)
-
-
-def train(p: Sparse, pr: np.ndarray, u: Sparse, ur: np.ndarray, prior: float, bits: int, power: float, l2: float, rate: float, epochs: int = 25, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias on the rows ``pr`` of P and ``ur`` of U, after Adam steps on the non-negative risk with the logistic loss."""
-    rng = np.random.default_rng(seed)
-    df = np.bincount(u.index, minlength=1 << bits) + np.bincount(p.index, minlength=1 << bits)
-    live = df >= 3
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    w, b, m, v, mb, vb, t = np.zeros(1 << bits), float(np.log(prior / (1 - prior))), np.zeros(1 << bits), np.zeros(1 << bits), 0.0, 0.0, 0
-    for _ in range(epochs):
-        order = rng.permutation(ur)
-        for at in range(0, len(order), batch):
-            nu, np_ = min(batch, len(order) - at), min(len(pr), batch // 4)
-            iu, xu, ru = u.take(order[at : at + batch], power)
-            ip, xp, rp = p.take(rng.choice(pr, np_, replace=False), power)
-            fu, fp = b + np.bincount(ru, xu * w[iu], nu), b + np.bincount(rp, xp * w[ip], np_)
-            if np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean() < 0:
-                gu, gp = -sigmoid(fu) / nu, prior * sigmoid(fp) / np_
-            else:
-                gu, gp = sigmoid(fu) / nu, np.full(np_, -prior / np_)
-            g = l2 * w + np.bincount(iu, xu * gu[ru], 1 << bits) + np.bincount(ip, xp * gp[rp], 1 << bits)
-            g[~live] = 0
-            gb, t = gu.sum() + gp.sum(), t + 1
-            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
-            b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return w, b
-
-
-def fit(p: Sparse, u: Sparse, prior: float, bits: int = 18, seed: int = 5) -> Model:
-    """The best of ``SETTINGS`` on rows kept aside, with its cut."""
-    if len(p) < 2 or len(u) < 2:
-        return Model(bits)
-    rng = np.random.default_rng(seed)
-    po, uo = rng.permutation(len(p)), rng.permutation(len(u))
-    a, b = max(1, len(p) // 4), max(1, len(u) // 4)
-    best: tuple[float, Model] | None = None
-    for power, l2, rate in SETTINGS:
-        w, bias = train(p, po[a:], u, uo[b:], prior, bits, power, l2, rate)
-        sp, su = p.score(po[:a], w, bias, power), u.score(uo[:b], w, bias, power)
-        cuts = np.unique(np.concatenate([sp, su]))
-        recall = 1 - np.searchsorted(np.sort(sp), cuts, "left") / len(sp)
-        share = 1 - np.searchsorted(np.sort(su), cuts, "left") / len(su)
-        gain = recall**2 / np.maximum(share, prior / 2)
-        i = int(gain.argmax())
-        below = sp[sp < cuts[i]].tolist() + su[su < cuts[i]].tolist()
-        cut = (cuts[i] + max(below)) / 2 if below else cuts[i]
-        if best is None or gain[i] > best[0]:
-            best = gain[i], Model(bits, power, bias, float(cut), w.astype(np.float32))
-    return best[1]
-
-
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, train_rows: Column, positives: int, unlabelled: int, bits: int) -> tuple[Sparse, Sparse, float]:
-    """Bounded, seeded samples of P and U as features, and the share of toxic among labelled training rows."""
-    spread = F.xxhash64(F.col(key), F.lit(11))
-    known = labels.where(train_rows).select(key, "toxic").distinct()
-    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    ids = docs.where(train_rows).select(key)
-    p = ids.join(known.where("toxic = 1").select(key), key, "left_semi").orderBy(spread, key).limit(positives).select(key, F.lit(True).alias("positive"))
-    u = ids.orderBy(F.xxhash64(F.col(key), F.lit(12)), key).limit(unlabelled).select(key, F.lit(False).alias("positive"))
-    chosen = p.union(u)  # at most positives + unlabelled rows, hence the broadcast
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select("positive", text).mapInArrow(feature_rows(bits), "positive boolean, index binary, count binary").collect()
-    rows.sort(key=lambda r: (r["positive"], bytes(r["index"])))  # the same order on every run
-    out: tuple[Rows, Rows] = ([], [])
-    for r in rows:
-        out[0 if r["positive"] else 1].append((np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int32)))
-    return *out, float(min(max(prior or 0.1, 0.005), 0.9))
-
-
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, score)`` of every document: 0.5 at the model's cut. A document is one sum over its distinct words."""
 
