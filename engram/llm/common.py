@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from engram.operators.components import connected_components  # noqa: F401
+from engram.sources.scratch import Scratch
+
 #: Fixed value: the white space that separates words, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
 
@@ -34,32 +34,6 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-class Scratch:
-    """Parquet tables in the folder that the cluster shares (``spark.checkpoint.dir``).
-
-    Writing a table cuts lineage: what follows survives the loss of any executor. Where the setting is absent,
-    as in local tests, a temporary folder of this machine stands in.
-    """
-
-    _local: str | None = None
-
-    def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            Scratch._local = Scratch._local or tempfile.mkdtemp(prefix="engram-")
-            base = f"file://{Scratch._local}"
-        self.spark, self.path = spark, f"{base.rstrip('/')}/engram-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def global_rank(df: DataFrame, order: Sequence[Column], scratch: Scratch, name: str, rank: str = "rank") -> DataFrame:
     """``df`` with a dense 0-based position in the total order ``order``, computed without a single-task sort.
 
@@ -75,40 +49,3 @@ def global_rank(df: DataFrame, order: Sequence[Column], scratch: Scratch, name:
     starts = cut.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"_part": p, "_offset": o} for p, o in offsets])), "array<struct<_part:int,_offset:bigint>>")))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return cut.withColumn(rank, within).join(F.broadcast(starts), "_part").withColumn(rank, F.col(rank) - 1 + F.col("_offset")).drop("_part", "_offset")
-
-
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:
-    """Components of the undirected graph ``edges(a, b)`` as ``(node, component)``, component = least node.
-
-    Alternating large-star and small-star steps: every step is a partially aggregated minimum and an equi-join whose
-    hot side adaptive execution can split, so a hub costs no more than its edges. Each round is written to scratch.
-    No row for a node without an edge to another node.
-    """
-    cur = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
-    state, done = _digest(cur), cur.isEmpty()
-    for i in range(1, max_rounds + 1):
-        if done:
-            break
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = scratch.save(large.distinct(), f"{name}{i}l")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-        nxt = scratch.save(small.distinct(), f"{name}{i}")
-        scratch.drop(f"{name}{i}l")
-        after = _digest(nxt)
-        scratch.drop(f"{name}{i - 1}")
-        done, state, cur = after == state, after, nxt
-    else:
-        raise RuntimeError("components did not settle")
-    roots = cur.select(F.col("v").alias("node")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
-
-
-def _digest(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
