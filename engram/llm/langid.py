@@ -1,8 +1,8 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
-A word's features are itself and its character 2- to 5-grams between ``<`` and ``>``, hashed into buckets. A text is the
-average of its features' embeddings; a linear softmax gives the language. As both layers are linear up to the softmax,
-prediction needs one small vector per distinct word, and a text is a sum over its words.
+The features of a text are its character 2- to 5-grams, lower-cased, with one blank for all that is no letter, hashed
+into buckets. A text is the average of its features' embeddings; a linear softmax gives the language. As both layers are
+linear up to the softmax, prediction adds up one small vector per gram.
 
 Training takes a bounded, seeded sample (``rows`` documents) of labelled texts outside the held-out fold. A fifth of it
 is kept aside: a temperature calibrates the probabilities on it, and the least score whose accepted texts reach
@@ -19,47 +19,61 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.toxicity import Rows, fold
 
-MARKS = ".,;:!?\"'()[]{}#*$%&|<>0123456789-_=+/\\@~`^"
+BLANK = 32
+#: Characters scored at a time.
+PIECE = 1 << 18
 
 
-def subwords(word: str, bits: int) -> list[int]:
-    """Hashed features of one word; none if it has no letter."""
-    w = word.lower().strip(MARKS)
-    if not any(map(str.isalpha, w)):
-        return []
-    w = f"<{w[:40]}>"
-    grams = [w, *(w[i : i + n] for n in range(2, 6) for i in range(len(w) - n + 1) if n < len(w))]
-    return [xxhash.xxh32_intdigest(g) & ((1 << bits) - 1) for g in grams]
+def letters() -> np.ndarray:
+    """Code point to its lower-case letter, or to a blank; beyond the basic plane ``codes`` asks per character."""
+    table = np.full(1 << 16, BLANK, np.uint32)
+    for i in range(1 << 16):
+        c = chr(i)
+        if c.isalpha():
+            low = c.lower()
+            table[i] = ord(low) if len(low) == 1 else i
+    return table
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text) and any(map(str.isalpha, text))
+def codes(text: str, table: np.ndarray) -> np.ndarray:
+    """Lower-case letters with one blank for every run of other characters, blanks at both ends."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    high = c >= 1 << 16
+    out = table[np.where(high, 0, c)]
+    if high.any():
+        found = {x: x if chr(x).isalpha() else BLANK for x in np.unique(c[high]).tolist()}
+        out[high] = [found[x] for x in c[high].tolist()]
+    out = np.concatenate([[BLANK], out, [BLANK]]).astype(np.uint32)
+    return out[np.concatenate([[True], (out[1:] != BLANK) | (out[:-1] != BLANK)])]
+
+
+def grams(c: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Buckets of the character 2- to 5-grams, in pieces of one length each."""
+    h = c * np.uint32(0x9E3779B1)
+    for n in range(2, 6):
+        if len(c) < n:
+            return
+        h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + c[n - 1 :]
+        yield ((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
 
 
 def feature_rows(bits: int):
     """For ``mapInArrow``: (lang, text) to (lang, bucket numbers, counts), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        table = letters()
         for batch in batches:
             index, count = [], []
             for t in batch.column(1).to_pylist():
-                f: list[int] = []
-                for w in (t or "").split():
-                    if w not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[w] = subwords(w, bits)
-                    f += known[w]
-                i, n = np.unique(np.array(f, np.int32), return_counts=True)
-                index.append(i.tobytes())
-                count.append(n.astype(np.int32).tobytes())
+                total = sum((np.bincount(g, minlength=1 << bits) for g in grams(codes(t or "", table), bits)), np.zeros(1 << bits, np.int64))
+                i = np.flatnonzero(total)
+                index.append(i.astype(np.int32).tobytes())
+                count.append(np.minimum(total[i], 32767).astype(np.int16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.binary()), pa.array(count, pa.binary())], ["lang", "index", "count"])
 
     return run
@@ -87,7 +101,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: Rows, langs: list[str], bits: int = 16, dim: int = 16, epochs: int = 4, batch: int = 64, rate: float = 0.5, precision: float = 0.99, seed: int = 9) -> Model:
+def fit(rows: Rows, langs: list[str], bits: int = 16, dim: int = 8, epochs: int = 4, batch: int = 64, rate: float = 0.5, precision: float = 0.99, seed: int = 9) -> Model:
     """SGD with a falling rate, then temperature and rejection level on the rows kept aside."""
     keep = [i for i, (x, _) in enumerate(rows) if len(x)]
     rows, langs = [rows[i] for i in keep], [langs[i] for i in keep]
@@ -132,38 +146,24 @@ def fit(rows: Rows, langs: list[str], bits: int = 16, dim: int = 16, epochs: int
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, lang_pred, score, accepted)`` of every document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(model.langs)
-
-        class Words(dict):
-            """Row number of a word in a table of summed logits and feature counts."""
+    bits = model.bits
 
-            def __init__(self):
-                super().__init__()
-                self.table = np.zeros((1 << 12, n + 1))
-
-            def __missing__(self, word: str) -> int:
-                f = subwords(word, model.bits)
-                i = self[word] = len(self)
-                if i >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[i, :n], self.table[i, n] = (model.logits[f].sum(axis=0), len(f)) if f else (0, 0)
-                return i
-
-        known = Words()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, table, logits = len(model.langs), letters(), model.logits.astype(np.float32)
         for batch in batches:
             lang, score = [], []
             for t in batch.column(1).to_pylist():
-                if not n or not has_letter(t):
+                c = codes(t or "", table)
+                if not n or (c == BLANK).all():
                     lang.append("und")
                     score.append(0.0)
                     continue
-                if len(known) > 200_000:
-                    known = Words()
-                words = t.split()
-                ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))  # may grow the table
-                s = known.table[ids].sum(axis=0)
-                p = _softmax(((s[:n] / max(s[n], 1) + model.bias) / model.temperature)[None])[0]
+                total, count = np.zeros(n), 0
+                for at in range(0, len(c), PIECE):  # long texts in pieces that share a gram's length
+                    for g in grams(c[at : at + PIECE + 4], bits):
+                        total += logits[g].sum(axis=0, dtype=np.float64)
+                        count += len(g)
+                p = _softmax(((total / max(count, 1) + model.bias) / model.temperature)[None])[0]
                 lang.append(model.langs[int(p.argmax())])
                 score.append(float(p.max()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([s >= model.reject and x != "und" for s, x in zip(score, lang, strict=True)], pa.bool_())], [key, "lang_pred", "score", "accepted"])
@@ -171,13 +171,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, f"{key} bigint, lang_pred string, score double, accepted boolean")
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, rows: int = 6_000, bits: int = 16) -> DataFrame:
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, rows: int = 2_500, bits: int = 16) -> DataFrame:
     """``(key, held_out, lang_pred, score, accepted)`` for every document, learnt outside the held-out fold."""
     outside = F.coalesce(fold(key, folds) != held, F.lit(True))
     chosen = docs.where(outside & F.col(lang).isNotNull()).select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(21)), key).limit(rows)
     picked = docs.where(outside & F.col(lang).isNotNull()).select(key, lang, text).join(F.broadcast(chosen), key)  # at most ``rows`` ids
     found = picked.select(lang, text).mapInArrow(feature_rows(bits), "lang string, index binary, count binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["index"]), bytes(r["count"])))
-    model = fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int32)) for r in found], [r["lang"] for r in found], bits)
+    model = fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int16)) for r in found], [r["lang"] for r in found], bits)
     out = predict(docs, model, key, text)
     return out.select(key, F.coalesce(fold(key, folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
