@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engram.llm import decontaminate, html_extract, langid, mixing, neardup, quality, secrets, substrings, toxicity, urls
 from engram.llm.common import Scratch, table
+from engram.llm.oracles import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,4 +63,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mix, op4_secret_scan, op5_language_id, op6_html_extraction, op7_decontamination, op8_substring_dedup, op9_minhash_dedup, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {}

@@ -47,7 +47,7 @@ BASE = (
 )
 #: Candidates that need ownership evidence. ``mixed``: the value must hold a digit, a small and a capital letter.
 WIDE = (
-    Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,40}PRIVATE KEY-----", hint="PRIVATE KEY-----"),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
     Kind("provider", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})", hint="gh._|xox|sk_live_|AIza"),
     Kind("mixed", r"[A-Za-z0-9_-]{24,}", mixed=True),
