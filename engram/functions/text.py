@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Negation phrases, English then Russian.
 NEGATIONS = (
@@ -52,7 +53,7 @@ def stemmed(text: str | None) -> str:
     return " ".join(stem(w) for w in unicodedata.normalize("NFC", text or "").lower().split())
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def stemmed_flip(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The negative particle stands in one stemmed text only, where stemming changed one of them. Needs NFC, hence Arrow."""
     for a, b in pairs:
