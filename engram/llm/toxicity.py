@@ -113,14 +113,14 @@ class Sparse:
         return np.concatenate(out)
 
 
-def train(p: Sparse, pr: np.ndarray, u: Sparse, ur: np.ndarray, prior: float, bits: int, power: float, l2: float, rate: float, epochs: int = 25, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias on the rows ``pr`` of P and ``ur`` of U, after Adam steps on the non-negative risk with the logistic loss."""
+def train(p: Sparse, pr: np.ndarray, u: Sparse, ur: np.ndarray, prior: float, bits: int, power: float, l2: float, rate: float, steps: int = 400, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Weights and bias on the rows ``pr`` of P and ``ur`` of U, after about ``steps`` Adam steps on the non-negative risk with the logistic loss."""
     rng = np.random.default_rng(seed)
     df = np.bincount(u.index, minlength=1 << bits) + np.bincount(p.index, minlength=1 << bits)
     live = df >= 3
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     w, b, m, v, mb, vb, t = np.zeros(1 << bits), float(np.log(prior / (1 - prior))), np.zeros(1 << bits), np.zeros(1 << bits), 0.0, 0.0, 0
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(1, -(-len(ur) // batch)))):
         order = rng.permutation(ur)
         for at in range(0, len(order), batch):
             nu, np_ = min(batch, len(order) - at), min(len(pr), batch // 4)
