@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import scoring, text, vectors
-from engram.operators import beliefs, episodic, evaluation, graph, maintenance, tasks, vector
+from engram.operators import beliefs, episodic, evaluation, graph, lookup, maintenance, tasks, vector
 from engram.plans import retrieval
 from engram.schema import STRATEGIES
 from engram.sources import tables as T
@@ -277,13 +277,13 @@ def dim_mismatch(s, d):
 
 @query("SELECT doc_id, source, lang FROM documents WHERE source = 'src3' OR lang = 'es' OR doc_id = 7 ORDER BY doc_id DESC LIMIT 50")
 def provenance_or_filter(s, d):
-    x = T.read(s, d, "documents").select("doc_id", "source", "lang")
-    return x.where((F.col("source") == "src3") | (F.col("lang") == "es") | (F.col("doc_id") == 7)).orderBy(F.desc("doc_id")).limit(50)
+    x = T.read(s, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("conversation_id"), F.col("doc_id").alias("message_id"), F.lit(False).alias("archived"), F.col("doc_id").alias("created_at"))
+    return lookup.provenance(x, conversation="es", message=7, source="src3").select(F.col("id").alias("doc_id"), "source", F.col("conversation_id").alias("lang"))
 
 
 @query(f"WITH {ENTS} SELECT id, category, created_hours FROM ents WHERE NOT archived ORDER BY created_hours, id LIMIT 50")
 def entity_timeline(s, d):
-    return T.entities(s, d).where("not archived").select("id", "category", "created_hours").orderBy("created_hours", "id").limit(50)
+    return lookup.entity_timeline(T.entities(s, d), F.col("created_hours"), 50).select("id", "category", "created_hours")
 
 
 @query(f"WITH {ENTS}, e2 AS (SELECT vec_id AS a, vec_id + 10 AS b FROM embeddings WHERE vec_id % 40 < 30 AND vec_id + 10 < (SELECT count(*) FROM embeddings)), comp AS (SELECT id AS node, (id // 40) * 40 + id % 10 AS component FROM ents) SELECT component, count(*) AS size, round((2.0::DOUBLE * (count(*) - 1)) / count(*), 6) AS avg_degree FROM comp WHERE node IN (SELECT id FROM ents WHERE NOT archived) OR component IN (SELECT component FROM comp c JOIN ents e ON e.id = c.node AND NOT e.archived WHERE e.id IN (SELECT a FROM e2 UNION SELECT b FROM e2)) GROUP BY component")
@@ -566,7 +566,7 @@ def confusion_metrics(s, d):
 
 @query("SELECT event_type, " + ", ".join(f"max(CASE WHEN i = least(n * {p} // 100, n - 1) THEN value END) AS p{p}" for p in (50, 95, 99)) + " FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY 1")
 def latency_percentiles(s, d):
-    return evaluation.nearest_rank(T.read(s, d, "events"), "event_type", "value")
+    return evaluation.nearest_rank(T.read(s, d, "events"), "event_type", "value", Scratch(s))
 
 
 @query("SELECT le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0])::DOUBLE AS le) GROUP BY le")
@@ -647,6 +647,19 @@ def purge_entities(s, d):
     return graph.purge(e, T.edges(s, d), e.where("id % 7 = 0"))[1]
 
 
+@query(f"WITH {ENTS} SELECT id, category, category IN ('world','opinion') AS ok FROM ents WHERE NOT archived")
+def vocabulary_check(s, d):
+    good, bad = lookup.validate(T.entities(s, d).where("not archived"), categories=("world", "opinion"))
+    return good.select("id", "category", F.lit(True).alias("ok")).union(bad.select("id", "category", F.lit(False).alias("ok")))
+
+
+@query(f"WITH {ENTS} SELECT category AS cluster, 'cluster of ' || count(*) AS content, count(*) AS members, 1 AS generation FROM ents WHERE category IN ('world','opinion') GROUP BY 1")
+def compress_clusters(s, d):
+    e = T.entities(s, d)
+    c = maintenance.compress(e, e.where("category in ('world', 'opinion')").select(F.col("category").alias("cluster"), "id"), lambda x: F.concat(F.lit("cluster of "), F.size("compressed_from")))
+    return c.select("cluster", "content", F.size("compressed_from").cast("bigint").alias("members"), "generation")
+
+
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def conversation_stats(s, d):
     return T.read(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.max("turn").alias("last_turn"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.operators.ranks import global_rank
+from engram.sources.scratch import Scratch
+
 #: Upper bounds of the latency histogram, in seconds.
 BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 
@@ -47,20 +52,30 @@ def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return c.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def nearest_rank(df: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+def nearest_rank(df: DataFrame, group: str, value: str, scratch: Scratch, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """``sorted[n * p / 100]`` per group: no interpolation.
 
-    Values are ranked with a window and picked by position, so no group is collected into an array.
+    Positions come from range partitions, so a group that holds most rows is not sorted in one task.
     """
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(group)
-    ranked = df.select(group, value).withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    pick = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(value))).alias(f"p{p}")
-    return ranked.groupBy(group).agg(*[pick(p) for p in percents])
+    ranked = scratch.save(global_rank(df.select(group, value).where(F.col(value).isNotNull()), [F.col(group), F.col(value)], scratch, "percentile_parts", "i"), "percentile_ranks")
+    size = ranked.groupBy(group).agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    wanted = size.select(group, "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.col("first") + F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)).alias("i")) for p in percents])).alias("w"))
+    found = wanted.select(group, "w.p", "w.i").join(ranked.select("i", value), "i")
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("p") == p, F.col(value))).alias(f"p{p}") for p in percents])
 
 
 def histogram(df: DataFrame, value: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
     """Cumulative counts at fixed bounds: ``(le, n)``."""
     counts = df.agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)])).alias("x")).select("x.*")
+
+
+def run(retrieve: Callable[[DataFrame], DataFrame], queries: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """One row of precision, recall, MRR and mean nDCG for an injected retrieval ``queries -> (query_id, doc_id, rank)``."""
+    results = retrieve(queries)
+    mean = ndcg(results, qrels, k).agg(F.avg("ndcg").alias("ndcg"))
+    return precision_recall(results, qrels, k).crossJoin(mrr(results, qrels)).crossJoin(mean)  # one row each
+
+
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    return df.groupBy(label).agg(F.count("*").alias("n"))

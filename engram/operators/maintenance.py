@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,3 +106,40 @@ def compression_dialog(entities: DataFrame, clusters: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list("id")).alias("compressed_from"),
         F.avg("confidence").alias("confidence"),
     )
+
+
+MAX_GENERATION = 3
+
+
+def compress(entities: DataFrame, clusters: DataFrame, summarize: Callable[[DataFrame], Column], generation: int = 1) -> DataFrame:
+    """Summary nodes of clusters: content from ``summarize`` (a column over dialog and members), members, generation."""
+    if generation > MAX_GENERATION:
+        raise ValueError(f"summaries go up to generation {MAX_GENERATION}")
+    rows = compression_dialog(entities, clusters)
+    return rows.select("cluster", summarize(rows).alias("content"), "compressed_from", "confidence", F.lit(generation).alias("generation"))
+
+
+def recompress(summaries: DataFrame, clusters: DataFrame, summarize: Callable[[DataFrame], Column]) -> DataFrame:
+    """Summaries of summaries: the next generation over clusters of summary nodes ``(cluster, id)``; at most the third."""
+    nodes = summaries.select(F.col("cluster").alias("id"), F.lit("summary").alias("category"), "content", "confidence", "generation").where(F.col("generation") < MAX_GENERATION)
+    top = clusters.join(nodes.select("id", "generation"), "id").groupBy("cluster").agg((F.max("generation") + 1).alias("generation"))
+    rows = compression_dialog(nodes, clusters)
+    return rows.select("cluster", summarize(rows).alias("content"), "compressed_from", "confidence").join(top, "cluster")
+
+
+def regenerate(summaries: DataFrame, entities: DataFrame, stale: DataFrame, summarize: Callable[[DataFrame], Column]) -> DataFrame:
+    """Summary nodes with those named by ``stale(cluster)`` written anew from their members."""
+    members = summaries.join(stale.select("cluster"), "cluster", "left_semi").select("cluster", F.explode("compressed_from").alias("id"), "generation")
+    fresh = compress(entities, members.select("cluster", "id"), summarize).drop("generation").join(members.select("cluster", "generation").distinct(), "cluster")
+    return summaries.join(stale.select("cluster"), "cluster", "left_anti").unionByName(fresh.select(*summaries.columns))
+
+
+def sweep(entities: DataFrame, ttl_hours: float = 90 * 24.0, threshold: float = 0.7, stale_hours: float = 30 * 24.0) -> DataFrame:
+    """One retention pass: expired observations and stale low-confidence entities become archived."""
+    gone = retention_candidates(entities, ttl_hours, None).select("id").union(low_confidence(entities, threshold, stale_hours, None).select("id"))
+    return archive(entities, gone)
+
+
+def compact(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Rewrite a table with files of bounded rows."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
