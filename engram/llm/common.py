@@ -1,16 +1,15 @@
-"""What the training-data operators share: tables, scratch storage, word splitting, distributed ranks and components."""
+"""What the training-data operators share: tables and word splitting, with the core's scratch storage, ranks and components."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from engram.operators.components import connected_components  # noqa: F401
-from engram.sources.scratch import Scratch
+from engram.operators.ranks import global_rank  # noqa: F401
+from engram.sources.scratch import Scratch  # noqa: F401
 
 #: Fixed value: the white space that separates words, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
@@ -32,20 +31,3 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
-
-
-def global_rank(df: DataFrame, order: Sequence[Column], scratch: Scratch, name: str, rank: str = "rank") -> DataFrame:
-    """``df`` with a dense 0-based position in the total order ``order``, computed without a single-task sort.
-
-    Rows are range-partitioned and written once with their partition number, so the sampled ranges are fixed;
-    only one count per partition reaches the driver.
-    """
-    cut = scratch.save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
-    counts = sorted((r["_part"], r["n"]) for r in cut.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    offset, offsets = 0, []
-    for part, n in counts:
-        offsets.append((part, offset))
-        offset += n
-    starts = cut.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"_part": p, "_offset": o} for p, o in offsets])), "array<struct<_part:int,_offset:bigint>>")))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return cut.withColumn(rank, within).join(F.broadcast(starts), "_part").withColumn(rank, F.col(rank) - 1 + F.col("_offset")).drop("_part", "_offset")
