@@ -102,13 +102,18 @@ def compile_rules(rules: tuple[Rule, ...], m: Column) -> Column:
     return F.filter(F.array(*broken), lambda x: x.isNotNull()) if broken else F.expr("cast(array() as array<string>)")
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Counts and verdict of one text as a struct; the metrics are a lambda variable, so they are computed once."""
+
+    def judge(m: Column) -> Column:
+        n, r = m["w"]["n"], m["w"]["r"]
+        base_failed = (n < 50) | (100 * r > 50 * n)
+        counts = [n.alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["lines"]["dup"].alias("n_dup_lines"), r.alias("n_repeat_words")]
+        return let(compile_rules(rules, m), lambda failed: F.struct(*counts, base_failed.alias("base_failed"), failed.alias("failed_rules"), (~base_failed & (F.size(failed) == 0)).alias("kept")))
+
+    return let(base_metrics(text), judge)
+
+
 def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "quality") -> DataFrame:
     """``docs`` with a struct column ``out``: counts, ``base_failed``, ``failed_rules`` and ``kept``."""
-    tmp = f"_{out}_metrics"
-    df = docs.withColumn(tmp, base_metrics(F.col(text)))
-    m = F.col(tmp)
-    n, r = m["w"]["n"], m["w"]["r"]
-    base_failed = (n < 50) | (100 * r > 50 * n)
-    failed = compile_rules(rules, m)
-    df = df.withColumn(out, F.struct(n.alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["lines"]["dup"].alias("n_dup_lines"), r.alias("n_repeat_words"), base_failed.alias("base_failed"), failed.alias("failed_rules"), (~base_failed & (F.size(failed) == 0)).alias("kept")))
-    return df.drop(tmp)
+    return docs.withColumn(out, verdict(F.col(text), rules))
