@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            Scratch._local = Scratch._local or tempfile.mkdtemp(prefix="engram-")
+            if not Scratch._local:
+                Scratch._local = tempfile.mkdtemp(prefix="engram-")
+                atexit.register(shutil.rmtree, Scratch._local, ignore_errors=True)
             base = f"file://{Scratch._local}"
         self.spark, self.path = spark, f"{base.rstrip('/')}/engram-{uuid.uuid4().hex}"
 
