@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.llm.common import Scratch, connected_components
-from engram.llm.shingles import C1, WordHash, finish, shingle_set, split_words
+from engram.llm.shingles import C1, Texts, finish, shingle_set
 
 SIGNATURE = "id bigint, n bigint, fp binary, keys array<bigint>"
 
@@ -46,11 +46,11 @@ def signatures(shingle: int, permutations: int, band_rows: int, seed: int):
         b = rng.integers(0, 2**32, permutations, dtype=np.uint32)
         bands = 2 * permutations // band_rows
         salt = finish(np.arange(1, bands + 1, dtype=np.uint64) * C1)
-        known = WordHash()
+        texts = Texts()
         for batch in batches:
             sizes, prints, keys = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(split_words(text, lower=True), known, shingle)
+            for w in texts.rows(batch.column(1), lower=True):
+                s = shingle_set(w, shingle)
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 if not len(s):
@@ -77,13 +77,11 @@ def confirm(shingle: int, percent: int):
     """The function for ``mapInArrow`` from (a, b, text of a, text of b) to the pairs that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        left, right = Texts(), Texts()
         for batch in batches:
-            keep, last, sa = [], None, None
-            for i, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if sa is None or ta != last:
-                    last, sa = ta, shingle_set(split_words(ta, lower=True), known, shingle)
-                sb = shingle_set(split_words(tb, lower=True), known, shingle)
+            keep = []
+            for i, (wa, wb) in enumerate(zip(left.rows(batch.column(2), lower=True), right.rows(batch.column(3), lower=True), strict=True)):
+                sa, sb = shingle_set(wa, shingle), shingle_set(wb, shingle)
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 if 100 * both >= percent * (len(sa) + len(sb) - both):
                     keep.append(i)
@@ -96,9 +94,9 @@ def explode_set(shingle: int):
     """The function for ``mapInArrow`` from (id, label, text) to (id, label, set size, array of shingle hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        texts = Texts()
         for batch in batches:
-            sets = [shingle_set(split_words(t, lower=True), known, shingle).view(np.int64) for t in batch.column(2).to_pylist()]
+            sets = [shingle_set(w, shingle).view(np.int64) for w in texts.rows(batch.column(2), lower=True)]
             ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
             flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "label", "n", "s"])

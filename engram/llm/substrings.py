@@ -9,8 +9,8 @@ have equal minimizers, so all occurrences of an edge lie in paths of one minimiz
 2. A join brings the aggregate back to the paths. Where every occurrence has the same content the path does not branch:
    it is one compacted repeat, and its coordinates (document, start, length) are removed in all but the least document.
    Minimizer and content are independent 64-bit hashes, so equal coordinates are verified by 128 bits.
-3. Paths that branch are opened into their windows; each window hash gets its least document by a second aggregate and
-   join.
+3. Paths that branch are opened into their distinct windows; each window hash gets its least document by a second
+   aggregate and join.
 4. Spans are gathered per document and the kept words are written out.
 
 Every step is a partially aggregated minimum or an equi-join, so a passage in a third of all documents is one group of
@@ -32,10 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.common import Scratch
-from engram.llm.shingles import WordHash, finish, hash_words, split_words, window_hash
+from engram.llm.shingles import Texts, finish, split_words, window_hash
 
-#: Ratio of the polynomial content hash: odd, and 3 modulo 4, so that swapped words lose a single bit.
-RATIO = 0x9E3779B97F4A7C17
 #: Paths longer than this are cut; only texts that repeat one word have them.
 LONGEST = 4096
 #: Stands for a null id, so that every use of the texts has one plan; owns and loses nothing.
@@ -46,93 +44,85 @@ def paths(k: int, m: int):
     """For ``mapInArrow``: (id, text) to (minimizer, id, start << 13 | windows, content hash) for each path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, width = WordHash(), k - m + 1
-        power = np.ones(1, np.uint64)
+        texts, width = Texts(), k - m + 1
         for batch in batches:
-            cols: tuple[list, list, list, list] = ([], [], [], [])
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = split_words(text)
-                if len(words) < k or key == NO_ID:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, w, bounds in texts.groups(batch.column(1)):
+                n = len(w) - k + 1
+                if n <= 0:
                     continue
-                w = hash_words(words, known)
-                if len(power) <= len(w):
-                    power = np.concatenate([[1], np.cumprod(np.full(2 * len(w), RATIO, np.uint64), dtype=np.uint64)]).astype(np.uint64)
-                least = window_hash(w, m)
-                have = 1
+                least, have = window_hash(w, m), 1
                 while have < width:  # a sliding minimum by doubling
                     step = min(have, width - have)
                     least = np.minimum(least[:-step], least[step:])
                     have += step
-                cut = np.flatnonzero(least[1:] != least[:-1]) + 1
+                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                whole = (doc[:n] == doc[k - 1 :]) & (ids[row + doc[:n]] != NO_ID)  # windows inside one document
+                cut = np.flatnonzero((least[1:] != least[:-1]) | (doc[1:n] != doc[: n - 1]) | (whole[1:] != whole[:-1])) + 1
                 start = np.concatenate([[0], cut])
-                count = np.diff(np.concatenate([start, [len(least)]]))
-                if count.max() > LONGEST:
-                    start = np.concatenate([np.arange(s, s + c, LONGEST) for s, c in zip(start, count, strict=True)])
-                    count = np.diff(np.concatenate([start, [len(least)]]))
-                total = np.concatenate([[np.uint64(0)], np.cumsum(w * power[: len(w)], dtype=np.uint64)])
-                # the sum over a path, moved to one common position: equal words give equal values wherever they start
-                inside = (total[start + count + k - 1] - total[start]) * power[len(w) - start]
-                content = finish(_common(inside, len(w)) ^ count.astype(np.uint64))
-                cols[0].append(least[start])
-                cols[1].append(np.full(len(start), key, np.int64))
-                cols[2].append((start.astype(np.int64) << 13) | count)
-                cols[3].append(content)
-            flat = [np.concatenate(c).view(np.int64) if c else np.empty(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in flat], ["mz", "id", "at", "content"])
+                count = np.diff(np.concatenate([start, [n]]))
+                start, count = start[whole[start]], count[whole[start]]
+                if len(count) and count.max() > LONGEST:
+                    parts = -(-count // LONGEST)
+                    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                    start, count = np.repeat(start, parts) + nth * LONGEST, np.minimum(np.repeat(count, parts) - nth * LONGEST, LONGEST)
+                content = finish(texts.word_powers.spans(w, start, start + count + k - 1) ^ count.astype(np.uint64))
+                at = ((start - bounds[doc[start]]) << 13) | count
+                yield pa.RecordBatch.from_arrays([pa.array(least[start].view(np.int64)), pa.array(ids[row + doc[start]]), pa.array(at), pa.array(content.view(np.int64))], ["mz", "id", "at", "content"])
 
     return run
 
 
-def _common(inside: np.ndarray, n: int) -> np.ndarray:
-    """Undo the factor RATIO ** n, which depends on the document's length."""
-    inverse = pow(pow(RATIO, n, 1 << 64), -1, 1 << 64)
-    return inside * np.uint64(inverse)
+def open_windows(w: np.ndarray, marks: list | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the windows of a document's open paths, in order."""
+    marks = np.array(marks or [], np.int64)
+    marks = ~marks[marks < 0]
+    start, count = marks >> 13, marks & 8191
+    at = np.unique(np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    h = window_hash(w, k)
+    at = at[at < len(h)]
+    return at, h[at]
 
 
 def windows(k: int):
-    """For ``mapInArrow``: (id, text, marks) to (window hash, id, position) for the windows of open paths."""
+    """For ``mapInArrow``: (id, text, marks) to the distinct (window hash, id) of open paths; a repetitive text has few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        texts = Texts()
         for batch in batches:
-            cols: tuple[list, list, list] = ([], [], [])
-            for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                marks = np.array(marks, np.int64)
-                marks = marks[marks < 0]
-                if not len(marks):
-                    continue
-                start, count = (~marks) >> 13, (~marks) & 8191
-                at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                h = window_hash(hash_words(split_words(text), known), k)
-                at = np.unique(at[at < len(h)])
-                cols[0].append(h[at].view(np.int64))
-                cols[1].append(np.full(len(at), key, np.int64))
-                cols[2].append(at)
-            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in flat], ["h", "id", "pos"])
+            hashes, ids = [], []
+            for key, w, marks in zip(batch.column(0).to_pylist(), texts.rows(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                h = np.unique(open_windows(w, marks, k)[1])
+                hashes.append(h.view(np.int64))
+                ids.append(np.full(len(h), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (hashes, ids)], ["h", "id"])
 
     return run
 
 
 def kept_words(k: int):
-    """For ``mapInArrow``: (id, text, marks, positions) to (id, words, removed, hash of the kept words, kept text)."""
+    """For ``mapInArrow``: (id, text, marks, owned hashes) to (id, words, removed, hash of the kept words, kept text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = Texts()
         for batch in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for text, marks, spots in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = split_words(text)
-                n = len(words)
-                if (marks or spots) and n:
-                    marks, spots = np.array(marks or [], np.int64), np.array(spots or [], np.int64)
+            columns = batch.column(1).to_pylist(), texts.rows(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for text, w, marks, late in zip(*columns, strict=True):
+                words, n = split_words(text), len(w)
+                if (marks or late) and n:
+                    spots = np.empty(0, np.int64)
+                    if late:
+                        at, h = open_windows(w, marks, k)
+                        spots = at[np.isin(h.view(np.int64), np.array(late, np.int64))]
+                    marks = np.array(marks or [], np.int64)
                     marks = marks[marks >= 0]
                     begin = np.concatenate([marks >> 13, spots])
                     end = np.concatenate([(marks >> 13) + (marks & 8191) + k - 1, spots + k])
                     step = np.zeros(n + 1, np.int64)
                     np.add.at(step, np.minimum(begin, n), 1)
                     np.add.at(step, np.minimum(end, n), -1)
-                    gone = np.cumsum(step)[:n] > 0
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(step)[:n] == 0).tolist()]
                 kept = b" ".join(words)
                 out[0].append(n)
                 out[1].append(n - len(words))
@@ -143,7 +133,7 @@ def kept_words(k: int):
     return run
 
 
-def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", k: int = 13, m: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", k: int = 13, m: int = 5) -> DataFrame:
     """One row per document: ``(key, n_words, n_removed, kept_sha256, kept_text)``.
 
     A word is removed if a window over it also starts in a document with a smaller id. The marks of shared paths are
@@ -158,9 +148,9 @@ def dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     marks = found.groupBy("id").agg(F.collect_list(F.when(F.col("straight"), F.col("at")).otherwise(F.bitwise_not("at"))).alias("marks"))
     marks = scratch.save(marks, "marks")
     marked = docs.join(marks, "id")
-    edges = marked.where(F.exists("marks", lambda x: x < 0)).mapInArrow(windows(k), "h bigint, id bigint, pos bigint")
+    edges = marked.where(F.exists("marks", lambda x: x < 0)).mapInArrow(windows(k), "h bigint, id bigint")
     owners = edges.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
-    spots = edges.join(owners, "h").where("id > first").groupBy("id").agg(F.collect_list("pos").alias("spots"))
-    final = docs.join(marks, "id", "left").join(spots, "id", "left").select("id", "text", "marks", "spots")
+    late = edges.join(owners, "h").where("id > first").groupBy("id").agg(F.collect_list("h").alias("late"))
+    final = docs.join(marks, "id", "left").join(late, "id", "left").select("id", "text", "marks", "late")
     out = final.mapInArrow(kept_words(k), "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     return out.select(F.nullif("id", F.lit(NO_ID)).alias(key), "n_words", "n_removed", "kept_sha256", "kept_text")

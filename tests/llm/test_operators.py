@@ -483,3 +483,38 @@ def test_block_spreads_over_redirects_unless_allowed(spark):
 def test_url_empty_table(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert urls.judge(df.drop("html"), urls.link_edges(df), Scratch(spark)).count() == 0
+
+
+# word hashes
+
+
+def test_word_hashes_follow_the_words():
+    import numpy as np
+    import pyarrow as pa
+
+    from engram.llm import shingles
+
+    rng = random.Random(9)
+    letters = ["a", "b", "é", " ", "😀", "\x00", "Z"]
+    texts = [None, "", " ", "ab ab", "ab", "AB ab\x0bab", "x" * 5000 + " y"] + ["".join(rng.choice([*letters, " ", "\n", "\x0c"]) for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    old = shingles.PIECE
+    seen: dict[int, bytes] = {}
+    try:
+        for piece in (1 << 19, 64, 7):
+            shingles.PIECE = piece
+            for lower in (False, True):
+                t = shingles.Texts()
+                for column in (pa.array(texts), pa.array(["pad", *texts]).slice(1)):
+                    got = list(t.rows(column, lower))
+                    for text, w in zip(texts, got, strict=True):
+                        raw = (text or "").encode()
+                        words_ = (raw.lower() if lower else raw).split()
+                        assert len(w) == len(words_)
+                        for h, x in zip(w.tolist(), words_, strict=True):
+                            assert seen.setdefault(h, x) == x
+    finally:
+        shingles.PIECE = old
+    assert len(set(seen.values())) == len(seen)
+    p = shingles.Powers(shingles.WORD_RATIO)
+    v = np.arange(1, 50, dtype=np.uint64)
+    assert p.spans(v, np.array([3]), np.array([9]))[0] == p.spans(v[3:], np.array([0]), np.array([6]))[0]
