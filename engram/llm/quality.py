@@ -65,16 +65,14 @@ def repeat_words(w: Column) -> Column:
 def base_metrics(text: Column) -> Column:
     """One struct with the counts of the text; everything a rule can use is derived from it."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, BLANKS, " " * len(BLANKS))) != "")
-    plain = F.translate(F.translate(F.lower(text), EDGE_MARKS, ""), BLANKS, " " * len(BLANKS))
-    solid = F.translate(text, BLANKS, "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    plain = F.translate(F.lower(text), BLANKS + EDGE_MARKS, " " * len(BLANKS))  # blanks become spaces, marks go
     return F.struct(
-        let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r"))).alias("w"),
-        F.length(solid).cast("long").alias("word_chars"),
+        let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r"), F.length(F.array_join(w, "")).cast("long").alias("chars"))).alias("w"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
         F.size(F.filter(F.split(plain, " "), lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop"),
-        (F.length(solid) - F.length(F.translate(solid, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
+        (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
     )
 
 
@@ -87,12 +85,12 @@ def compile_rules(rules: tuple[Rule, ...], m: Column) -> Column:
     n = m["w"]["n"]
     metrics = {
         "n_words": n.cast("double"),
-        "mean_word_chars": ratio(m["word_chars"], n),
+        "mean_word_chars": ratio(m["w"]["chars"], n),
         "symbols_per_word": ratio(m["n_symbols"], n),
         "stop_word_ratio": ratio(m["n_stop"], n),
         "dup_line_ratio": ratio(m["lines"]["dup"], m["lines"]["n"]),
         "repeat_ratio": ratio(m["w"]["r"], n),
-        "capital_ratio": ratio(m["n_capitals"], m["word_chars"]),
+        "capital_ratio": ratio(m["n_capitals"], m["w"]["chars"]),
     }
     broken = []
     for r in rules:
@@ -108,7 +106,7 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     def judge(m: Column) -> Column:
         n, r = m["w"]["n"], m["w"]["r"]
         base_failed = (n < 50) | (100 * r > 50 * n)
-        counts = [n.alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["lines"]["dup"].alias("n_dup_lines"), r.alias("n_repeat_words")]
+        counts = [n.alias("n_words"), m["w"]["chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["lines"]["dup"].alias("n_dup_lines"), r.alias("n_repeat_words")]
         return let(compile_rules(rules, m), lambda failed: F.struct(*counts, base_failed.alias("base_failed"), failed.alias("failed_rules"), (~base_failed & (F.size(failed) == 0)).alias("kept")))
 
     return let(base_metrics(text), judge)
