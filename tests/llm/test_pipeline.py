@@ -69,3 +69,26 @@ def test_mix_stays_near_its_targets(stages):
 def test_run_equals_the_stages(spark, sf, stages):
     a, b = (sorted(tuple(r) for r in df.collect()) for df in (corpus_pipeline.run(spark, sf), stages["mixing"]))
     assert a == b and all(x <= y for x, y in itertools.pairwise(a))
+
+
+HARD = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n ", "en", None, 3), (4, "one", "en", "b", 3), (5, "one", "en", "b", 3), (6, "word " * 30_000, "en", "a", 150_000),
+    (7, "a b c d e f g", "fr", "c", 13), (7, "a b c d e f g", "fr", "c", 13), (None, "token=abcdefabcdefabcdef", None, "c", 10),
+]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_hard_rows(spark, sf, name, stage):
+    docs = spark.createDataFrame(HARD, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for c in ("id", "k", "m", "size", "rank", "spans", "kept"):  # names that clash with internals
+        docs = docs.withColumn(c, F.lit("x"))
+    got = stage(spark, docs, sf).collect()
+    want = {"quality": 0, "near_dedup": 8, "decontamination": 9, "secrets": 9}.get(name)
+    assert want is None or len(got) == want
+    if name == "near_dedup":
+        assert sorted(r["doc_id"] for r in got if r["doc_id"]) == [1, 2, 3, 4, 6, 7, 7]
+    if name == "secrets":
+        assert [r["text"] for r in got if r["doc_id"] is None] == ["[SECRET]"] and all(r["id"] == "x" for r in got)
+    if name == "mixing":
+        assert all(0 < r["taken"] <= 2 * r["size"] for r in got)
+    assert stage(spark, docs.where("false"), sf).count() == 0
