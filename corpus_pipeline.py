@@ -9,7 +9,9 @@ and reads it again, so no stage depends on the lineage of another.
 4. secrets: base spans and owner-specific credentials are replaced by a mark; all documents stay.
 5. mixing: words taken per document, repeats counted; documents of which nothing is taken go.
 
-Rows that repeat an id count as one document and stay or go together.
+Null, empty and blank texts fail the base test and leave at the first stage; a later stage that is given one keeps it (the
+mix takes nothing of it, so it goes there). Rows that repeat an id count as one document and stay or go together; rows
+with a null id are never near copies. Ties go to the least id. Empty tables stay empty; other columns pass through.
 """
 
 from __future__ import annotations
