@@ -318,6 +318,12 @@ def louvain_communities(s, d):
     return graph.louvain(graph.community_graph(e, T.edges(s, d)), e.where("not archived"), Scratch(s))
 
 
+@query()
+def community_moves(s, d):
+    e = T.entities(s, d)
+    return graph.local_moves(graph.community_graph(e, T.edges(s, d)), e.where("not archived"), Scratch(s))
+
+
 @query()
 def greedy_clusters(s, d):
     return maintenance.greedy_clusters(T.entities(s, d), Scratch(s), threshold=0.3)

@@ -168,6 +168,39 @@ def louvain(graph: DataFrame, nodes: DataFrame, scratch: Scratch, max_iterations
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
+def local_moves(graph: DataFrame, nodes: DataFrame, scratch: Scratch, rounds: int = 20) -> DataFrame:
+    """Distributed local moving for graphs with a component too large for one task: ``(id, community)``.
+
+    In each round the nodes of one half, chosen by hash, move to the neighbouring community of greatest gain over
+    staying. Rounds are equi-joins and partially aggregated sums. The partition is near that of ``louvain``, not equal:
+    moves of a round do not see each other.
+    """
+    both = scratch.save(graph.select("a", "b", "w").union(graph.select("b", "a", "w")), "moves_edges")
+    m = both.agg(F.sum("w") / 2).first()[0]
+    labels = scratch.save(nodes.select("id", F.col("id").alias("community")).distinct(), "moves0")
+    if not m:
+        return labels
+    k = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "moves_k")
+    still = 0
+    for i in range(1, rounds + 1):
+        total = labels.join(k, "id").groupBy("community").agg(F.sum("k").alias("total"))
+        own = labels.join(k, "id").select("id", "k", F.col("community").alias("own"))
+        near = both.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
+        near = near.unionByName(own.select("id", F.col("own").alias("community"), F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.sum("w").alias("w"))
+        rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") / m - F.col("k") * rest / (2 * m * m), 12)
+        best = near.join(own, "id").join(total, "community").withColumn("gain", gain).groupBy("id").agg(F.max(F.struct("gain", (F.col("community") == F.col("own")).alias("stay"), (-F.col("community")).alias("low"))).alias("x"))
+        turn = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0
+        moved = labels.join(best.where(turn).select("id", (-F.col("x.low")).alias("to")), "id", "left").select("id", F.coalesce("to", "community").alias("community"), (F.coalesce("to", "community") != F.col("community")).alias("moved"))
+        moved = scratch.save(moved, f"moves{i}")
+        still = 0 if not moved.where("moved").isEmpty() else still + 1
+        labels = moved.drop("moved")
+        if still == 3:
+            break
+    least = labels.groupBy("community").agg(F.min("id").alias("least"))
+    return labels.join(least, "community").select("id", F.col("least").alias("community"))
+
+
 def contradictions(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs of active entities joined by a contradicts edge."""
     live = entities.where("not coalesce(archived, false)")

@@ -83,6 +83,15 @@ def test_louvain_partitions(spark, pairs, groups):
     assert -0.5 <= graph.modularity(g, labels).first()["modularity"] <= 1
 
 
+def test_distributed_moves_find_two_triangles(spark):
+    ids, pairs = [1, 2, 3, 4, 5, 6, 9], [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)]
+    n = nodes(spark, ids)
+    g = graph.community_graph(n, edges(spark, pairs))
+    labels = graph.local_moves(g, n, Scratch(spark))
+    assert {x["id"]: x["community"] for x in labels.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 9: 9}
+    assert graph.local_moves(graph.community_graph(n, edges(spark, [])), n, Scratch(spark)).count() == 7
+
+
 def test_single_node_is_its_own_community_and_empty_graph_has_none(spark):
     n = nodes(spark, [7])
     g = graph.community_graph(n, edges(spark, []))
