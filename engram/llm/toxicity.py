@@ -154,7 +154,7 @@ def fit(p: Sparse, u: Sparse, prior: float, bits: int = 18, seed: int = 5) -> Mo
         cuts = np.unique(np.concatenate([sp, su]))
         recall = 1 - np.searchsorted(np.sort(sp), cuts, "left") / len(sp)
         share = 1 - np.searchsorted(np.sort(su), cuts, "left") / len(su)
-        gain = np.where(share <= 1.5 * prior + 1 / len(su), recall**2 / np.maximum(share, prior / 2), -1)
+        gain = np.where(share <= prior + 1 / len(su), recall**2 / np.maximum(share, prior / 2), -1)
         i = int(gain.argmax())
         below = sp[sp < cuts[i]].tolist() + su[su < cuts[i]].tolist()
         cut = (cuts[i] + max(below)) / 2 if below else cuts[i]
