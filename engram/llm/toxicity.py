@@ -99,6 +99,13 @@ class Sparse:
     def __len__(self) -> int:
         return len(self.size)
 
+    def only(self, live: np.ndarray) -> None:
+        """Forget all other features and number these anew; the rows' sums stay."""
+        kept = live[self.index]
+        self.size = np.bincount(np.repeat(np.arange(len(self.size)), self.size), kept, len(self.size)).astype(np.int64)
+        self.index, self.count = (np.cumsum(live) - 1)[self.index[kept]], self.count[kept]
+        self.starts = np.cumsum(self.size) - self.size
+
     def take(self, rows: np.ndarray, power: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = self.size[rows]
         at = np.repeat(self.starts[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -113,13 +120,11 @@ class Sparse:
         return np.concatenate(out)
 
 
-def train(p: Sparse, pr: np.ndarray, u: Sparse, ur: np.ndarray, prior: float, bits: int, power: float, l2: float, rate: float, steps: int = 400, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, float]:
+def train(p: Sparse, pr: np.ndarray, u: Sparse, ur: np.ndarray, prior: float, width: int, power: float, l2: float, rate: float, steps: int = 400, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias on the rows ``pr`` of P and ``ur`` of U, after about ``steps`` Adam steps on the non-negative risk with the logistic loss."""
     rng = np.random.default_rng(seed)
-    df = np.bincount(u.index, minlength=1 << bits) + np.bincount(p.index, minlength=1 << bits)
-    live = df >= 3
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    w, b, m, v, mb, vb, t = np.zeros(1 << bits), float(np.log(prior / (1 - prior))), np.zeros(1 << bits), np.zeros(1 << bits), 0.0, 0.0, 0
+    w, b, m, v, mb, vb, t = np.zeros(width), float(np.log(prior / (1 - prior))), np.zeros(width), np.zeros(width), 0.0, 0.0, 0
     for _ in range(-(-steps // max(1, -(-len(ur) // batch)))):
         order = rng.permutation(ur)
         for at in range(0, len(order), batch):
@@ -131,8 +136,7 @@ def train(p: Sparse, pr: np.ndarray, u: Sparse, ur: np.ndarray, prior: float, bi
                 gu, gp = -sigmoid(fu) / nu, prior * sigmoid(fp) / np_
             else:
                 gu, gp = sigmoid(fu) / nu, np.full(np_, -prior / np_)
-            g = l2 * w + np.bincount(iu, xu * gu[ru], 1 << bits) + np.bincount(ip, xp * gp[rp], 1 << bits)
-            g[~live] = 0
+            g = l2 * w + np.bincount(iu, xu * gu[ru], width) + np.bincount(ip, xp * gp[rp], width)
             gb, t = gu.sum() + gp.sum(), t + 1
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
@@ -144,12 +148,15 @@ def fit(p: Sparse, u: Sparse, prior: float, bits: int = 18, seed: int = 5) -> Mo
     """The best of ``SETTINGS`` on rows kept aside, with its cut."""
     if len(p) < 2 or len(u) < 2:
         return Model(bits)
+    live = np.bincount(u.index, minlength=1 << bits) + np.bincount(p.index, minlength=1 << bits) >= 3
+    p.only(live)
+    u.only(live)
     rng = np.random.default_rng(seed)
     po, uo = rng.permutation(len(p)), rng.permutation(len(u))
     a, b = max(1, len(p) // 4), max(1, len(u) // 4)
     best: tuple[float, Model] | None = None
     for power, l2, rate in SETTINGS:
-        w, bias = train(p, po[a:], u, uo[b:], prior, bits, power, l2, rate)
+        w, bias = train(p, po[a:], u, uo[b:], prior, int(live.sum()), power, l2, rate)
         sp, su = p.score(po[:a], w, bias, power), u.score(uo[:b], w, bias, power)
         cuts = np.unique(np.concatenate([sp, su]))
         recall = 1 - np.searchsorted(np.sort(sp), cuts, "left") / len(sp)
@@ -159,7 +166,9 @@ def fit(p: Sparse, u: Sparse, prior: float, bits: int = 18, seed: int = 5) -> Mo
         below = sp[sp < cuts[i]].tolist() + su[su < cuts[i]].tolist()
         cut = (cuts[i] + max(below)) / 2 if below else cuts[i]
         if best is None or gain[i] > best[0]:
-            best = gain[i], Model(bits, power, bias, float(cut), w.astype(np.float32))
+            weights = np.zeros(1 << bits, np.float32)
+            weights[live] = w
+            best = gain[i], Model(bits, power, bias, float(cut), weights)
     return best[1]
 
 
