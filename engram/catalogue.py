@@ -457,7 +457,7 @@ def belief_history_list(s, d):
 @query(f"WITH RECURSIVE {BELIEFS}, chain AS (SELECT id AS start_id, id, 0 AS depth, parent_chain_id AS p FROM beliefs WHERE id % 50 = 4 UNION ALL SELECT c.start_id, b.id, c.depth + 1, b.parent_chain_id FROM chain c JOIN beliefs b ON b.id = c.p WHERE c.depth < 32) SELECT start_id, id, depth FROM chain")
 def revision_chain(s, d):
     b = T.beliefs(s, d)
-    return beliefs.revision_chain(b, b.where("id % 50 = 4"))
+    return beliefs.revision_chain(b, b, Scratch(s))
 
 
 @query(f"WITH {BELIEFS} SELECT id, content, status FROM beliefs WHERE status = 'Active'")

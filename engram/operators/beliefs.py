@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions.scoring import clamp, trust
+from engram.sources.scratch import Scratch
 
 MAX_CHAIN = 32
 POLARITIES = ("support", "refute")
@@ -74,18 +75,21 @@ def history(history: DataFrame, belief: int) -> DataFrame:
     return history.where(F.col("belief_id") == belief).orderBy("created_us", "id")
 
 
-def revision_chain(beliefs: DataFrame, starts: DataFrame, limit: int = MAX_CHAIN) -> DataFrame:
-    """Parents of each start, followed up to ``limit`` steps: ``(start_id, id, depth)``. A cycle ends at the limit."""
+def revision_chain(beliefs: DataFrame, starts: DataFrame, scratch: Scratch, limit: int = MAX_CHAIN) -> DataFrame:
+    """Parents of each start, followed up to ``limit`` steps: ``(start_id, id, depth)``. A cycle ends at the limit.
+
+    One equi-join and one table per step, so the rows of a step are not bounded as those of a recursive CTE are.
+    """
     links = beliefs.select("id", "parent_chain_id")
-    level = starts.select(F.col("id").alias("start_id"), F.col("id")).join(links, "id").select("start_id", "id", F.lit(0).alias("depth"), "parent_chain_id")
-    links.createOrReplaceTempView("engram_links")
-    level.createOrReplaceTempView("engram_starts")
-    return beliefs.sparkSession.sql(f"""
-        WITH RECURSIVE chain AS (
-          SELECT start_id, id, depth, parent_chain_id FROM engram_starts
-          UNION ALL
-          SELECT c.start_id, b.id, c.depth + 1, b.parent_chain_id FROM engram_links b JOIN chain c ON b.id = c.parent_chain_id WHERE c.depth < {int(limit)}
-        ) SELECT start_id, id, depth FROM chain""")
+    level = scratch.save(starts.select(F.col("id").alias("start_id"), F.col("id")).join(links, "id").select("start_id", "id", F.lit(0).alias("depth"), "parent_chain_id"), "chain0")
+    chain = level
+    for i in range(1, limit + 1):
+        up = level.select("start_id", F.col("parent_chain_id").alias("id")).join(links, "id")
+        level = scratch.save(up.select("start_id", "id", F.lit(i).alias("depth"), "parent_chain_id"), f"chain{i}")
+        if level.isEmpty():
+            break
+        chain = chain.union(level)
+    return chain.select("start_id", "id", "depth")
 
 
 def supersede(beliefs: DataFrame, pairs: DataFrame) -> DataFrame:
