@@ -355,7 +355,7 @@ def episode_playback(s, d):
 @query(f"WITH {EPISODES}, ep AS (SELECT episode_id, min(timestamp_ms) AS started_at_ms, max(timestamp_ms) AS ended_at_ms, count(*) AS n_events, min(user_id) AS session_id FROM ev GROUP BY 1) SELECT episode_id, started_at_ms, ended_at_ms, n_events, session_id FROM ep WHERE episode_id IN (SELECT episode_id FROM mem) AND session_id < 100")
 def episode_candidates(s, d):
     m, _ = T.episode_links(s, d)
-    return episodic.candidates(episodic.episodes(T.episode_events(s, d)), m, linked=True).where("session_id < 100")
+    return episodic.candidates(episodic.episodes(T.episode_events(s, d)), m, linked=True)
 
 
 @query(f"""WITH {EPISODES}, em AS (SELECT episode_id, min(id) AS i FROM ev GROUP BY 1), v AS (SELECT episode_id, [ (i % 7)::DOUBLE, (i % 5)::DOUBLE, 1.0::DOUBLE ] AS v, i FROM em)
