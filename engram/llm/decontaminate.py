@@ -124,10 +124,15 @@ class Index:
         at = np.flatnonzero(ok)
         end = last[at]
         good = (item[end] == item[at]) & (band[end] == band[at]) & (g[end] - g[at] <= self.window[item[at]] - self.b.q)
-        at = at[good]
+        at, end = at[good], end[good]
         size = np.array([len(x) for x in self.chars], np.int64)[item[at]]
-        start = np.minimum(g[at], size - self.window[item[at]])
-        return item[at], start, band[at] * width
+        # every window that holds the run, not only the one at its first q-gram: edits may precede that
+        first = np.maximum(g[end] + self.b.q - self.window[item[at]], 0)
+        n = np.minimum(g[at], size - self.window[item[at]]) - first + 1
+        start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = np.unique((np.repeat(item[at], n) * span + (np.repeat(band[at], n) - low)) * longest + start)
+        start, rest = key % longest, key // longest
+        return rest // span, start, (rest % span + low) * width
 
     def verify(self, c: np.ndarray, item: np.ndarray, start: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each window within its band, and the document position where that alignment ends."""

@@ -355,6 +355,26 @@ def test_decontamination_equals_full_alignment(spark):
     assert want <= got | want and len(want - got) == 0 and got == want
 
 
+def test_partial_passages_with_early_edits_are_found():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    item = "".join(rng.choice(letters) for _ in range(200))
+    index, b = decontaminate.Index([(1, item)], decontaminate.Budget()), decontaminate.Budget()
+    assert [m[0] for m in index.matches("#" * 90 + item[50:57] + "#" + item[58:122] + "#" * 90)] == [1]
+    found = 0
+    for _ in range(400):
+        a, n = rng.randrange(100), rng.randint(66, 100)
+        t = list(item[a : a + n])
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(rng.choice([16, len(t)]))
+            t[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "#"])
+        text = "#" * rng.randrange(40) + "".join(t) + "#" * rng.randrange(40)
+        want = any(edits_within(item[s : s + b.w], text, b.k) for s in range(max(0, a - 8), min(len(item) - b.w, a + n - b.w + 8) + 1))
+        assert bool(index.matches(text)) == want
+        found += want
+    assert 100 < found < 400
+
+
 def test_benchmark_in_parts_equals_one_part(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     key = lambda df: sorted(tuple(r) for r in df.collect())
