@@ -12,6 +12,9 @@ neighbouring diagonals (document position minus item position). So:
 Items shorter than ``w`` count as one window with a budget in proportion; items shorter than ``least`` characters
 cannot identify a leak and match nothing.
 
+A passage of ``words`` item words that occurs without edits is a leak too, though it may be shorter than ``w``: its
+q-grams are one run of hits on one diagonal. It gives a row where no window of the item is found.
+
 The benchmark is split into parts of a bounded number of characters (``part_chars``); each part is sent to the workers
 and scans all documents, so what is broadcast is bounded and a larger benchmark costs passes, not memory.
 
@@ -39,6 +42,7 @@ class Budget:
     q: int = 8
     k: int = 4
     least: int = 24
+    words: int = 13
     piece: int = 1 << 18
 
 
@@ -67,6 +71,13 @@ def qgrams(c: np.ndarray, q: int) -> np.ndarray:
     return total ^ (total >> np.uint32(13))
 
 
+def passages(c: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of that many words starts and ends in a normal text."""
+    gap = np.flatnonzero(c == 32)
+    at, to = np.concatenate([[0], gap + 1]), np.concatenate([gap, [len(c)]])
+    return at[: max(len(at) - words + 1, 0)], to[words - 1 :]
+
+
 class Index:
     """Sorted q-gram hashes of a part of the benchmark, with a bitmap before them."""
 
@@ -94,9 +105,11 @@ class Index:
         self.window = np.minimum(size, b.w)
         self.budget = np.where(size >= b.w, b.k, np.maximum(size * b.k // b.w, 1))
         self.bound = np.maximum(self.window - b.q + 1 - self.budget * b.q, 1)
+        self.passages = [passages(c, b.words) for c in chars]
+        self.shortest = min((int((to - at).min()) for at, to in self.passages if len(at)), default=1 << 30)
 
-    def regions(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Windows that pass the lemma: (item, window start in the item, diagonal at the left of the band)."""
+    def hits(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Q-grams of the text that an item holds: (item, place in the item, diagonal)."""
         h = qgrams(c, self.b.q)
         pos = np.flatnonzero(self.bits[h >> np.uint32(10)])
         none = (np.empty(0, np.int64),) * 3
@@ -104,11 +117,36 @@ class Index:
             return none
         lo, hi = np.searchsorted(self.hash, h[pos], "left"), np.searchsorted(self.hash, h[pos], "right")
         n = hi - lo
-        if n.sum() < self.bound.min():
+        if n.sum() < min(self.bound.min(), self.shortest - self.b.q + 1):
             return none
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, g = self.owner[at], self.where[at]
-        diagonal = np.repeat(pos, n) - g
+        g = self.where[at]
+        return self.owner[at], g, np.repeat(pos, n) - g
+
+    def exact(self, c: np.ndarray, item: np.ndarray, g: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Passages that occur without edits: (item, start in the item, position where it ends, length)."""
+        least = max(self.shortest - self.b.q + 1, 1)
+        if len(g) < least:
+            return
+        low, longest = int(diagonal.min()), int(g.max()) + 2
+        span = int(diagonal.max()) - low + 1
+        key = np.sort((item * span + (diagonal - low)) * longest + g)
+        if not (key[least - 1 :] - key[: len(key) - least + 1] == least - 1).any():
+            return
+        cut = np.flatnonzero(np.diff(key) != 1) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]]) - 1
+        for x in np.flatnonzero(last - first + 1 >= least):
+            begin, rest = int(key[first[x]]) % longest, int(key[first[x]]) // longest
+            i, d, stop = rest // span, rest % span + low, begin + int(last[x] - first[x]) + self.b.q
+            at, to = self.passages[i]
+            for k in range(np.searchsorted(at, begin), np.searchsorted(to, stop, "right")):
+                if np.array_equal(c[at[k] + d : to[k] + d], self.chars[i][at[k] : to[k]]):
+                    yield i, int(at[k]), int(to[k]) + d, int(to[k] - at[k])
+
+    def regions(self, item: np.ndarray, g: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Windows that pass the lemma: (item, window start in the item, diagonal at the left of the band)."""
+        if len(g) < self.bound.min():
+            return (np.empty(0, np.int64),) * 3
         width = self.b.k + 1
         half = diagonal // width
         item, g, band = np.concatenate([item, item]), np.concatenate([g, g]), np.concatenate([half, half - 1])
@@ -157,23 +195,29 @@ class Index:
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """One entry per item found in the text: (item id, start, end, least edits, share of the item covered)."""
-        whole, found = normal(text), {}
+        whole, found, exact = normal(text), {}, {}
         over = 2 * (self.b.w + 2 * self.b.k)
         for left in range(0, max(1, len(whole) - over), self.b.piece):
             c = whole[left : left + self.b.piece + over]
-            item, start, diagonal = self.regions(c)
+            hits = self.hits(c)
+            if not len(hits[0]):
+                continue
+            for i, s, end, w in self.exact(c, *hits):
+                exact.setdefault(i, []).append((s, 0, end + left, w))
+            item, start, diagonal = self.regions(*hits)
             if not len(item):
                 continue
             edits, ends = self.verify(c, item, start, diagonal)
             good = edits <= self.budget[item]
             for i, s, e, end in zip(item[good].tolist(), start[good].tolist(), edits[good].tolist(), ends[good].tolist(), strict=True):
-                found.setdefault(i, []).append((s, e, end + left))
+                found.setdefault(i, []).append((s, e, end + left, int(self.window[i])))
+        found = exact | found
         out = []
         for i in sorted(found):
-            w, covered = int(self.window[i]), np.zeros(len(self.chars[i]), bool)
-            for s, _, _ in found[i]:
+            covered = np.zeros(len(self.chars[i]), bool)
+            for s, _, _, w in found[i]:
                 covered[s : s + w] = True
-            begin, end = min(x[2] for x in found[i]) - w, max(x[2] for x in found[i])
+            begin, end = min(x[2] - x[3] for x in found[i]), max(x[2] for x in found[i])
             out.append((self.ids[i], max(begin, 0), min(end, len(whole)), min(x[1] for x in found[i]), round(float(covered.mean()), 4)))
         return out
 

@@ -375,6 +375,32 @@ def test_partial_passages_with_early_edits_are_found():
     assert 100 < found < 400
 
 
+def test_short_verbatim_passages_are_found():
+    """Thirteen words are a leak whatever their length; fewer only as a window of the budget."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    items = [(i, prose(rng, rng.choice([14, 30, 60]), vocabulary)) for i in range(20)]
+    b, found = decontaminate.Budget(piece=150), {11: 0, 12: 0, 13: 0, 14: 0}
+    index = decontaminate.Index(items, b)
+    for n in list(found) * 30:
+        _, u = rng.choice(items)
+        at = rng.randint(0, len(u.split()) - n)
+        passage = " ".join(u.split()[at : at + n])
+        text = f"{'#' * rng.randrange(300)} {passage} {'#' * rng.randrange(300)}".strip()
+        want = set()
+        for i, v in items:
+            w, k = min(len(v), b.w), b.k if len(v) >= b.w else max(1, len(v) * b.k // b.w)
+            exact = any(" ".join(v.split()[s : s + 13]) in text for s in range(len(v.split()) - 12))
+            if exact or len(passage) + k >= w and any(edits_within(v[s : s + w], text, k) for s in range(len(v) - w + 1)):
+                want.add(i)
+        got = index.matches(text)
+        assert {m[0] for m in got} == want
+        if n == 13 and len(passage) < 60:
+            assert all(text[m[1] : m[2]] == passage for m in got if not m[3])
+        found[n] += bool(got) and len(passage) < 60
+    assert found[13] > 5 and found[14] > 5
+
+
 def test_benchmark_in_parts_equals_one_part(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     key = lambda df: sorted(tuple(r) for r in df.collect())
