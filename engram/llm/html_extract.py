@@ -28,7 +28,9 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>"'<]*(?:[
 NAME = re.compile(r"</?([a-zA-Z][^\s/>\"'<]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 #: Elements of HTML by their role in the block structure.
-RAW = set("script style title textarea noscript template iframe object svg math select".split())
+RAW = set("script style title textarea".split())
+#: Dropped up to their end tag; without one only the tag goes.
+UNSEEN = set("template iframe select".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul option label".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -86,6 +88,12 @@ def blocks(page: str | None) -> list[Block]:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag in UNSEEN:
+            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            again = re.compile(rf"<{tag}\b", re.I).search(page, at, end.start()) if end and tag != "template" else None
+            if end and not again and not token.endswith("/>"):
+                at = end.end()
+            continue
         if tag == "br":
             parts.append(" ")
         if tag in BLOCK:

@@ -309,6 +309,15 @@ def test_main_text_of_a_broken_page(crf):
     assert html_extract.main_text(page, crf) == "Head & tail\n\nFirst paragraph.\n\nSecond é!"
 
 
+def test_raw_elements_do_not_swallow_the_page():
+    for tag in ("<svg width='1'/>", "<math/>", "<object data='x'/>", "<select>", "<iframe src='x'>", "<noscript>", "<select><p>one</p><select></select>"):
+        assert [b.text for b in html_extract.blocks(f"<p>before</p>{tag}<p>after this</p>")][-1] == "after this", tag
+    for tag in ("noscript", "math", "object", "svg"):
+        assert "kept text" in " ".join(b.text for b in html_extract.blocks(f"<article><p>a <{tag}>kept text</{tag}> b</p></article>"))
+    for tag in ("script", "style", "select", "template", "iframe"):
+        assert [b.text for b in html_extract.blocks(f"<p>a</p><{tag}>gone</{tag}><p>b</p>")] == ["a", "b"]
+
+
 def test_html_hard_rows(spark, crf):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<<<>>><a href='"), (4, "w", "<p>" * 20_000), (4, "w", "<article><p>x</p></article>")]
     r = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")), model=crf).collect()
