@@ -286,12 +286,9 @@ def entity_timeline(s, d):
     return lookup.entity_timeline(T.entities(s, d), F.col("created_hours"), 50).select("id", "category", "created_hours")
 
 
-@query(f"WITH {ENTS}, e2 AS (SELECT vec_id AS a, vec_id + 10 AS b FROM embeddings WHERE vec_id % 40 < 30 AND vec_id + 10 < (SELECT count(*) FROM embeddings)), comp AS (SELECT id AS node, (id // 40) * 40 + id % 10 AS component FROM ents) SELECT component, count(*) AS size, round((2.0::DOUBLE * (count(*) - 1)) / count(*), 6) AS avg_degree FROM comp WHERE node IN (SELECT id FROM ents WHERE NOT archived) OR component IN (SELECT component FROM comp c JOIN ents e ON e.id = c.node AND NOT e.archived WHERE e.id IN (SELECT a FROM e2 UNION SELECT b FROM e2)) GROUP BY component")
+@query(f"WITH RECURSIVE {ENTS}, {EDGES}, {SYM}, nodes AS (SELECT id FROM ents UNION SELECT a FROM sym), reach AS (SELECT id AS node, id AS seen FROM nodes UNION SELECT r.node, least(r.seen, x.m) FROM reach r JOIN (SELECT a, min(b) AS m FROM sym GROUP BY a) x ON x.a = r.seen), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node), d AS (SELECT a AS node, count(*) AS degree FROM sym GROUP BY a) SELECT component, count(*) AS size, round(sum(coalesce(degree, 0)) / count(*), 6) AS avg_degree FROM comp LEFT JOIN d USING (node) WHERE component IN (SELECT component FROM comp JOIN ents ON ents.id = comp.node AND NOT archived) GROUP BY component")
 def connected_components(s, d):
-    e = T.read(s, d, "embeddings").select(F.col("vec_id").alias("source_id"), (F.col("vec_id") + 10).alias("target_id"), F.lit("next").alias("relation_type"), F.lit(1.0).alias("weight"))
-    n = T.read(s, d, "embeddings").count()
-    e = e.where((F.col("source_id") % 40 < 30) & (F.col("target_id") < n))
-    return graph.components(T.entities(s, d), e, Scratch(s)).select("component", "size", F.round("avg_degree", 6).alias("avg_degree"))
+    return graph.components(T.entities(s, d), T.edges(s, d), Scratch(s)).select("component", "size", F.round("avg_degree", 6).alias("avg_degree"))
 
 
 CG = f"""{ENTS}, {EDGES}, {SYM}, live AS (SELECT id, label FROM ents WHERE NOT archived), cg AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, sum(weight) AS w FROM edges WHERE source_id <> target_id AND source_id IN (SELECT id FROM live) AND target_id IN (SELECT id FROM live) GROUP BY 1, 2),
@@ -352,7 +349,7 @@ def episode_playback(s, d):
     return episodic.playback(_timeline(s, d))
 
 
-@query(f"WITH {EPISODES}, ep AS (SELECT episode_id, min(timestamp_ms) AS started_at_ms, max(timestamp_ms) AS ended_at_ms, count(*) AS n_events, min(user_id) AS session_id FROM ev GROUP BY 1) SELECT episode_id, started_at_ms, ended_at_ms, n_events, session_id FROM ep WHERE episode_id IN (SELECT episode_id FROM mem) AND session_id < 100")
+@query(f"WITH {EPISODES}, ep AS (SELECT episode_id, min(timestamp_ms) AS started_at_ms, max(timestamp_ms) AS ended_at_ms, count(*) AS n_events, min(user_id) AS session_id FROM ev GROUP BY 1) SELECT episode_id, started_at_ms, ended_at_ms, n_events, session_id FROM ep WHERE episode_id IN (SELECT episode_id FROM mem)")
 def episode_candidates(s, d):
     m, _ = T.episode_links(s, d)
     return episodic.candidates(episodic.episodes(T.episode_events(s, d)), m, linked=True)
@@ -454,7 +451,7 @@ def belief_history_list(s, d):
     return beliefs.history(T.belief_history(s, d), 7).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"WITH RECURSIVE {BELIEFS}, chain AS (SELECT id AS start_id, id, 0 AS depth, parent_chain_id AS p FROM beliefs WHERE id % 50 = 4 UNION ALL SELECT c.start_id, b.id, c.depth + 1, b.parent_chain_id FROM chain c JOIN beliefs b ON b.id = c.p WHERE c.depth < 32) SELECT start_id, id, depth FROM chain")
+@query(f"WITH RECURSIVE {BELIEFS}, chain AS (SELECT id AS start_id, id, 0 AS depth, parent_chain_id AS p FROM beliefs UNION ALL SELECT c.start_id, b.id, c.depth + 1, b.parent_chain_id FROM chain c JOIN beliefs b ON b.id = c.p WHERE c.depth < 32) SELECT start_id, id, depth FROM chain")
 def revision_chain(s, d):
     b = T.beliefs(s, d)
     return beliefs.revision_chain(b, b, Scratch(s))
@@ -468,7 +465,7 @@ def active_beliefs(s, d):
 # tasks --------------------------------------------------------------------------------------------------------------------
 
 EXEC = f"{TASKS}, {TEDGES}, ex AS (SELECT id, status, priority, content FROM tasks t WHERE status = 'pending' AND NOT archived AND NOT EXISTS (SELECT 1 FROM blk JOIN tasks b ON b.id = blk.source_id WHERE blk.target_id = t.id AND b.status <> 'completed'))"
-DOWN = "goal AS (SELECT min(o_orderkey) AS id FROM orders GROUP BY o_custkey HAVING min(o_orderkey) % 7 = 0)"
+DOWN = "goal AS (SELECT min(o_orderkey) AS id FROM orders GROUP BY o_custkey)"
 
 
 def _goals(s, d):
