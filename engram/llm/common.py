@@ -31,3 +31,10 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A prefix that no column of ``df`` starts with, in either case, for the operators' own columns."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem = "_" + stem
+    return stem

@@ -88,12 +88,20 @@ def _parts(url: str) -> str:
     return rf"translate(regexp_extract({tail}, '^[^/?]*'), '{urls.CAPITALS}', '{urls.SMALL}') AS host, regexp_replace({tail}, '^[^/?]*', '') AS rest"
 
 
+def _decoded(target: str) -> str:
+    rest = "substr(p, instr(p, ';') + 1)"
+    number = "CASE WHEN regexp_matches(p, '^#[0-9]{1,7};') THEN regexp_extract(p, '^#([0-9]+);', 1)::INTEGER WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]{1,6};') THEN ('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1))::INTEGER END"
+    named = " ".join(f"WHEN starts_with(p, {quoted(n + ';')}) THEN {quoted(c)} || {rest}" for n, c in urls.NAMED.items())
+    return f"array_to_string(list_transform(string_split({target}, '&'), lambda p, i: CASE WHEN i = 1 THEN p WHEN ({number}) BETWEEN 1 AND 55295 OR ({number}) BETWEEN 57344 AND 1114111 THEN chr({number}) || {rest} {named} ELSE '&' || p END), '')"
+
+
 def _urls() -> str:
     return rf"""WITH RECURSIVE p AS (SELECT page_id, html, {_parts("coalesce(url, '')")} FROM pages), u AS (SELECT *, split_part(rest, '?', 1) AS path, host || rest AS k FROM p),
- tags AS (SELECT host, path, k, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM u),
- t AS (SELECT host, path, k, CASE WHEN regexp_matches(tag, '(?is)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS target FROM tags
- WHERE regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')),
- f AS (SELECT k, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target ELSE 'http://' || host || regexp_replace(path, '[^/]*$', '') || target END AS url FROM t WHERE target <> ''),
+ tags AS (SELECT host, path, k, unnest(regexp_extract_all(html, {quoted(urls.TAG)})) AS tag FROM u),
+ raw AS (SELECT host, path, k, CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, {quoted(urls.HREF)}, 1) ELSE regexp_extract(tag, {quoted(urls.REDIRECT)}, 1) END AS target FROM tags
+ WHERE regexp_matches(tag, {quoted(urls.CANONICAL)}) OR regexp_matches(tag, {quoted(urls.REFRESH)})),
+ t AS (SELECT host, path, k, {_decoded("target")} AS target FROM raw WHERE target <> ''),
+ f AS (SELECT k, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target WHEN starts_with(target, '?') THEN 'http://' || host || path || target ELSE 'http://' || host || regexp_replace(path, '[^/]*$', '') || target END AS url FROM t WHERE target <> ''),
  e AS (SELECT k AS a, host || rest AS b FROM (SELECT k, {_parts("url")} FROM f)), sym AS (SELECT a, b FROM e WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM e WHERE a <> '' AND b <> '' AND a <> b),
  reach AS (SELECT DISTINCT a, a AS b FROM sym UNION SELECT r.a, sym.b FROM reach r JOIN sym ON sym.a = r.b),
  cls AS (SELECT a AS k, min({_rule("split_part(split_part(b, '/', 1), '?', 1)", "split_part(regexp_replace(b, '^[^/?]*', ''), '?', 1)", "verdict")}) AS v FROM reach GROUP BY 1)

@@ -6,8 +6,12 @@ are redirects (``meta refresh``) and canonical links, classes are distributed co
 explicitly blocked url is blocked, unless one of its urls is explicitly allowed: the allow takes precedence. A url's
 own rule always stands. Only DataFrame expressions are used.
 
+Every ``link`` and ``meta`` tag of a page counts, whatever its length; character references in targets (numeric, and
+amp, quot, apos, lt, gt) are decoded; relative targets are resolved against the page, dot segments stay as they are.
+
 Edge cases: a null url or one without ``://`` has empty host and path, matches no rule, has no aliases and is allowed;
-null html has no links; repeated rows all get the same verdict; no edges means no component job at all.
+null html has no links; repeated rows and repeated links count once per class, and each row gets its verdict; no edges
+means no component job at all; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +21,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import Scratch, connected_components, let
+from engram.llm.common import Scratch, connected_components, fresh, let
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Links that make two urls aliases: rel=canonical with href on either side, and meta refresh.
-LINK_PATTERNS = (
-    r"""(?is)<link\b(?=[^>]{0,2000}\brel\s*=\s*["']?canonical\b)[^>]{0,2000}?\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<meta\b(?=[^>]{0,2000}\bhttp-equiv\s*=\s*["']?refresh\b)[^>]{0,2000}?\burl\s*=\s*["']?([^"'\s>]+)""",
-)
+#: A tag that may link; what makes it a canonical link or a redirect, and where its target stands.
+TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+CANONICAL = r"""(?is)^<link\b.*[\s"'/]rel\s*=\s*(?:canonical\b|"[^"]*\bcanonical\b|'[^']*\bcanonical\b)"""
+REFRESH = r"""(?is)^<meta\b.*[\s"'/]http-equiv\s*=\s*["']?refresh\b"""
+HREF = r"""(?is)[\s"'/]href\s*=\s*["']?([^"'\s>]+)"""
+REDIRECT = r"""(?is)[\s;,"']url\s*=\s*["']?([^"'\s>]+)"""
+#: Named character references that urls need.
+NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
 
 
 @dataclass(frozen=True)
@@ -71,13 +78,34 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
     return found
 
 
+def decoded(target: Column) -> Column:
+    """``target`` with its character references decoded, in one pass over the pieces between ampersands."""
+
+    def piece(p: Column) -> Column:
+        number = F.when(p.rlike("^#[0-9]{1,7};"), F.regexp_extract(p, "^#([0-9]+);", 1).cast("int")).when(p.rlike("^#[xX][0-9a-fA-F]{1,6};"), F.conv(F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+);", 1), 16, 10).cast("int"))
+        rest = p.substr(F.instr(p, ";") + 1, F.length(p))
+        sound = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        out = F.when(sound, F.concat(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"), rest))
+        for name, mark in NAMED.items():
+            out = out.when(p.startswith(name + ";"), F.concat(F.lit(mark), rest))
+        return out.otherwise(F.concat(F.lit("&"), p))
+
+    pieces = F.split(target, "&")
+    return F.when(F.instr(target, "&") == 0, target).otherwise(F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(piece(p))), ""))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Alias edges ``(a, b)`` between url keys from canonical links and redirects; relative targets are resolved."""
-    targets = F.array_compact(F.array(*[F.nullif(F.regexp_extract(F.col(html), p, 1), F.lit("")) for p in LINK_PATTERNS]))
-    df = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("u"), F.explode(targets).alias("t"))
-    p = parts(F.col("u"))
-    t = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(F.lit("http://"), F.col("p.host"), F.col("t"))).otherwise(F.concat(F.lit("http://"), F.col("p.host"), F.regexp_replace(F.col("p.path"), "[^/]*$", ""), F.col("t")))
-    df = df.withColumn("p", p).withColumn("q", parts(t))
+    """Alias edges ``(a, b)`` between url keys from all canonical links and redirects; relative targets are resolved."""
+    tags = F.filter(F.regexp_extract_all(F.col(html), F.lit(TAG), 0), lambda t: t.rlike(CANONICAL) | t.rlike(REFRESH))
+    target = lambda t: decoded(F.when(t.rlike("(?i)^<link"), F.regexp_extract(t, HREF, 1)).otherwise(F.regexp_extract(t, REDIRECT, 1)))
+    df = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("u"), F.explode(F.transform(tags, target)).alias("t")).where("t <> ''")
+    p, t = parts(F.col("u")), F.col("t")
+    here = F.concat(F.lit("http://"), F.col("p.host"))
+    full = (
+        F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.startswith("/"), F.concat(here, t))
+        .when(t.startswith("?"), F.concat(here, F.col("p.path"), t)).otherwise(F.concat(here, F.regexp_replace(F.col("p.path"), "[^/]*$", ""), t))
+    )
+    df = df.withColumn("p", p).withColumn("q", parts(full))
     return df.select(F.concat("p.host", "p.rest").alias("a"), F.concat("q.host", "q.rest").alias("b")).where("a <> '' and b <> '' and a <> b").distinct()
 
 
@@ -87,16 +115,18 @@ def judge(pages: DataFrame, edges: DataFrame, scratch: Scratch, url: str = "url"
     ``edges(a, b)`` are alias links between url keys (host + path + query), as ``link_edges`` finds them or as a
     crawler recorded them.
     """
-    df = pages.withColumn("_p", parts(F.col(url))).withColumn("_rule", rule_of(F.col("_p.host"), F.col("_p.path"), rules)).withColumn("_key", F.concat("_p.host", "_p.rest"))
+    own = fresh(pages, "_judge")
+    page, rule, key, alias = (f"{own}_{x}" for x in ("page", "rule", "key", "alias"))
+    df = pages.withColumn(page, parts(F.col(url)))
+    df = df.withColumn(rule, rule_of(F.col(f"{page}.host"), F.col(f"{page}.path"), rules)).withColumn(key, F.concat(f"{page}.host", f"{page}.rest"))
     edges = scratch.save(edges.select("a", "b"), "edges")
     if edges.isEmpty():
-        df = df.withColumn("_component", F.lit(None).cast("string")).withColumn("_class", F.lit(None).cast("string"))
+        df = df.withColumn(alias, F.lit(None).cast("struct<component:string,verdict:string>"))
     else:
         cc = scratch.save(connected_components(edges, scratch, "alias"), "aliases")
         p = parts(F.concat(F.lit("x://"), F.col("node")))
-        verdicts = cc.withColumn("v", rule_of(p["host"], p["path"], rules)["verdict"]).groupBy("component").agg(F.min("v").alias("_class"))  # allow sorts before block
-        aliases = cc.join(verdicts, "component").select(F.col("node").alias("_key"), F.col("component").alias("_component"), "_class")
-        df = df.join(aliases, "_key", "left")
-    verdict = F.coalesce("_rule.verdict", "_class", F.lit("allow"))
-    judged = F.struct(F.col("_p.host").alias("host"), F.col("_p.path").alias("path"), F.col("_rule.name").alias("rule"), verdict.alias("verdict"), F.col("_component").alias("component"))
-    return df.withColumn(out, judged).drop("_p", "_rule", "_key", "_component", "_class")
+        verdicts = cc.withColumn("v", rule_of(p["host"], p["path"], rules)["verdict"]).groupBy("component").agg(F.min("v").alias("verdict"))  # allow sorts before block
+        df = df.join(cc.join(verdicts, "component").select(F.col("node").alias(key), F.struct("component", "verdict").alias(alias)), key, "left")
+    verdict = F.coalesce(f"{rule}.verdict", f"{alias}.verdict", F.lit("allow"))
+    judged = F.struct(F.col(f"{page}.host").alias("host"), F.col(f"{page}.path").alias("path"), F.col(f"{rule}.name").alias("rule"), verdict.alias("verdict"), F.col(f"{alias}.component").alias("component"))
+    return df.select(*[F.col(f"`{c}`") for c in pages.columns if c != out], judged.alias(out))
