@@ -49,11 +49,11 @@ def _spans(kind: secrets.Kind, rank: int) -> str:
 
 def _secrets() -> str:
     kinds = [*secrets.BASE, *secrets.WIDE]
-    n = len(secrets.BASE)
+    n, most = len(secrets.BASE), secrets.Limits()
     every = " UNION ALL ".join(_spans(k, i) for i, k in enumerate(kinds))
     text = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){}, '')"
-    return f"""WITH s AS ({every}), o AS (SELECT sha256(value) AS h, count(DISTINCT coalesce(split_part(source, '/', 1), '')) AS n FROM s GROUP BY 1),
- x AS (SELECT s.*, o.n <= 2 AS owned, rank < {n} AS base FROM s JOIN o ON o.h = sha256(value)),
+    return f"""WITH s AS ({every}), o AS (SELECT sha256(value) AS h, count(DISTINCT coalesce(split_part(source, '/', 1), '')) <= {most.owners} AND count(DISTINCT coalesce(source, '')) <= {most.repos} AND count(DISTINCT doc_id) <= {most.docs} AS owned FROM s GROUP BY 1),
+ x AS (SELECT s.*, o.owned, rank < {n} AS base FROM s JOIN o ON o.h = sha256(value)),
  a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
  {text.format(' FILTER (base)')} AS b, {text.format(' FILTER (base OR owned)')} AS sp, count(*) FILTER (owned) AS n_owned, count(*) FILTER (NOT owned) AS n_copied FROM x GROUP BY 1)
  SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(sp, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied FROM documents d LEFT JOIN a USING (doc_id)"""

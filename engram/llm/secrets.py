@@ -2,15 +2,18 @@
 
 Three base patterns give spans that always stay. Wider patterns give candidates: provider tokens, private-key blocks
 and long mixed tokens. Every candidate and base value is hashed, and each hash is aggregated over the corpus by distinct
-repository and owner. A candidate that few owners hold is a live-looking credential and becomes a span; a value that
-many owners carry is a widely copied example and adds none. Base spans are counted in both classes but never removed.
+owners, repositories and documents. A candidate within all three limits of ``Limits`` is a live-looking credential of its
+owner and becomes a span; a value that many owners, repositories or documents carry is a widely copied example and adds
+none. Base spans are counted in both classes but never removed.
 
 Positions are code points, end exclusive. All matches of a pattern come from ``regexp_extract_all`` and the pieces
-between them from ``split``, whose lengths add up to positions. A hot value (one secret in a third of all documents)
-meets a partially aggregated count and an equi-join that adaptive execution can split.
+between them from ``split``; running sums over their lengths give the positions, so work grows with the matches of a
+text, not with their square. A hot value (one secret in a third of all documents) meets partially aggregated counts and
+an equi-join that adaptive execution can split.
 
-Edge cases: null text counts as empty and has no spans; null repository or owner counts as one more owner; the join
-back uses id and text hash, so repeated rows, and different texts under one id, each get their own answer.
+Edge cases: null text counts as empty and has no spans; null repository or owner counts as one more; the join back uses
+id and text hash, so repeated rows, and different texts under one id, each get their own answer; an empty table stays
+empty; extra columns pass through whatever their names, but one named as ``out`` is replaced.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from engram.llm.common import Scratch, let
+from engram.llm.common import Scratch, fresh, let
 
 
 @dataclass(frozen=True)
@@ -48,38 +52,42 @@ BASE = (
 #: Candidates that need ownership evidence. ``mixed``: the value must hold a digit, a small and a capital letter.
 WIDE = (
     Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,40}PRIVATE KEY-----", hint="PRIVATE KEY-----"),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
+    Kind("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
     Kind("provider", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})", hint="gh._|xox|sk_live_|AIza"),
     Kind("mixed", r"[A-Za-z0-9_-]{24,}", mixed=True),
 )
+KINDS = (*BASE, *WIDE)
 SPAN = "struct<start:bigint,end:bigint,rank:int,kind:string,value:string>"
 
 
-def find(text: Column, kind: Kind, rank: int) -> Column:
-    """All kept matches of one kind as an array of spans."""
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-
-    def located(t: Column) -> Column:
-        matches = F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0))
-        gaps = F.transform(F.split(t, kind.pattern, -1), lambda x: F.length(x))
-        both = F.zip_with(matches, F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda m, g: F.struct(g.alias("gap"), m.alias("m")))
-        value = (lambda m: F.regexp_extract(m, kind.pattern, kind.group)) if kind.group else (lambda m: m)
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+@dataclass(frozen=True)
+class Limits:
+    """The most distinct owners, repositories and documents that an owner-specific value has."""
 
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["gap"]
-            end = begin + F.length(x["m"])
-            v = value(x["m"])
-            good = F.length(v) >= kind.least
-            if kind.mixed:
-                good = v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
-            span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), v.alias("value"))
-            return F.struct(end.cast("bigint").alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    owners: int = 2
+    repos: int = 4
+    docs: int = 100
 
-        return F.aggregate(both, start, step, lambda acc: acc["out"])
 
+def pieces(text: Column, kind: Kind) -> Column:
+    """All matches of one kind, each with the length of the text before it since the last match."""
+    none = F.expr("cast(array() as array<struct<gap:int,m:string>>)")
+    gaps = F.transform(F.split(text, kind.pattern, -1), lambda x: F.length(x))
+    cut = F.zip_with(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda m, g: F.struct(g.alias("gap"), m.alias("m")))
     maybe = text.rlike(kind.hint) & text.rlike(kind.pattern) if kind.hint else text.rlike(kind.pattern)
-    return F.when(maybe, located(text)).otherwise(none)
+    return F.when(maybe, cut).otherwise(none)
+
+
+def values(hits: DataFrame, *keys: str) -> DataFrame:
+    """One row per match of ``hits``: the keys, rank, ordinal ``i``, gap, match ``m``, its value and whether it is ``good``."""
+    rows = hits.select(*keys, F.explode("kinds").alias("x")).select(*keys, "x.rank", F.posexplode("x.ps").alias("i", "p"))
+    value, good = F.col("p.m"), F.lit(True)
+    for i, kind in enumerate(KINDS):
+        mine = F.col("rank") == i
+        if kind.group:
+            value = F.when(mine, F.regexp_extract("p.m", kind.pattern, kind.group)).otherwise(value)
+        good = F.when(mine, F.length("value") >= kind.least if not kind.mixed else F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")).otherwise(good)
+    return rows.select(*keys, "rank", "i", "p.gap", "p.m", value.alias("value")).withColumn("good", good)
 
 
 def digest(spans: Column) -> Column:
@@ -88,55 +96,65 @@ def digest(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def ownership(found: DataFrame, value: str, repo: str, owner: str) -> DataFrame:
-    """``(hash, n_repos, n_owners)``: distinct pairs first, so that a hot value is reduced before it is shuffled."""
-    pairs = found.select(F.sha2(F.col(value), 256).alias("hash"), F.coalesce(F.col(repo), F.lit("")).alias("r"), F.coalesce(F.col(owner), F.lit("")).alias("o")).distinct()
-    repos = pairs.groupBy("hash", "r").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_repos"))
-    owners = pairs.groupBy("hash", "o").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("n_owners"))
-    return repos.join(owners, "hash")
+def ownership(found: DataFrame) -> DataFrame:
+    """``(hash, n_owners, n_repos, n_docs)`` of ``found(value, owner, repo, doc)``.
+
+    Distinct pairs are counted in two steps, each partially aggregated, so a hot value is reduced before it is shuffled.
+    """
+    found = found.select(F.sha2("value", 256).alias("hash"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("owner", "repo", "doc")])
+    count = lambda c: found.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(f"n_{c}s"))
+    return count("owner").join(count("repo"), "hash").join(count("doc"), "hash")
 
 
-def scan(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", repo: str = "source", owner: Column | None = None, max_owners: int = 2, out: str = "secrets") -> DataFrame:
-    """``docs`` with a struct column ``out``: spans (array), base (array), n_owned and n_copied.
+def scan(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", repo: str = "source", owner: Column | None = None, limits: Limits = Limits(), out: str = "secrets") -> DataFrame:
+    """``docs`` with a struct column ``out``: spans, base, merged (spans without overlaps), n_owned and n_copied.
 
-    ``owner`` defaults to what stands before the first ``/`` of the repository. A value in at most ``max_owners``
-    owners is owner-specific.
+    ``owner`` defaults to what stands before the first ``/`` of the repository.
     """
+    own = fresh(docs, "_scan")
     t = F.coalesce(F.col(text), F.lit(""))
     owner = F.substring_index(F.col(repo), "/", 1) if owner is None else owner
-    base = F.concat(*[find(t, k, i) for i, k in enumerate(BASE)])
-    wide = F.concat(*[find(t, k, len(BASE) + i) for i, k in enumerate(WIDE)])
-    row = [F.col(key).cast("string").alias("k"), F.xxhash64(t).alias("h")]
-    hits = docs.select(*row, F.col(repo).alias("repo"), owner.alias("owner"), F.struct(base.alias("base"), wide.alias("wide")).alias("f")).where("size(f.base) + size(f.wide) > 0")
-    hits = scratch.save(hits.select("k", "h", "repo", "owner", "f.base", "f.wide"), "hits")
-    each = hits.select("repo", "owner", F.explode(F.concat("base", "wide")).alias("s"))
-    counts = scratch.save(ownership(each.select("repo", "owner", "s.value"), "value", "repo", "owner"), "owners")
-    tagged = lambda c, keep: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(keep).alias("keep")))
-    spans = hits.select("k", "h", "base", "wide").dropDuplicates(["k", "h"]).select("k", "h", F.explode(F.concat(tagged("base", True), tagged("wide", False))).alias("x"))
-    spans = spans.withColumn("hash", F.sha2("x.s.value", 256)).join(counts, "hash")
-    owned = F.col("n_owners") <= max_owners
+    kinds = F.filter(F.array(*[F.struct(F.lit(i).alias("rank"), pieces(t, k).alias("ps")) for i, k in enumerate(KINDS)]), lambda x: F.size(x["ps"]) > 0)
+    hits = docs.select(F.col(key).cast("string").alias("k"), F.xxhash64(t).alias("h"), F.col(repo).alias("repo"), owner.alias("owner"), kinds.alias("kinds")).where("size(kinds) > 0")
+    hits = scratch.save(hits, "hits")
+    seen = values(hits, "k", "h", "repo", "owner").where("good").select("value", "owner", "repo", F.concat_ws(":", "k", "h").alias("doc"))
+    counts = scratch.save(ownership(seen).select("hash", ((F.col("n_owners") <= limits.owners) & (F.col("n_repos") <= limits.repos) & (F.col("n_docs") <= limits.docs)).alias("owned")), "owners")
+    running = Window.partitionBy("k", "h", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    spans = values(hits.dropDuplicates(["k", "h"]), "k", "h").withColumn("end", F.sum(F.col("gap") + F.length("m")).over(running)).where("good")
+    spans = spans.withColumn("start", F.col("end") - F.length("m")).withColumn("hash", F.sha2("value", 256)).join(counts, "hash")
+    base = F.col("rank") < len(BASE)
+    shown = base | F.col("owned")
+    # a span opens a merged one if no earlier span reaches beyond its start
+    before = F.max(F.when(shown, F.col("end"))).over(Window.partitionBy("k", "h").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("before", before).withColumn("opens", shown & F.coalesce(F.col("start") >= F.col("before"), F.lit(True)))
+    kind = F.element_at(F.array(*[F.lit(k.name) for k in KINDS]), F.col("rank") + 1)
+    span = F.struct("start", "end", "rank", kind.alias("kind"), "value")
     back = spans.groupBy("k", "h").agg(
-        F.collect_list(F.when(F.col("x.keep"), F.col("x.s"))).alias("base"),
-        F.collect_list(F.when(F.col("x.keep") | owned, F.col("x.s"))).alias("spans"),
-        F.sum(F.when(owned, 1).otherwise(0)).cast("long").alias("n_owned"),
-        F.sum(F.when(owned, 0).otherwise(1)).cast("long").alias("n_copied"),
+        F.collect_list(F.when(base, span)).alias("base"),
+        F.collect_list(F.when(shown, span)).alias("spans"),
+        F.sort_array(F.collect_list(F.when(F.col("opens"), F.struct("start", "before")))).alias("opened"),
+        F.max(F.when(shown, F.col("end"))).alias("last"),
+        F.count(F.when(F.col("owned"), 1)).alias("n_owned"),
+        F.count(F.when(~F.col("owned"), 1)).alias("n_copied"),
     )
-    back = back.select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.struct("base", "spans", "n_owned", "n_copied").alias("_a"))
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    df = docs.withColumn("_text", F.xxhash64(t)).join(back, F.col(key).cast("string").eqNullSafe(F.col("_k")) & (F.col("_text") == F.col("_h")), "left")
-    zero = F.lit(0).cast("long")
-    answer = F.struct(F.coalesce("_a.spans", none).alias("spans"), F.coalesce("_a.base", none).alias("base"), F.coalesce("_a.n_owned", zero).alias("n_owned"), F.coalesce("_a.n_copied", zero).alias("n_copied"))
-    return df.withColumn(out, answer).drop("_k", "_h", "_a", "_text")
+    merged = F.transform("opened", lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get("opened", i + 1)["before"], "last").alias("end")))
+    back = back.select(F.col("k").alias(f"{own}_k"), F.col("h").alias(f"{own}_h"), F.struct("spans", "base", merged.alias("merged"), "n_owned", "n_copied").alias(f"{own}_found"))
+    df = docs.withColumn(f"{own}_text", F.xxhash64(t)).join(back, F.col(key).cast("string").eqNullSafe(F.col(f"{own}_k")) & (F.col(f"{own}_text") == F.col(f"{own}_h")), "left")
+    no = lambda c, kind: F.coalesce(F.col(f"{own}_found.{c}"), F.expr(kind)).alias(c)
+    none = f"cast(array() as array<{SPAN}>)"
+    answer = F.struct(no("spans", none), no("base", none), no("merged", "cast(array() as array<struct<start:bigint,end:bigint>>)"), no("n_owned", "0L"), no("n_copied", "0L"))
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], answer.alias(out))
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span replaced by ``mark``; overlapping spans become one."""
-    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(text: Column, merged: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with every span of ``merged`` (in order, without overlaps) replaced by ``mark``.
+
+    Pieces are cut from the text as UTF-32, where a position is an offset.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def cut(wide: Column) -> Column:
+        part = lambda begin, end: F.decode(F.substring(wide, (4 * begin + 1).cast("int"), (4 * (end - begin)).cast("int")), "UTF-32")
+        pieces = F.transform(merged, lambda s, i: F.concat(part(F.coalesce(F.get(merged, i - 1)["end"], F.lit(0)), s["start"]), F.lit(mark)))
+        return F.concat(F.array_join(pieces, ""), part(F.element_at(merged, -1)["end"], F.length(text)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))))
+    return F.when(F.size(merged) == 0, text).otherwise(let(F.encode(text, "UTF-32"), cut))
