@@ -15,8 +15,13 @@ cannot identify a leak and match nothing.
 A passage of ``words`` item words that occurs without edits is a leak too, though it may be shorter than ``w``: its
 q-grams are one run of hits on one diagonal. It gives a row where no window of the item is found.
 
-The benchmark is split into parts of a bounded number of characters (``part_chars``); each part is sent to the workers
-and scans all documents, so what is broadcast is bounded and a larger benchmark costs passes, not memory.
+The benchmark is split into parts of a bounded number of characters (``part_chars``). One part after another is sent to
+the workers, scans all documents and has its result written before the next is read, so neither driver nor workers hold
+more than one part, and a larger benchmark costs passes, not memory.
+
+A q-gram that is frequent in texts and items (a line of dashes) has as many hits as the product of its counts. Hits are
+therefore looked up in slices of the text, and where a slice is still too large in groups of items; items are indexed in
+overlapping segments, so one slice of one segment is bounded. Slices overlap by more than a window, so nothing is lost.
 
 Edge cases: null or empty texts match nothing; repeated documents or items each give their own row; very long texts
 are scanned whole, in pieces with overlap; empty tables give an empty result; extra columns are not read, or passed
@@ -33,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.common import Scratch, fresh
+
 MATCHES = "item_id bigint, doc_start bigint, doc_end bigint, edits bigint, coverage double"
 
 
@@ -44,6 +51,9 @@ class Budget:
     least: int = 24
     words: int = 13
     piece: int = 1 << 18
+    segment: int = 1 << 11
+    shared: int = 1 << 9
+    hits: int = 1 << 20
 
 
 def normal(text: str | None) -> np.ndarray:
@@ -78,21 +88,49 @@ def passages(c: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return at[: max(len(at) - words + 1, 0)], to[words - 1 :]
 
 
+def _same(rows: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows."""
+    rows = np.ascontiguousarray(rows)
+    return np.unique(rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_inverse=True)[1]
+
+
+def align(pattern: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each pattern within its band of the text, free ends there, and the first lane that reaches them."""
+    n, w = pattern.shape
+    lane = np.arange(text.shape[1] - w + 1, dtype=np.int32)
+    cost = np.zeros((n, len(lane)), np.int32)
+    for i in range(w):
+        step = cost + (text[:, i : i + len(lane)] != pattern[:, i : i + 1])
+        step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+        cost = np.minimum.accumulate(step - lane, axis=1) + lane
+    best = cost.argmin(axis=1)
+    return cost[np.arange(n), best], best
+
+
 class Index:
-    """Sorted q-gram hashes of a part of the benchmark, with a bitmap before them."""
+    """Sorted q-gram hashes of a part of the benchmark, with a bitmap before them.
+
+    ``chars`` holds segments of items: ``home`` is a segment's item, ``base`` where it starts in the item.
+    """
 
     def __init__(self, items: list[tuple[int, str]], b: Budget):
-        self.b, self.ids, chars, hashes, owner, where = b, [], [], [], [], []
+        self.b, self.ids, self.sizes, self.home, self.base = b, [], [], [], []
+        chars, hashes, owner, where = [], [], [], []
         for key, text in items:
             c = normal(text)
             if len(c) < b.least:
                 continue
-            h = qgrams(c, b.q)
-            hashes.append(h)
-            owner.append(np.full(len(h), len(chars), np.int64))
-            where.append(np.arange(len(h)))
-            chars.append(c)
+            for at in range(0, max(1, len(c) - b.shared), b.segment - b.shared):
+                part = c[at : at + b.segment]
+                h = qgrams(part, b.q)
+                hashes.append(h)
+                owner.append(np.full(len(h), len(chars), np.int64))
+                where.append(np.arange(len(h)))
+                chars.append(part)
+                self.home.append(len(self.ids))
+                self.base.append(at)
             self.ids.append(key)
+            self.sizes.append(len(c))
         self.chars = chars
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint32)
         order = np.argsort(h, kind="stable")
@@ -107,18 +145,44 @@ class Index:
         self.bound = np.maximum(self.window - b.q + 1 - self.budget * b.q, 1)
         self.passages = [passages(c, b.words) for c in chars]
         self.shortest = min((int((to - at).min()) for at, to in self.passages if len(at)), default=1 << 30)
+        self.over = 2 * (b.w + 2 * b.k)
 
-    def hits(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Q-grams of the text that an item holds: (item, place in the item, diagonal)."""
+    def hits(self, c: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Q-grams of the text that a segment holds: (segment, place in it, diagonal), in bounded pieces.
+
+        Every alignment of a window, or passage shorter than a window, has all its hits in one of the pieces.
+        """
+        if not len(self.hash):
+            return
         h = qgrams(c, self.b.q)
         pos = np.flatnonzero(self.bits[h >> np.uint32(10)])
-        none = (np.empty(0, np.int64),) * 3
-        if not len(pos):
-            return none
         lo, hi = np.searchsorted(self.hash, h[pos], "left"), np.searchsorted(self.hash, h[pos], "right")
+        total = np.concatenate([[0], np.cumsum(hi - lo)])
+        least, cuts = min(self.bound.min(), self.shortest - self.b.q + 1), [(0, len(c))]
+        while cuts:
+            a, z = cuts.pop()
+            x, y = np.searchsorted(pos, [a, z - self.b.q + 1])
+            if x >= y or total[y] - total[x] < least:
+                continue
+            if total[y] - total[x] <= self.b.hits:
+                yield self._postings(pos[x:y], lo[x:y], hi[x:y])
+            elif z - a > 4 * self.over:
+                middle = (a + z) // 2
+                cuts += [(middle - self.over // 2, z), (a, middle + self.over // 2)]
+            else:  # still too many: groups of segments, whose postings of one hash stand in order
+                ranges, count = np.unique(np.stack([lo[x:y], hi[x:y]]), axis=1, return_counts=True)
+                per = np.zeros(len(self.chars), np.int64)
+                for l, r, n in zip(*ranges.tolist(), count.tolist(), strict=True):  # noqa: E741
+                    np.add.at(per, self.owner[l:r], n)
+                group = (np.cumsum(per) - per) // self.b.hits
+                for g in np.unique(group[per > 0]):
+                    first, last = np.searchsorted(group, g, "left"), np.searchsorted(group, g, "right")
+                    low = np.array([l + np.searchsorted(self.owner[l:r], first) for l, r in zip(lo[x:y], hi[x:y], strict=True)])  # noqa: E741
+                    high = np.array([l + np.searchsorted(self.owner[l:r], last) for l, r in zip(lo[x:y], hi[x:y], strict=True)])  # noqa: E741
+                    yield self._postings(pos[x:y], low, high)
+
+    def _postings(self, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
         n = hi - lo
-        if n.sum() < min(self.bound.min(), self.shortest - self.b.q + 1):
-            return none
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         g = self.where[at]
         return self.owner[at], g, np.repeat(pos, n) - g
@@ -157,75 +221,86 @@ class Index:
         key = np.unique((item * span + (band - low)) * longest + g)
         g, rest = key % longest, key // longest
         item, band = rest // span, rest % span + low
-        last = np.arange(len(g)) + self.bound[item] - 1
-        ok = last < len(g)
-        at = np.flatnonzero(ok)
-        end = last[at]
+        end = np.arange(len(g)) + self.bound[item] - 1
+        at = np.flatnonzero(end < len(g))
+        end = end[at]
         good = (item[end] == item[at]) & (band[end] == band[at]) & (g[end] - g[at] <= self.window[item[at]] - self.b.q)
         at, end = at[good], end[good]
         size = np.array([len(x) for x in self.chars], np.int64)[item[at]]
         # every window that holds the run, not only the one at its first q-gram: edits may precede that
         first = np.maximum(g[end] + self.b.q - self.window[item[at]], 0)
-        n = np.minimum(g[at], size - self.window[item[at]]) - first + 1
+        last = np.minimum(g[at], size - self.window[item[at]])
+        # neighbouring runs of one band share windows: each goes on behind the one before
+        follows = np.concatenate([[False], (item[at[1:]] == item[at[:-1]]) & (band[at[1:]] == band[at[:-1]])]) if len(at) else np.empty(0, bool)
+        first = np.where(follows, np.maximum(first, np.concatenate([[0], last[:-1]]) + 1), first)
+        n = np.maximum(last - first + 1, 0)
         start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        key = np.unique((np.repeat(item[at], n) * span + (np.repeat(band[at], n) - low)) * longest + start)
-        start, rest = key % longest, key // longest
-        return rest // span, start, (rest % span + low) * width
+        return np.repeat(item[at], n), start, np.repeat(band[at], n) * width
 
     def verify(self, c: np.ndarray, item: np.ndarray, start: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each window within its band, and the document position where that alignment ends."""
         edits, ends = np.empty(len(item), np.int64), np.empty(len(item), np.int64)
         lanes = 2 * (self.b.k + 1)
-        for w in np.unique(self.window[item]):
-            for chunk in np.array_split(np.flatnonzero(self.window[item] == w), max(1, (self.window[item] == w).sum() // 2048 + 1)):
-                if not len(chunk):
-                    continue
-                pattern = np.stack([self.chars[i][s : s + w] for i, s in zip(item[chunk], start[chunk], strict=True)])
-                at = (start[chunk] + diagonal[chunk])[:, None] + np.arange(w + lanes - 1)[None, :]
+        for w in np.unique(self.window[item]).tolist():
+            rows = np.flatnonzero(self.window[item] == w)
+            for chunk in np.array_split(rows, len(rows) // (1 << 17) + 1):
+                windows, p = np.unique((item[chunk] << 32) + start[chunk], return_inverse=True)
+                pattern = np.stack([self.chars[x >> 32][x & 0xFFFFFFFF :][:w] for x in windows.tolist()])
+                places, t = np.unique(start[chunk] + diagonal[chunk], return_inverse=True)
+                at = places[:, None] + np.arange(w + lanes - 1)[None, :]
                 text = np.where((at >= 0) & (at < len(c)), c[np.clip(at, 0, len(c) - 1)], np.uint32(0xFFFFFFFF))
-                cost, lane = np.zeros((len(chunk), lanes), np.int32), np.arange(lanes, dtype=np.int32)
-                for i in range(w):
-                    step = cost + (text[:, i : i + lanes] != pattern[:, i : i + 1])
-                    step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
-                    cost = np.minimum.accumulate(step - lane, axis=1) + lane
-                best = cost.argmin(axis=1)
-                edits[chunk] = cost[np.arange(len(chunk)), best]
-                ends[chunk] = at[:, 0] + w + best
+                # in repetitive texts most windows are the same: each pair of strings is aligned once
+                _, one, back = np.unique(_same(pattern)[p] * len(places) + _same(text)[t], return_index=True, return_inverse=True)
+                cost, best = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+                for i in range(0, len(one), 2048):
+                    some = one[i : i + 2048]
+                    cost[i : i + 2048], best[i : i + 2048] = align(pattern[p[some]], text[t[some]])
+                edits[chunk], ends[chunk] = cost[back], places[t] + w + best[back]
         return edits, ends
 
+    def found(self, text: str | None) -> Iterator[tuple[int, int, int, int, int, bool]]:
+        """Windows and passages in the normal text: (item, start in the item, edits, end in the text, length, exact)."""
+        whole = normal(text)
+        for left in range(0, max(1, len(whole) - self.over), self.b.piece):
+            c = whole[left : left + self.b.piece + self.over]
+            for hits in self.hits(c):
+                for i, s, end, w in self.exact(c, *hits):
+                    yield self.home[i], s + self.base[i], 0, end + left, w, True
+                item, start, diagonal = self.regions(*hits)
+                if not len(item):
+                    continue
+                edits, ends = self.verify(c, item, start, diagonal)
+                good = edits <= self.budget[item]
+                for i, s, e, end in zip(item[good].tolist(), start[good].tolist(), edits[good].tolist(), ends[good].tolist(), strict=True):
+                    yield self.home[i], s + self.base[i], e, end + left, int(self.window[i]), False
+
+    def holds(self, text: str | None) -> bool:
+        """Whether any item is found; ends at the first."""
+        return next(self.found(text), None) is not None
+
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """One entry per item found in the text: (item id, start, end, least edits, share of the item covered)."""
-        whole, found, exact = normal(text), {}, {}
-        over = 2 * (self.b.w + 2 * self.b.k)
-        for left in range(0, max(1, len(whole) - over), self.b.piece):
-            c = whole[left : left + self.b.piece + over]
-            hits = self.hits(c)
-            if not len(hits[0]):
-                continue
-            for i, s, end, w in self.exact(c, *hits):
-                exact.setdefault(i, []).append((s, 0, end + left, w))
-            item, start, diagonal = self.regions(*hits)
-            if not len(item):
+        length, best = len(normal(text)), {}
+        for i, s, edits, end, w, exact in self.found(text):
+            # passages count only where no window of the item is found
+            x = best.get(i)
+            if x is None or x[4] and not exact:
+                x = best[i] = [end - w, end, edits, np.zeros(self.sizes[i] + 1, np.int32), exact]
+            elif exact and not x[4]:
                 continue
-            edits, ends = self.verify(c, item, start, diagonal)
-            good = edits <= self.budget[item]
-            for i, s, e, end in zip(item[good].tolist(), start[good].tolist(), edits[good].tolist(), ends[good].tolist(), strict=True):
-                found.setdefault(i, []).append((s, e, end + left, int(self.window[i])))
-        found = exact | found
-        out = []
-        for i in sorted(found):
-            covered = np.zeros(len(self.chars[i]), bool)
-            for s, _, _, w in found[i]:
-                covered[s : s + w] = True
-            begin, end = min(x[2] - x[3] for x in found[i]), max(x[2] for x in found[i])
-            out.append((self.ids[i], max(begin, 0), min(end, len(whole)), min(x[1] for x in found[i]), round(float(covered.mean()), 4)))
-        return out
+            x[0], x[1], x[2] = min(x[0], end - w), max(x[1], end), min(x[2], edits)
+            x[3][s] += 1
+            x[3][min(s + w, self.sizes[i])] -= 1
+        return [(self.ids[i], max(x[0], 0), min(x[1], length), x[2], round(float((np.cumsum(x[3])[:-1] > 0).mean()), 4)) for i, x in sorted(best.items())]
+
+
+def part_count(benchmark: DataFrame, text: str, part_chars: int) -> int:
+    return max(1, -(-(benchmark.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0) // part_chars))
 
 
 def parts(benchmark: DataFrame, key: str, text: str, part_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in parts of about ``part_chars`` characters; only one part is held at a time."""
-    n = benchmark.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    count = max(1, -(-n // part_chars))
+    """The benchmark in parts of about ``part_chars`` characters, each read when the one before is done."""
+    count = part_count(benchmark, text, part_chars)
     for i in range(count):
         part = benchmark.where(F.pmod(F.xxhash64(key, text), F.lit(count)) == i) if count > 1 else benchmark
         items = [(r[0], r[1]) for r in part.select(F.col(key), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()).orderBy(key, text).collect()]
@@ -233,40 +308,52 @@ def parts(benchmark: DataFrame, key: str, text: str, part_chars: int) -> Iterato
             yield items
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", budget: Budget | None = None, part_chars: int = 4_000_000) -> DataFrame:
-    """One row per document and item found in it: ``(key, item_id, doc_start, doc_end, edits, coverage)``."""
-    budget = budget or Budget()
-    schema = f"{key} bigint, {MATCHES}"
-    out = docs.sparkSession.createDataFrame([], schema)
+def _scan(docs: DataFrame, items: list[tuple[int, str]], budget: Budget, key: str) -> DataFrame:
+    """``docs(key, text)`` to one row per document and item of this part found in it."""
 
-    def scan(items: list[tuple[int, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(items, budget)
-            for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in index.matches(t)]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [key, "item_id", "doc_start", "doc_end", "edits", "coverage"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(items, budget)
+        for batch in batches:
+            rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in index.matches(t)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64()] * 5 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [key, "item_id", "doc_start", "doc_end", "edits", "coverage"])
 
-        return run
+    return docs.mapInArrow(run, f"`{key}` bigint, {MATCHES}")
 
-    for items in parts(benchmark, item_key, item_text, part_chars):
-        out = out.union(docs.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(scan(items), schema))
+
+def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", budget: Budget | None = None, part_chars: int = 4_000_000) -> DataFrame:
+    """One row per document and item found in it: ``(key, item_id, doc_start, doc_end, edits, coverage)``."""
+    budget, scratch = budget or Budget(), scratch or Scratch(docs.sparkSession)
+    out = docs.sparkSession.createDataFrame([], f"`{key}` bigint, {MATCHES}")
+    for i, items in enumerate(parts(benchmark, item_key, item_text, part_chars)):
+        out = out.union(scratch.save(_scan(docs.select(F.col(key).cast("bigint"), F.col(text)), items, budget, key), f"part{i}"))
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", budget: Budget | None = None, part_chars: int = 4_000_000) -> DataFrame:
-    """The documents in which no item is found, with all their columns; no shuffle."""
-    budget = budget or Budget()
+def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None, text: str = "text", item_key: str = "item_id", item_text: str = "text", budget: Budget | None = None, part_chars: int = 4_000_000) -> DataFrame:
+    """The documents in which no item is found, with all their columns.
+
+    With one part, a filter without a shuffle; otherwise each part writes the numbers of the rows it finds, which are
+    taken out at the end.
+    """
+    budget, scratch = budget or Budget(), scratch or Scratch(docs.sparkSession)
 
-    def keep(items: list[tuple[int, str]], column: int):
+    def keep(items: list[tuple[int, str]], column: int, wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(items, budget)
             for batch in batches:
-                yield batch.filter(pa.array([not index.matches(t) for t in batch.column(column).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([index.holds(t) == wanted for t in batch.column(column).to_pylist()], pa.bool_()))
 
         return run
 
-    for items in parts(benchmark, item_key, item_text, part_chars):
-        docs = docs.mapInArrow(keep(items, docs.columns.index(text)), docs.schema)
-    return docs
+    count = part_count(benchmark, item_text, part_chars)
+    if count == 1:
+        items = next(parts(benchmark, item_key, item_text, part_chars), [])
+        return docs.mapInArrow(keep(items, docs.columns.index(text), False), docs.schema)
+    row = fresh(docs, "_row")
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = [scratch.save(rows.select(row, text).mapInArrow(keep(items, 1, True), rows.select(row, text).schema).select(row), f"held{i}") for i, items in enumerate(parts(benchmark, item_key, item_text, part_chars))]
+    for held in found:
+        rows = rows.join(held, row, "left_anti")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

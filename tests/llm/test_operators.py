@@ -534,6 +534,36 @@ def test_long_texts_are_scanned_at_every_seam():
         assert [m[0] for m in index.matches(text)] == [1]
 
 
+def test_hot_qgrams_need_bounded_memory_and_lose_nothing():
+    """A line of dashes in text and items: the hits come in pieces, and the passages between them are still found."""
+    import tracemalloc
+
+    rng = random.Random(17)
+    item = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip()
+    items = [(1, "-" * 500), (2, "-" * 700), (3, item(90)), (4, item(2500)), (5, "-" * 40 + item(60))]
+    b = decontaminate.Budget(hits=1 << 16, segment=512, shared=200)
+    index = decontaminate.Index(items, b)
+    text = "-" * 900 + " " + items[2][1] + " " + items[3][1][1900:2000] + " " + "-" * 900 + items[4][1][40:]
+    tracemalloc.start()
+    got = {m[0]: m for m in index.matches(text)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got) == {1, 2, 3, 4, 5} and peak < 200 << 20
+    assert got[1][1:] == (0, got[1][2], 0, 1.0) and got[2][4] == 1.0 and got[3][3:] == (0, 1.0) and got[4][3] == 0
+    plain = decontaminate.Index(items, decontaminate.Budget(hits=1 << 40, segment=1 << 20))
+    for a, z in zip(plain.matches(text[700:1300]), index.matches(text[700:1300]), strict=True):
+        assert (a[0], a[1], a[3], a[4]) == (z[0], z[1], z[3], z[4]) and abs(a[2] - z[2]) <= b.k  # where an end is tied, bands decide
+
+
+def test_long_items_are_indexed_in_segments():
+    rng = random.Random(4)
+    whole = "".join(rng.choice("abcdefghijklmnop ") for _ in range(9000))
+    index, plain = (decontaminate.Index([(1, whole)], decontaminate.Budget(segment=n, shared=300)) for n in (700, 1 << 20))
+    for at in range(0, 8900, 211):
+        t = "#" * 50 + whole[at : at + 100] + "#" * 50
+        assert index.matches(t) == plain.matches(t) != []
+
+
 def test_decontamination_hard_rows(spark, hard, nothing):
     bench = spark.createDataFrame([(1, None), (None, "x" * 40), (2, ""), (3, "word word word word word word"), (3, "word word word word word word")], "item_id bigint, text string")
     r = decontaminate.leaks(hard, bench).collect()
