@@ -7,11 +7,13 @@ and reads it again, so no stage depends on the lineage of another.
 2. near_dedup: of each component of near copies (five-word shingles, similarity 0.8) the least id stays.
 3. decontamination: documents that hold a benchmark passage go.
 4. secrets: base spans and owner-specific credentials are replaced by a mark; all documents stay.
-5. mixing: words taken per document, repeats counted; documents of which nothing is taken go.
+5. mixing: the mixed text of each document, repeats written out, with size, source_size, target and words taken;
+   documents of which nothing is taken go.
 
 Null, empty and blank texts fail the base test and leave at the first stage; a later stage that is given one keeps it (the
 mix takes nothing of it, so it goes there). Rows that repeat an id count as one document and stay or go together; rows
-with a null id are never near copies. Ties go to the least id. Empty tables stay empty; other columns pass through.
+with a null id are never near copies. Ties go to the least id. Empty tables stay empty; other columns
+pass through whatever their names, but at the last stage those named as one of its four figures are replaced.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import decontaminate, mixing, neardup, quality, secrets
-from engram.llm.common import Scratch, table
+from engram.llm.common import Scratch, fresh, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.apply_rules(docs, out="_quality").where("_quality.kept").select(*docs.columns)
+    own = fresh(docs, "_quality")
+    return quality.apply_rules(docs, out=own).where(F.col(own)["kept"]).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +36,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), Scratch(spark))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs, Scratch(spark), out="_secrets")
-    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("_secrets.spans")))
-    return clean.withColumn("n_chars", F.when(F.size("_secrets.spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    own = fresh(docs, "_secrets")
+    found = secrets.scan(docs, Scratch(spark), out=own)
+    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col(own)["merged"]))
+    return clean.withColumn("n_chars", F.when(F.size(F.col(own)["spans"]) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, Scratch(spark)).where("taken > 0")
+    return mixing.mixed(docs, Scratch(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 STAGES = [
