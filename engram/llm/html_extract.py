@@ -8,8 +8,8 @@ blocks is trained by stochastic gradients on labelled pages, with forward-backwa
 adverts, forms, related links and reader comments around and inside articles of very different lengths, with unclosed tags.
 
 Edge cases: null and empty html, and pages without main text, give an empty text; broken markup never fails, as unknown
-or unmatched tags are skipped; very long pages are read whole in one pass; repeated pages are treated alike; extra
-columns with other names pass through.
+or unmatched tags are skipped; very long pages are read whole in one pass, whatever their nesting; repeated pages and ids
+are treated alike; an empty table stays empty; extra columns pass through, but one named ``text`` is replaced.
 """
 
 from __future__ import annotations
@@ -37,27 +37,40 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 WALLS = set("table ul ol dl div article section aside nav main body form blockquote".split())
 
 
+@dataclass(frozen=True)
+class Place:
+    """What stands above a block: innermost block-level tag, all tags, all attribute words. Equal sets are shared."""
+
+    tag: str = ""
+    inside: str = "none"
+    tags: frozenset[str] = frozenset()
+    words: frozenset[str] = frozenset()
+
+    def down(self, tag: str, words: list[str]) -> Place:
+        tags = self.tags if tag in self.tags else self.tags | {tag}
+        return Place(tag, tag if tag in BLOCK else self.inside, tags, self.words if self.words.issuperset(words) else self.words.union(words))
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    words: tuple[str, ...]
+    place: Place
     linked: int
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with the tags and the attribute words above them."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Place] = []
     parts: list[str] = []
-    seen: tuple[tuple[str, ...], tuple[str, ...]] | None = None
+    seen: Place | None = None
     linked, page, at = 0, page or "", 0
 
     def flush() -> None:
         nonlocal linked, seen
         text = " ".join("".join(parts).split())
         if text and seen:
-            out.append(Block(text, *seen, linked))
+            out.append(Block(text, seen, linked))
         parts.clear()
         linked, seen = 0, None
 
@@ -66,8 +79,8 @@ def blocks(page: str | None) -> list[Block]:
         if token[0] != "<" or token == "<":
             text = entities.unescape(token)
             if seen is None and not text.isspace():
-                seen = tuple(t for t, _ in stack), tuple(w for _, ws in stack for w in ws)
-            if any(t == "a" for t, _ in stack):
+                seen = stack[-1] if stack else Place()
+            if stack and "a" in stack[-1].tags:
                 linked += len(text.split())
             parts.append(text)
             continue
@@ -78,10 +91,10 @@ def blocks(page: str | None) -> list[Block]:
             if tag in BLOCK:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
-                if stack[i][0] in WALLS and tag not in BLOCK:
+                if stack[i].tag in WALLS and tag not in BLOCK:
                     break
             continue
         if tag in RAW:
@@ -100,15 +113,15 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             stop = CLOSES.get(tag, set()) | {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in stop:
+                if stack[i].tag in stop:
                     del stack[i:]
                     break
-                if stack[i][0] in WALLS and stack[i][0] not in stop:
+                if stack[i].tag in WALLS and stack[i].tag not in stop:
                     break
         if tag in VOID or token.endswith("/>") and tag not in BLOCK:
             continue
-        words = tuple(w for _, v in ATTRIBUTE.findall(token) for w in re.split(r"[^a-z]+", v.lower()) if w)
-        stack.append((tag, words))
+        words = [w for _, v in ATTRIBUTE.findall(token) for w in re.split(r"[^a-z]+", v.lower()) if w]
+        stack.append((stack[-1] if stack else Place()).down(tag, words))
     flush()
     return out
 
@@ -118,10 +131,9 @@ def features(bs: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(bs):
         n = len(b.text.split())
-        inside = next((t for t in reversed(b.tags) if t in BLOCK), "none")
-        f = {f"own={inside}", "words=" + ("1-3" if n < 4 else "4-10" if n < 11 else "11-30" if n < 31 else "more"), "links=" + ("none" if not b.linked else "some" if 2 * b.linked < n else "most")}
-        f |= {f"tag={t}" for t in b.tags} | {f"word={w}" for w in b.words}
-        if "article" in b.tags or "main" in b.tags:
+        f = {f"own={b.place.inside}", "words=" + ("1-3" if n < 4 else "4-10" if n < 11 else "11-30" if n < 31 else "more"), "links=" + ("none" if not b.linked else "some" if 2 * b.linked < n else "most")}
+        f |= {f"tag={t}" for t in b.place.tags} | {f"word={w}" for w in b.place.words}
+        if "article" in b.place.tags or "main" in b.place.tags:
             f.add("in=article")
         if b.text[-1] in ".!?:;\"')»”":
             f.add("end=mark")
@@ -217,7 +229,7 @@ def labelled_pages(count: int = 400, seed: int = 4) -> list[tuple[list[Block], l
         if kind == "notice":
             return f'<div class="{pick("notice", "cookie notice", "cookie banner", "consent", "alert", "popup", "modal", "gdpr")}">{pick("<p>{}</p>", "{}").format(say(3, 30))}{pick("", "<button>Ok</button>")}</div>'
         if kind == "form":
-            return f'<form class="{pick("subscribe", "newsletter", "search", "login")}"><label>{say(1, 5)}</label><input name=q><button>{say(1, 2)}</button><p>{say(2, 12)}</p></form>'
+            return f'<form{pick("", "", " action=/q", f' class="{pick("subscribe", "newsletter", "search", "login")}"')}>{pick("", f"<p>{say(2, 40)}</p>")}<label>{say(1, 5)}</label><input name=q><button>{say(1, 2)}</button><p>{say(2, 12)}</p></form>'
         if kind == "related":
             return f'<{(t := pick("div", "section"))} class="{pick("related", "recommended", "more stories", "popular", "tags")}"><h3>{say(1, 4)}</h3><ul>{links(4)}</ul></{t}>'
         if kind == "share":

@@ -424,6 +424,67 @@ def test_raw_elements_do_not_swallow_the_page():
         assert [b.text for b in html_extract.blocks(f"<p>a</p><{tag}>gone</{tag}><p>b</p>")] == ["a", "b"]
 
 
+#: Pages written by hand in shapes that the templates do not make, with their main text.
+PAGES = {
+    "news": (
+        """<!doctype html><html lang=en><head><meta charset=utf-8><title>Harbour</title><style>p{color:red}</style></head><body class="home desktop">
+<a class="skip-link" href="#m">Skip to content</a><header role="banner"><a href="/">The Daily Tide</a><nav aria-label="Main"><a href="/w">World</a> <a href="/s">Sport</a></nav></header>
+<div class="cookie-banner"><p>We use cookies to improve the site.</p><button>Accept</button></div>
+<main id="m"><article class="article"><h1>Harbour wall rebuilt after the storm</h1>
+<p>The harbour wall was finished on Monday, <a href="/a">two years</a> after the storm took it.</p><figure><img src=x><figcaption>The wall at dawn.</figcaption></figure>
+<p>Boats may enter again from Tuesday.</p><form action="/q"><label>Search the archive</label><input name=q><button>Go</button></form><p>The council paid for the work.</p></article></main>
+<aside class="related"><h2>More stories</h2><ul><li><a href="/1">Fish prices fall</a></li></ul></aside><footer><p>&copy; 2026 The Daily Tide</p></footer><script>x("<p>no</p>")</script></body></html>""",
+        ["Harbour wall rebuilt after the storm", "The harbour wall was finished on Monday, two years after the storm took it.", "The wall at dawn.", "Boats may enter again from Tuesday.", "The council paid for the work."],
+    ),
+    "blog": (
+        """<html><body><div class="sidebar"><h3>Archive</h3><ul><li><a href=/j>June</a><li><a href=/m>May</a></ul></div><div class="content"><h1>On bread</h1><p>Flour, water and salt are all it takes.<p>Wait a day &mdash; then bake it.
+<blockquote>Good bread needs time.</blockquote><ul><li>500 g of flour</li><li>10 g of salt</li></ul><noscript><p>Turn it once while it bakes.</p></noscript><p>x &lt; y holds for <math><mi>x</mi></math> here.</div>
+<section id="comments"><h2>3 comments</h2><div class="comment"><b>Ann</b><p>I will try this loaf at home.</p></div></section><div class="footer-ad advert">Buy our oven</div></body></html>""",
+        ["On bread", "Flour, water and salt are all it takes.", "Wait a day — then bake it.", "Good bread needs time.", "500 g of flour", "10 g of salt", "Turn it once while it bakes.", "x < y holds for x here."],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_hand_written_pages(crf, name):
+    page, want = PAGES[name]
+    assert html_extract.main_text(page, crf).split("\n\n") == want
+
+
+def test_bare_forms_go(crf):
+    got = html_extract.main_text("<article><h1>Title of it</h1><p>Some words that tell the story.</p><form><p>Search</p><input><button>Go</button></form><p>And its end comes here.</p></article>", crf)
+    assert got == "Title of it\n\nSome words that tell the story.\n\nAnd its end comes here."
+
+
+def test_long_and_deep_pages_are_read_whole(crf):
+    long = "word " * 300_000
+    assert html_extract.main_text(f"<article><p>{long}</p></article>", crf) == long.strip()
+    many = [f"Paragraph {i} of a long story." for i in range(5000)]
+    assert html_extract.main_text("<article>" + "".join(f"<p>{x}" for x in many) + "</article>", crf).split("\n\n") == many
+    assert [b.text for b in html_extract.blocks("<div>x" * 20_000)] == ["x"] * 20_000
+
+
+def test_extraction_equals_a_reading_by_marks(crf):
+    """Pages built from parts known to be main text or not, joined by hand."""
+    rng = random.Random(12)
+    for _ in range(60):
+        want, body = [], []
+        for i in range(rng.randint(1, 12)):
+            kind = rng.random()
+            text = " ".join(rng.choice(["river", "stone", "walks", "under", "the", "old", "bridge"]) for _ in range(rng.randint(5, 30)))
+            if kind < 0.6:
+                body.append(rng.choice([f"<p>{text}.</p>", f"<p>{text}.", f"<p><em>{text}</em>.</p>", f"<h2>{text}.</h2>"]))
+                want.append(text + ".")
+            elif kind < 0.75:
+                body.append(f"<form><p>{text}</p><button>Send</button></form>")
+            elif kind < 0.9:
+                body.append(f'<div class="advert">{text}</div>')
+            else:
+                body.append(f"<script>{text}</script><style>{text}</style><!-- {text} -->")
+        page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article>{''.join(body)}</article><footer>© us</footer></body></html>"
+        assert html_extract.main_text(page, crf) == "\n\n".join(want)
+
+
 def test_html_hard_rows(spark, crf):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<<<>>><a href='"), (4, "w", "<p>" * 20_000), (4, "w", "<article><p>x</p></article>")]
     r = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")), model=crf).collect()
