@@ -4,12 +4,15 @@ The features of a text are its character 2- to 5-grams, lower-cased, with one bl
 into buckets. A text is the average of its features' embeddings; a linear softmax gives the language. As both layers are
 linear up to the softmax, prediction adds up one small vector per gram.
 
-Training takes a bounded, seeded sample (``rows`` documents) of labelled texts outside the held-out fold. A fifth of it
-is kept aside: a temperature calibrates the probabilities on it, and the least score whose accepted texts reach
-``precision`` becomes the rejection level, reported as ``accepted``.
+Training takes a bounded, seeded sample of labelled texts outside the held-out fold, drawn by language: each gets an equal
+part of ``rows`` (20 at least), and where it has fewer its rows repeat, so a rare language is learnt too. A fifth of each
+language is kept aside: a temperature calibrates the probabilities on it, and the least score whose accepted texts reach
+``precision`` becomes the rejection level, reported as ``accepted``. With fewer than five rows in every language none can
+be kept aside, and nothing is accepted.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without training rows every text is
-``und``; ties go to the first language in order; repeated rows are predicted alike; extra columns are ignored.
+``und``; ties go to the first language in order; repeated rows are predicted alike and drawn once, however often they
+occur; rows with a null id are drawn as others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from engram.llm.toxicity import Rows, fold
 
@@ -101,18 +105,31 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: Rows, langs: list[str], bits: int = 16, dim: int = 8, epochs: int = 4, batch: int = 64, rate: float = 0.5, precision: float = 0.99, seed: int = 9) -> Model:
+def loss_slopes(h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Summed cross-entropy of averaged embeddings ``h`` and its slopes by ``h``, ``w`` and ``b``."""
+    p = _softmax(h @ w + b)
+    at = np.arange(len(y)), y
+    loss = -np.log(p[at]).sum()
+    p[at] -= 1
+    return float(loss), p @ w.T, h.T @ p, p.sum(axis=0)
+
+
+def fit(rows: Rows, langs: list[str], bits: int = 16, dim: int = 8, epochs: int = 4, batch: int = 64, rate: float = 0.5, precision: float = 0.99, seed: int = 9, least_steps: int = 120) -> Model:
     """SGD with a falling rate, then temperature and rejection level on the rows kept aside."""
     keep = [i for i, (x, _) in enumerate(rows) if len(x)]
     rows, langs = [rows[i] for i in keep], [langs[i] for i in keep]
     names = sorted(set(langs))
-    if len(names) < 1 or len(rows) < 5:
-        return Model(names[:1], bits, np.zeros((1 << bits, len(names[:1]))), np.zeros(len(names[:1])))
+    if not names:
+        return Model(bits=bits)
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
     order = rng.permutation(len(rows))
-    aside, used = order[: len(order) // 5], order[len(order) // 5 :]
+    per = [order[y[order] == c] for c in range(len(names))]
+    aside = np.concatenate([x[: len(x) // 5] for x in per])
+    most = max(len(x) - len(x) // 5 for x in per)
+    used = np.concatenate([np.resize(x[len(x) // 5 :], most) for x in per])  # rows of rarer languages repeat
     e, w, b = rng.normal(0, 0.1, (1 << bits, dim)), rng.normal(0, 0.1, (dim, len(names))), np.zeros(len(names))
+    epochs = max(epochs, -(-least_steps // -(-len(used) // batch)))
     steps, t = epochs * -(-len(used) // batch), 0
     for _ in range(epochs):
         used = rng.permutation(used)
@@ -120,17 +137,15 @@ def fit(rows: Rows, langs: list[str], bits: int = 16, dim: int = 8, epochs: int
             ids = used[at : at + batch]
             index, value, row = _take(rows, ids)
             h = np.stack([np.bincount(row, value * e[index, d], len(ids)) for d in range(dim)], axis=1)
-            g = _softmax(h @ w + b)
-            g[np.arange(len(ids)), y[ids]] -= 1
+            _, gh, gw, gb = loss_slopes(h, w, b, y[ids])
             now = rate * (1 - t / steps)
-            gh = g @ w.T
             touched, back = np.unique(index, return_inverse=True)
             for d in range(dim):  # summed, not averaged: a bucket is in few documents of a batch
                 e[touched, d] -= now * 40 * np.bincount(back, value * gh[row, d], len(touched))
-            w -= now * h.T @ g / len(ids)
-            b -= now * g.mean(axis=0)
+            w -= now * gw / len(ids)
+            b -= now * gb / len(ids)
             t += 1
-    model = Model(names, bits, e @ w, b)
+    model = Model(names, bits, e @ w, b, reject=2.0)  # no score reaches 2
     if len(aside):
         z = np.stack([(rows[i][1] / rows[i][1].sum()) @ model.logits[rows[i][0]] + b for i in aside])
         loss = lambda c: -np.log(np.maximum(_softmax(z / c)[np.arange(len(aside)), y[aside]], 1e-12)).mean()
@@ -139,7 +154,7 @@ def fit(rows: Rows, langs: list[str], bits: int = 16, dim: int = 8, epochs: int
         best, right = p.max(axis=1), p.argmax(axis=1) == y[aside]
         o = np.argsort(-best, kind="stable")
         good = np.flatnonzero(np.cumsum(right[o]) / np.arange(1, len(o) + 1) >= precision)
-        model.reject = float(best[o][good[-1]]) if len(good) else 1.0
+        model.reject = float(best[o][good[-1]]) if len(good) else 2.0
     return model
 
 
@@ -174,9 +189,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, rows: int = 2_500, bits: int = 16) -> DataFrame:
     """``(key, held_out, lang_pred, score, accepted)`` for every document, learnt outside the held-out fold."""
     outside = F.coalesce(fold(key, folds) != held, F.lit(True))
-    chosen = docs.where(outside & F.col(lang).isNotNull()).select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(21)), key).limit(rows)
-    picked = docs.where(outside & F.col(lang).isNotNull()).select(key, lang, text).join(F.broadcast(chosen), key)  # at most ``rows`` ids
-    found = picked.select(lang, text).mapInArrow(feature_rows(bits), "lang string, index binary, count binary").collect()
+    known = docs.where(outside & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    share = max(20, rows // max(1, known.select("lang").distinct().count()))
+    spread = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k", "h", F.lit(21)), "k", "h"))  # cut to ``share`` rows a language before the shuffle
+    chosen = known.select("lang", "k", "h").distinct().withColumn("n", spread).where(F.col("n") <= share).select("lang", "k", "h")  # at most ``rows``, or 20 a language
+    same = [F.col("r.lang") == F.col("c.lang"), F.col("r.k").eqNullSafe(F.col("c.k")), F.col("r.h") == F.col("c.h")]
+    picked = known.alias("r").join(F.broadcast(chosen.alias("c")), same, "left_semi").dropDuplicates(["lang", "k", "h"])
+    found = picked.select("lang", "t").mapInArrow(feature_rows(bits), "lang string, index binary, count binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["index"]), bytes(r["count"])))
     model = fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int16)) for r in found], [r["lang"] for r in found], bits)
     out = predict(docs, model, key, text)

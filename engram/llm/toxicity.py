@@ -5,12 +5,14 @@ loss. With class prior p, the risk is ``p * R_P(+) + max(0, R_U(-) - p * R_P(-))
 step ascends it instead, so the model cannot fit unlabelled positives as negatives.
 
 The model is linear over hashed features of a text's distinct words (the word and its prefixes), divided by a power of
-their number. Both training sets are bounded, seeded samples (``positives`` and ``unlabelled`` rows); a quarter of each
-is kept aside to choose between a few settings and to place the cut where recall squared over the share of unlabelled
+their number. Both training sets are bounded, seeded samples (at most ``positives`` and ``unlabelled`` distinct pairs of id
+and text, so repeated rows count once); the settings are trained as tasks beside each other. A quarter of each is kept aside to choose between a few settings and to place the cut where recall squared over the share of unlabelled
 text predicted positive is largest, which needs no clean labels. All documents are scored, over their whole text.
 
 Edge cases: null and empty texts have no features and score the bias; without any positive or unlabelled row every
-score is 0; repeated rows are scored alike; documents without id count as not held out; extra columns are ignored.
+score is 0; repeated rows are scored alike and drawn once, however often they occur; rows that share an id share its label
+and its fold; documents without id count as not held out and are never drawn; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EDGES = b".,;:!?\"'()[]{}#*$%&|<>"
 #: (power of the feature count, L2 weight, learning rate)
 SETTINGS = ((0.7, 1e-5, 0.1), (0.5, 1e-4, 0.1), (0.5, 3e-5, 0.1), (0.7, 1e-4, 0.1))
+#: Standard errors by which the share of unlabelled text predicted positive may exceed the class prior.
+ERRORS = 1.0
 
 
 def fold(key: str, mod: int) -> Column:
@@ -120,10 +124,26 @@ class Sparse:
         return np.concatenate(out)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk_slopes(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, bool, np.ndarray, np.ndarray]:
+    """``(risk, ascend, d fp, d fu)`` of the non-negative risk with the logistic loss for outputs on P and U.
+
+    Where the bracket ``R_U(-) - prior * R_P(-)`` is below 0, the slopes are those of its negative alone.
+    """
+    bracket = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    risk = prior * np.logaddexp(0, -fp).mean() + max(0.0, bracket)
+    if bracket < 0:
+        return risk, True, prior * sigmoid(fp) / len(fp), -sigmoid(fu) / len(fu)
+    # logistic loss: l(-) - l(+) = f, so both terms of P add up to a constant slope
+    return risk, False, np.full(len(fp), -prior / len(fp)), sigmoid(fu) / len(fu)
+
+
 def train(p: Sparse, pr: np.ndarray, u: Sparse, ur: np.ndarray, prior: float, width: int, power: float, l2: float, rate: float, steps: int = 400, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias on the rows ``pr`` of P and ``ur`` of U, after about ``steps`` Adam steps on the non-negative risk with the logistic loss."""
+    """Weights and bias on the rows ``pr`` of P and ``ur`` of U, after about ``steps`` Adam steps on the non-negative risk."""
     rng = np.random.default_rng(seed)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     w, b, m, v, mb, vb, t = np.zeros(width), float(np.log(prior / (1 - prior))), np.zeros(width), np.zeros(width), 0.0, 0.0, 0
     for _ in range(-(-steps // max(1, -(-len(ur) // batch)))):
         order = rng.permutation(ur)
@@ -131,11 +151,7 @@ def train(p: Sparse, pr: np.ndarray, u: Sparse, ur: np.ndarray, prior: float, wi
             nu, np_ = min(batch, len(order) - at), min(len(pr), batch // 4)
             iu, xu, ru = u.take(order[at : at + batch], power)
             ip, xp, rp = p.take(rng.choice(pr, np_, replace=False), power)
-            fu, fp = b + np.bincount(ru, xu * w[iu], nu), b + np.bincount(rp, xp * w[ip], np_)
-            if np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean() < 0:
-                gu, gp = -sigmoid(fu) / nu, prior * sigmoid(fp) / np_
-            else:
-                gu, gp = sigmoid(fu) / nu, np.full(np_, -prior / np_)
+            _, _, gp, gu = risk_slopes(b + np.bincount(rp, xp * w[ip], np_), b + np.bincount(ru, xu * w[iu], nu), prior)
             g = l2 * w + np.bincount(iu, xu * gu[ru], width) + np.bincount(ip, xp * gp[rp], width)
             gb, t = gu.sum() + gp.sum(), t + 1
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -144,45 +160,59 @@ def train(p: Sparse, pr: np.ndarray, u: Sparse, ur: np.ndarray, prior: float, wi
     return w, b
 
 
-def fit(p: Sparse, u: Sparse, prior: float, bits: int = 18, seed: int = 5) -> Model:
-    """The best of ``SETTINGS`` on rows kept aside, with its cut."""
+def trial(p: Sparse, u: Sparse, prior: float, width: int, setting: tuple[float, float, float], seed: int) -> tuple[float, float, float, np.ndarray]:
+    """``(gain, bias, cut, weights)`` of one setting, judged on the rows kept aside."""
+    power, l2, rate = setting
+    rng = np.random.default_rng(seed)
+    po, uo = rng.permutation(len(p)), rng.permutation(len(u))
+    a, b = max(1, len(p) // 4), max(1, len(u) // 4)
+    w, bias = train(p, po[a:], u, uo[b:], prior, width, power, l2, rate)
+    sp, su = p.score(po[:a], w, bias, power), u.score(uo[:b], w, bias, power)
+    cuts = np.unique(np.concatenate([sp, su]))
+    recall = 1 - np.searchsorted(np.sort(sp), cuts, "left") / len(sp)
+    share = 1 - np.searchsorted(np.sort(su), cuts, "left") / len(su)
+    gain = np.where(share <= prior + ERRORS * (prior * (1 - prior) / len(su)) ** 0.5, recall**2 / np.maximum(share, prior / 2), -1)
+    i = int(gain.argmax())
+    below = sp[sp < cuts[i]].tolist() + su[su < cuts[i]].tolist()
+    return float(gain.max()), bias, float((cuts[i] + max(below)) / 2 if below else cuts[i]), w.astype(np.float32)
+
+
+def fit(spark: SparkSession, p: Sparse, u: Sparse, prior: float, bits: int = 18, seed: int = 5) -> Model:
+    """The best of ``SETTINGS`` on rows kept aside, with its cut. Each setting is one task."""
     if len(p) < 2 or len(u) < 2:
         return Model(bits)
     live = np.bincount(u.index, minlength=1 << bits) + np.bincount(p.index, minlength=1 << bits) >= 3
     p.only(live)
     u.only(live)
-    rng = np.random.default_rng(seed)
-    po, uo = rng.permutation(len(p)), rng.permutation(len(u))
-    a, b = max(1, len(p) // 4), max(1, len(u) // 4)
-    best: tuple[float, Model] | None = None
-    for power, l2, rate in SETTINGS:
-        w, bias = train(p, po[a:], u, uo[b:], prior, int(live.sum()), power, l2, rate)
-        sp, su = p.score(po[:a], w, bias, power), u.score(uo[:b], w, bias, power)
-        cuts = np.unique(np.concatenate([sp, su]))
-        recall = 1 - np.searchsorted(np.sort(sp), cuts, "left") / len(sp)
-        share = 1 - np.searchsorted(np.sort(su), cuts, "left") / len(su)
-        gain = np.where(share <= prior + 1 / len(su), recall**2 / np.maximum(share, prior / 2), -1)
-        i = int(gain.argmax())
-        below = sp[sp < cuts[i]].tolist() + su[su < cuts[i]].tolist()
-        cut = (cuts[i] + max(below)) / 2 if below else cuts[i]
-        if best is None or gain[i] > best[0]:
-            weights = np.zeros(1 << bits, np.float32)
-            weights[live] = w
-            best = gain[i], Model(bits, power, bias, float(cut), weights)
-    return best[1]
+    width = int(live.sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                gain, bias, cut, w = trial(p, u, prior, width, SETTINGS[i], seed)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([gain]), pa.array([bias]), pa.array([cut]), pa.array([w.tobytes()])], ["i", "gain", "bias", "cut", "weights"])
+
+    n = len(SETTINGS)
+    best = max(spark.range(0, n, 1, n).mapInArrow(run, "i bigint, gain double, bias double, cut double, weights binary").collect(), key=lambda r: (r["gain"], -r["i"]))
+    weights = np.zeros(1 << bits, np.float32)
+    weights[live] = np.frombuffer(best["weights"], np.float32)
+    return Model(bits, SETTINGS[best["i"]][0], best["bias"], best["cut"], weights)
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, train_rows: Column, positives: int, unlabelled: int, bits: int) -> tuple[Sparse, Sparse, float]:
-    """Bounded, seeded samples of P and U as features, and the share of toxic among labelled training rows."""
-    spread = F.xxhash64(F.col(key), F.lit(11))
+    """Bounded, seeded samples of P and U as features, and the share of toxic among labelled training rows.
+
+    The draw is over distinct pairs of id and text, found by hash; one row of each drawn pair is read.
+    """
     known = labels.where(train_rows).select(key, "toxic").distinct()
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    ids = docs.where(train_rows).select(key)
-    p = ids.join(known.where("toxic = 1").select(key), key, "left_semi").orderBy(spread, key).limit(positives).select(key, F.lit(True).alias("positive"))
-    u = ids.orderBy(F.xxhash64(F.col(key), F.lit(12)), key).limit(unlabelled).select(key, F.lit(False).alias("positive"))
-    chosen = p.union(u)  # at most positives + unlabelled rows, hence the broadcast
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select("positive", text).mapInArrow(feature_rows(bits), "positive boolean, index binary, count binary").collect()
-    rows.sort(key=lambda r: (r["positive"], bytes(r["index"])))  # the same order on every run
+    rows = docs.where(train_rows).select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    draw = lambda df, salt, n, positive: df.select("k", "h").distinct().orderBy(F.xxhash64("k", "h", F.lit(salt)), "k", "h").limit(n).withColumn("positive", F.lit(positive))
+    toxic = known.where("toxic = 1").select(F.col(key).alias("k"))
+    chosen = draw(rows.join(toxic, "k", "left_semi"), 11, positives, True).union(draw(rows, 12, unlabelled, False))  # at most positives + unlabelled rows, hence the broadcast
+    found = rows.join(F.broadcast(chosen), ["k", "h"]).dropDuplicates(["k", "h", "positive"])
+    rows = found.select("positive", "t").mapInArrow(feature_rows(bits), "positive boolean, index binary, count binary").collect()
+    rows.sort(key=lambda r: (r["positive"], bytes(r["index"]), bytes(r["count"])))  # the same order on every run
     packed = lambda want: Sparse([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int16)) for r in rows if r["positive"] == want])
     return packed(True), packed(False), float(min(max(prior or 0.1, 0.005), 0.9))
 
@@ -222,5 +252,5 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """``(key, held_out, score, predicted)`` for every document, learnt from rows outside the held-out fold."""
     outside = F.coalesce(fold(key, folds) != held, F.lit(False))
     p, u, prior = sample(docs, labels, key, text, outside, positives, unlabelled, bits)
-    scored = score(docs, fit(p, u, prior, bits), key, text)
+    scored = score(docs, fit(docs.sparkSession, p, u, prior, bits), key, text)
     return scored.select(key, F.coalesce(fold(key, folds) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -128,6 +128,61 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert right / len(held) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_risk_slopes_equal_finite_differences():
+    """The risk against its definition, its slopes against differences; below 0 the bracket alone is ascended."""
+    import numpy as np
+
+    rng, kinds = np.random.default_rng(1), set()
+    loss = lambda f, sign: np.log1p(np.exp(-sign * f)).mean()
+    for _ in range(200):
+        fp, fu, prior = rng.normal(rng.normal(), 2, 5), rng.normal(rng.normal(0, 2), 2, 9), rng.uniform(0.05, 0.9)
+        bracket = lambda a, c: loss(c, -1) - prior * loss(a, -1)  # noqa: E731, B023
+        risk, ascend, gp, gu = toxicity.risk_slopes(fp, fu, prior)
+        assert ascend == (bracket(fp, fu) < 0) and math.isclose(risk, prior * loss(fp, 1) + max(0, bracket(fp, fu)), abs_tol=1e-12)
+        aim = (lambda a, c: -bracket(a, c)) if ascend else (lambda a, c: prior * loss(a, 1) + bracket(a, c))  # noqa: E731, B023
+        for g, n, f in ((gp, 5, lambda d: aim(fp + d, fu)), (gu, 9, lambda d: aim(fp, fu + d))):  # noqa: B023
+            for i in range(n):
+                d = 1e-5 * np.eye(n)[i]
+                assert math.isclose(g[i], (f(d) - f(-d)) / 2e-5, abs_tol=1e-7)
+        kinds.add(ascend)
+    assert kinds == {True, False}
+
+
+def test_training_steps_equal_a_dense_version():
+    """Sparse Adam steps on the non-negative risk against plain dense arithmetic, batches covering all rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    row = lambda: (np.sort(rng.choice(12, 5, replace=False)).astype(np.int32), rng.integers(1, 4, 5).astype(np.int16))
+    pr, ur = [row() for _ in range(4)], [row() for _ in range(6)]
+    w, b = toxicity.train(toxicity.Sparse(pr), np.arange(4), toxicity.Sparse(ur), np.arange(6), 0.3, 12, 0.5, 1e-3, 0.1, steps=7)
+    dense = lambda rows: np.stack([np.bincount(i, n, 12) / n.sum() ** 0.5 for i, n in rows])
+    xp, xu, x, m, v = dense(pr), dense(ur), np.zeros(13), np.zeros(13), np.zeros(13)
+    x[12] = math.log(0.3 / 0.7)
+    for t in range(1, 8):
+        _, _, gp, gu = toxicity.risk_slopes(xp @ x[:12] + x[12], xu @ x[:12] + x[12], 0.3)
+        g = np.append(xp.T @ gp + xu.T @ gu + 1e-3 * x[:12], gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + np.append(np.full(12, 1e-6), 1e-8))
+    assert np.allclose(w, x[:12]) and math.isclose(b, x[12])
+
+
+def test_repeated_ids_do_not_grow_the_samples(spark):
+    """An id of 20,000 equal rows and one of 300 different texts: both draws stay within their bounds, also for languages."""
+    many = spark.range(20_000).select(F.lit(3).cast("bigint").alias("doc_id"), F.lit("the same text again").alias("text"), F.lit("en").alias("lang"))
+    other = spark.range(300).select(F.lit(6).cast("bigint"), F.concat(F.lit("text "), F.col("id")), F.lit("fr"))
+    rest = spark.range(100, 160).select("id", F.concat(F.lit("row "), F.col("id")), F.lit("de"))
+    docs = many.union(other).union(rest).cache()
+    labels = spark.createDataFrame([(3, 1), (6, 1), (100, 1), (101, 0)], "doc_id bigint, toxic int")
+    p, u, _ = toxicity.sample(docs, labels, "doc_id", "text", F.lit(True), 50, 70, 18)
+    assert len(p) == 50 and len(u) == 70
+    p, u, _ = toxicity.sample(docs, labels, "doc_id", "text", F.lit(True), 1000, 1000, 18)
+    assert len(p) == 302 and len(u) == 361
+    assert toxicity.classify(docs, labels).groupBy("score").count().where("count >= 20000").count() == 1
+    got = langid.identify(docs)
+    assert got.count() == 20_360 and {r["lang_pred"] for r in got.select("lang_pred").distinct().collect()} <= {"en", "fr", "de"}
+
+
 def test_toxicity_hard_rows(spark, hard, nothing):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     some = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (8, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
@@ -375,6 +430,55 @@ def test_language_on_held_out_texts(spark):
     assert all(got[r[0]]["held_out"] for r in held) and sum(x["held_out"] for x in got.values()) == len(held)
 
 
+def test_language_slopes_equal_finite_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    h, w, b, y = rng.normal(size=(7, 4)), rng.normal(size=(4, 3)), rng.normal(size=3), rng.integers(0, 3, 7)
+    _, gh, gw, gb = langid.loss_slopes(h, w, b, y)
+
+    def loss(h, w, b):
+        z = h @ w + b
+        return sum(math.log(sum(math.exp(v) for v in row)) - row[c] for row, c in zip(z, y, strict=True))
+
+    assert math.isclose(langid.loss_slopes(h, w, b, y)[0], loss(h, w, b))
+    for x, g in ((h, gh), (w, gw), (b, gb)):
+        for at in np.ndindex(x.shape):
+            old, x[at] = x[at], x[at] + 1e-5
+            up = loss(h, w, b)
+            x[at] = old - 1e-5
+            down, x[at] = loss(h, w, b), old
+            assert math.isclose(g[at], (up - down) / 2e-5, abs_tol=1e-6)
+
+
+def test_prediction_is_the_softmax_of_averaged_grams(spark):
+    """The Arrow prediction against one gram at a time."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b"], 6, rng.normal(size=(64, 2)), np.array([0.1, -0.2]), 0.7)
+    texts = ["Hello, World 12", "x", "ÀÉ😀 ñandú " * 50, "a b"]
+    table = langid.letters()
+    for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect():
+        grams = [g for part in langid.grams(langid.codes(texts[r["doc_id"]], table), 6) for g in part]
+        z = (np.mean([model.logits[g].astype(np.float32) for g in grams], axis=0) + model.bias) / 0.7
+        p = np.exp(z) / np.exp(z).sum()
+        assert r["lang_pred"] == "ab"[int(p.argmax())] and math.isclose(r["score"], p.max(), rel_tol=1e-5)
+
+
+def test_few_or_rare_training_rows_are_learnt(spark):
+    """Three documents of three languages are told apart and none is accepted; a language of 1 in 3,000 is predicted."""
+    text = {"en": "the house of the king", "fr": "la maison du roi où", "de": "das haus des königs"}
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2]
+    few = langid.identify(spark.createDataFrame([(i, t, x, "s", 0) for i, (x, t) in zip(ids, text.items(), strict=False)], DOCS)).collect()
+    assert [r["lang_pred"] for r in sorted(few, key=lambda r: r["doc_id"])] == list(text) and not any(r["accepted"] for r in few)
+    rng = random.Random(3)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
+    rows = [(i, say("abcdefgh"), "xx", "s", 0) for i in range(6000)] + [(6000 + i, say("stuvwxyz"), "yy", "s", 0) for i in range(4)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[6000 + i] == "yy" for i in range(4)) and sum(got[i] == "xx" for i in range(6000)) > 5900
+
+
 def test_language_hard_rows(spark, hard, nothing):
     r = langid.identify(hard).collect()
     assert len(r) == len(HARD)
