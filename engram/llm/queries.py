@@ -49,7 +49,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substrings.dedup(table(spark, sf_dir, "documents"), Scratch(spark), with_text=False)
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -763,6 +763,24 @@ def test_substring_dedup_equals_brute_force(spark, seed):
     assert sorted((tuple(r) for r in got), key=repr) == brute_substrings(rows)
 
 
+@pytest.mark.parametrize("tag_bits", [24, 0])
+def test_rows_of_one_id_have_their_own_coordinates(spark, tag_bits):
+    """Ids with several texts, with equal rows, and (without a tag) with marks of all texts of an id gathered together."""
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), t) for _, t, *_ in corpus(9, 150)]
+    rows += [(2, " ".join(f"unique{i}" for i in range(60)))] + rows[:20] * 3 + [(50, rows[0][1])] * 30
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark), with_text=False, tag_bits=tag_bits).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_substrings(rows)
+
+
+def test_paths_longer_than_their_limit_go_on(spark):
+    """One word over and over, at the limit of a path and around it."""
+    k, m = 13, 5
+    rows = [(i, "so " * (substrings.LONGEST + k - 1 + n)) for i, n in enumerate((-1, 0, 1, 2, substrings.LONGEST, substrings.LONGEST + 1))]
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark), k=k, m=m, with_text=False).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_substrings(rows)
+
+
 def test_substring_hard_rows(spark, hard, nothing):
     got = substrings.dedup(hard, Scratch(spark)).drop("kept_text").collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_substrings([(r[0], r[1]) for r in HARD])
