@@ -790,11 +790,13 @@ def test_substring_hard_rows(spark, hard, nothing):
 # 9 near copies
 
 
+def shingles_of(t, k):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
 def brute_components(rows, k, percent=80):
-    sets = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    sets = {i: shingles_of(t, k) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(x):
@@ -819,6 +821,58 @@ def test_components_of_near_copies_equal_brute_force(spark, seed, k, small):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("size", [15, 16, 17])
+def test_buckets_around_the_limit_of_small_ones(spark, size):
+    """Chains of near copies whose ends are not alike, in buckets just below, at and above ``small_bucket``."""
+    rng, rows = random.Random(size), []
+    for family in range(6):
+        w = [f"{family}.{i}" for i in range(60)]
+        for i in range(size):
+            w = w.copy()
+            w[rng.randrange(60)] = f"{family}.{i}.new"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    got = neardup.components(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark), shingle=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 2)
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    rng = random.Random(21)
+    texts = [t for _, t, *_ in corpus(5, 120)]
+    rows = [(rng.randrange(70), t) for t in texts] + [(3, texts[0]), (3, texts[0]), (66, texts[1]), (-5, texts[2])]
+    got = neardup.components(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark), shingle=2).collect()
+    flat = brute_components(list(enumerate(t for _, t in rows)), 2)
+    near = {}
+    for at, (i, _) in enumerate(rows):
+        near.setdefault(("text", flat[at][1]), set()).add(i)
+    group = {i: {i} for i, _ in rows}
+    for ids in near.values():
+        whole = set().union(*(group[i] for i in ids))
+        for i in whole:
+            group[i] = whole
+    want = sorted((i, len(shingles_of(t, 2)), min(group[i])) for i, t in rows)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+def test_a_template_of_many_short_texts_gives_few_pairs(spark):
+    """Sets that share a hot shingle among their rarest but cannot be alike are never paired; those that can are found."""
+    rows = [(i, f"dear member number{i} greetings from us") for i in range(400)] + [(1000, "dear member number7 greetings from us too"), (1001, "dear member number7 greetings from us")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    alike = lambda x, y: 100 * F.least(x, y) >= 80 * F.greatest(x, y)
+    cells = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label"))
+    pairs = neardup._prefix_pairs(cells, docs.withColumnRenamed("doc_id", "id"), 2, 80, alike)
+    assert pairs.count() < 10
+    got = neardup.components(docs, Scratch(spark), shingle=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 2)
+
+
+def test_a_bucket_is_dealt_to_parts(spark):
+    rows = spark.range(5000).select(F.lit(1).alias("k"), "id", F.lit(5000).alias("m"))
+    parts = rows.withColumn("salt", F.pmod(F.xxhash64("id"), neardup.salts(F.col("m")))).groupBy("salt").count().collect()
+    assert len(parts) == 10 and max(r["count"] for r in parts) < 700
+    assert neardup.spread(rows, spark.createDataFrame([(1, 5000, "x")], "k int, m int, p string"), neardup.salts(F.col("m")), "m").where("p = 'x'").count() == 5000
+
+
 def test_near_copy_hard_rows(spark, hard, nothing):
     got = neardup.components(hard, Scratch(spark), shingle=2).collect()
     assert len(got) == len(HARD)
