@@ -62,7 +62,9 @@ def test_secrets_are_replaced_and_the_rest_untouched(stages):
 
 
 def test_mix_stays_near_its_targets(stages):
-    got = stages["mixing"].join(stages["secrets"].select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
+    assert stages["mixing"].columns == [*stages["input"].columns, "size", "source_size", "target", "taken"]
+    assert all(len(r["text"].encode().split()) == r["taken"] and r["n_chars"] == len(r["text"]) for r in stages["mixing"].collect())
+    got = stages["mixing"].groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
     assert ids(stages["mixing"]) <= ids(stages["secrets"]) and all(abs(r["t"] - r["w"]) <= 0.05 * r["w"] + 2 for r in got)
 
 
@@ -80,7 +82,7 @@ HARD = [
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_on_hard_rows(spark, sf, name, stage):
     docs = spark.createDataFrame(HARD, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for c in ("id", "k", "m", "size", "rank", "spans", "kept"):  # names that clash with internals
+    for c in ("id", "k", "m", "size", "rank", "spans", "kept", "_quality", "_secrets", "_text", "_k", "_h", "_a", "_row", "_scan_k", "component", "node"):  # names that clash with internals
         docs = docs.withColumn(c, F.lit("x"))
     got = stage(spark, docs, sf).collect()
     want = {"quality": 0, "near_dedup": 8, "decontamination": 9, "secrets": 9}.get(name)
