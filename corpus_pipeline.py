@@ -65,7 +65,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``."""
     scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
+        mark = Scratch.opened()
         docs = scratch.save(stage(spark, docs, sf_dir), f"{i}_{name}")
+        Scratch.close_since(mark)  # the stage's own tables
+        if before:
+            scratch.drop(before)
+        before = f"{i}_{name}"
     return docs
