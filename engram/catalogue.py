@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.functions import scoring, text, vectors
-from engram.operators import beliefs, episodic, evaluation, graph, lookup, maintenance, tasks, vector
+from engram.functions import scoring, text, times, vectors
+from engram.operators import beliefs, episodic, evaluation, graph, lookup, maintenance, ranges, tasks, vector
 from engram.plans import retrieval
 from engram.schema import STRATEGIES
 from engram.sources import tables as T
@@ -674,3 +674,150 @@ def access_tracking(s, d):
 
     return access_updates(T.episode_events(s, d).select((F.col("id") % 40).alias("id"), F.col("timestamp_ms").alias("accessed_ms")))
 
+
+
+# further operators -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ENTS} SELECT id, category, content, round({cos('e.embedding', 'q.embedding')}, 6) + 0.0 AS similarity FROM ents e, (SELECT embedding FROM embeddings WHERE vec_id = {PROBE}) q WHERE NOT archived ORDER BY 4 DESC, 1 LIMIT 500")
+def search_by_vector(s, d):
+    return vector.search_by_vector(T.entities(s, d), probe_vector(s, d), 10**6).select("id", "category", "content", "similarity")
+
+
+@query(f"WITH {ENTS} SELECT count(*) FILTER (NOT archived) AS n_vectors, min(len(embedding)) FILTER (NOT archived)::INTEGER AS min_dim, max(len(embedding)) FILTER (NOT archived)::INTEGER AS max_dim, round(avg(archived::INTEGER), 6) AS archived_ratio FROM ents")
+def vector_index_stats(s, d):
+    return vector.index_stats(T.entities(s, d))
+
+
+@query(f"WITH {ENTS} SELECT id FROM ents ORDER BY age_hours DESC, id LIMIT 150")
+def evict_to_limit(s, d):
+    return vector.evict(T.entities(s, d), "age_hours", 150).select("id")
+
+
+@query(f"WITH {EXEC}, taken AS (SELECT id FROM ex ORDER BY coalesce(priority, 0) DESC, id LIMIT 10) SELECT id, CASE WHEN id IN (SELECT id FROM taken) THEN 'in_progress' ELSE status END AS status FROM tasks")
+def claim_and_write(s, d):
+    return tasks.claim_and_write(T.tasks(s, d), T.task_edges(s, d), Scratch(s), 10)[1].select("id", "status")
+
+
+@query(f"WITH {TASKS} SELECT id, status, priority, content FROM tasks WHERE NOT archived AND status = 'in_progress'")
+def task_listing(s, d):
+    return tasks.listing(T.tasks(s, d), ["task"], "in_progress").select("id", "status", "priority", "content")
+
+
+@query(f"WITH {TASKS}, {TEDGES} SELECT r.id, r.status, count(t.id) AS n_tasks, count(t.id) FILTER (t.status = 'completed') AS n_done FROM (SELECT id, status FROM tasks WHERE NOT archived AND id NOT IN (SELECT target_id FROM blk)) r LEFT JOIN blk ON blk.source_id = r.id LEFT JOIN tasks t ON t.id = blk.target_id GROUP BY 1, 2")
+def goal_progress(s, d):
+    return tasks.goals(T.tasks(s, d), T.task_edges(s, d))
+
+
+def _ends(s, d):
+    """A proposed edge from every customer's last task back to the first, and one the other way."""
+    e = T.task_edges(s, d).where("relation_type = 'blocked_by'")
+    first = e.join(e.select(F.col("target_id").alias("source_id")), "source_id", "left_anti").select(F.col("source_id").alias("id"))
+    last = e.join(e.select(F.col("source_id").alias("target_id")), "target_id", "left_anti").select(F.col("target_id").alias("id"))
+    owner = T.tasks(s, d).select("id", "owner")
+    x = first.join(owner, "id").select("owner", F.col("id").alias("a")).join(last.join(owner, "id").select("owner", F.col("id").alias("z")), "owner")
+    back = x.where("owner % 2 = 0").select(F.col("z").alias("source_id"), F.col("a").alias("target_id"))
+    return back.union(x.where("owner % 2 = 1").select("a", "z")).withColumn("relation_type", F.lit("blocked_by"))
+
+
+@query(f"""WITH {TASKS}, {TEDGES}, x AS (SELECT owner, min(source_id) FILTER (source_id NOT IN (SELECT target_id FROM blk)) AS a, min(target_id) FILTER (target_id NOT IN (SELECT source_id FROM blk)) AS z FROM blk JOIN tasks ON tasks.id = source_id GROUP BY 1)
+ SELECT z AS source_id, a AS target_id, 'blocked_by' AS relation_type FROM x WHERE owner % 2 = 0""")
+def cycle_check(s, d):
+    return graph.closing(T.task_edges(s, d), _ends(s, d), Scratch(s))
+
+
+@query(f"WITH {ENTS} SELECT category, archived, count(*) AS n, grouping(category)::INTEGER AS g FROM ents GROUP BY ROLLUP (category, archived)")
+def rollup_counts(s, d):
+    return T.entities(s, d).rollup("category", "archived").agg(F.count("*").alias("n"), F.grouping("category").cast("int").alias("g"))
+
+
+@query(f"WITH {ENTS} SELECT category, archived, round(avg(confidence), 6) AS confidence FROM ents GROUP BY CUBE (category, archived)")
+def cube_confidence(s, d):
+    return T.entities(s, d).cube("category", "archived").agg(F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query(f"WITH {TASKS} SELECT status, priority, count(*) AS n FROM tasks GROUP BY GROUPING SETS ((status), (priority), ())")
+def grouping_sets_tasks(s, d):
+    t = T.tasks(s, d)
+    return t.groupingSets([[t.status], [t.priority], []], t.status, t.priority).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag AS flag, count(DISTINCT l_partkey) > 0 AS any_part, true AS near FROM lineitem GROUP BY 1")
+def approx_distinct(s, d):
+    """The sketch's estimate is within five standard errors (0.05) of the exact count."""
+    x = T.read(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count_distinct("l_partkey").alias("n"), F.approx_count_distinct("l_partkey", 0.01).alias("e"))
+    return x.select("flag", (F.col("n") > 0).alias("any_part"), (F.abs(F.col("e") - F.col("n")) <= 0.05 * F.col("n")).alias("near"))
+
+
+@query(f"WITH {TASKS}, {TEDGES} SELECT source_id AS id FROM blk INTERSECT SELECT id FROM tasks WHERE status = 'completed'")
+def done_blockers_intersect(s, d):
+    return T.task_edges(s, d).where("relation_type = 'blocked_by'").select(F.col("source_id").alias("id")).intersect(T.tasks(s, d).where("status = 'completed'").select("id"))
+
+
+@query(f"WITH {TASKS}, {TEDGES} SELECT id FROM tasks EXCEPT SELECT target_id FROM blk")
+def unblocked_except(s, d):
+    return T.tasks(s, d).select("id").exceptAll(T.task_edges(s, d).where("relation_type = 'blocked_by'").select("target_id")).distinct()
+
+
+@query(f"WITH {BELIEFS} SELECT status, count(*) AS n FROM beliefs GROUP BY 1")
+def belief_status_counts(s, d):
+    return evaluation.label_counts(T.beliefs(s, d), "status").toDF("status", "n")
+
+
+@query("SELECT event_id, user_id, epoch_us(ts) // 1000000 * 1000 AS ms, epoch_us(ts) // 1000000 * 1000 - 3600000 AS shifted_ms, NULL::BIGINT AS bad_ms, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') || 'Z' AS text FROM events")
+def rfc3339_times(s, d):
+    t = T.read(s, d, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"), F.floor(T.micros("ts") / 1000).alias("ms0"))
+    ms = times.rfc3339_ms
+    return t.select("event_id", "user_id", ms(F.concat("t", F.lit("Z"))).alias("ms"), ms(F.concat("t", F.lit("+01:00"))).alias("shifted_ms"), ms(F.col("t")).alias("bad_ms"), times.ms_rfc3339(F.col("ms0")).alias("text"))
+
+
+@query("SELECT o_orderkey AS id, epoch_ms(o_orderdate::TIMESTAMP) + 43200000 AS ms FROM orders")
+def julian_backfill(s, d):
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01")) + F.lit(times.EPOCH_DAY + 0.5)
+    return T.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), times.julian_ms(day).alias("ms"))
+
+
+@query("SELECT vec_id AS id, 64::INTEGER AS n_bytes, true AS same FROM embeddings")
+def quantized_codec(s, d):
+    e = T.entities(s, d).select("id", vectors.quantize(F.col("embedding")).alias("q"))
+    b = e.withColumn("b", vectors.quantized_bytes(F.col("q")))
+    back = vectors.bytes_quantized(F.col("q.min"), F.col("q.max"), F.col("b"))
+    return b.select("id", F.octet_length("b").alias("n_bytes"), (back["codes"] == F.col("q.codes")).alias("same"))
+
+
+@query("SELECT p.o_orderkey AS later, o.o_orderkey AS earlier FROM orders p JOIN orders o ON o.o_custkey = p.o_custkey AND epoch_us(p.o_orderdate) >= epoch_us(o.o_orderdate) AND epoch_us(p.o_orderdate) < epoch_us(o.o_orderdate) + 400 * 86400000000")
+def interval_join(s, d):
+    """Orders within 400 days of an order of the same customer."""
+    o, days = T.read(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("owner"), T.micros("o_orderdate").alias("at")), 400 * 86_400_000_000
+    spans = o.select(F.col("o_orderkey").alias("earlier"), "owner", F.col("at").alias("start"), (F.col("at") + F.lit(days)).alias("end"))
+    return ranges.interval_join(o.withColumnRenamed("o_orderkey", "later"), spans, "at", "start", "end", days, ["owner"]).select("later", "earlier")
+
+
+@query(f"""SELECT doc_id, detected, CASE WHEN detected THEN confidence ELSE 0.0 END AS confidence, CASE WHEN detected THEN reason ELSE '' END AS reason FROM (
+ SELECT doc_id, flip AND (near OR long) AS detected, CASE WHEN long THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS confidence, CASE WHEN long THEN 'length' ELSE 'lang' END AS reason FROM (
+ SELECT doc_id, {_FLIP} AS flip, near, long FROM (SELECT a.doc_id, lower(a.text) AS la, lower(b.text) AS lb, a.lang = b.lang AS near, abs(length(a.text) - length(b.text)) > 500 AS long FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)))""")
+def composite_detection(s, d):
+    x = T.read(s, d, "documents").select("doc_id", "text", "lang")
+    p = x.join(x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"), F.col("lang").alias("other_lang")), "doc_id")
+    first = text.detection(text.negation_flip(F.col("text"), F.col("other")), 1.0, "negation")
+    near, long = text.detection(F.col("lang") == F.col("other_lang"), 0.6, "lang"), text.detection(F.abs(F.length("text") - F.length("other")) > 500, 0.9, "length")
+    return p.withColumn("r", text.compose(first, near, long)).select("doc_id", "r.detected", "r.confidence", "r.reason")
+
+
+@query()
+def multihop_context(s, d):
+    return retrieval.multihop(T.entities(s, d), T.edges(s, d), seeds(s), 2, options(s, d), 200).select("id", "depth", "category", "content")
+
+
+@query(f"WITH {HISTORY} SELECT belief_id, id, round(confidence, 6) AS confidence FROM history UNION ALL SELECT belief_id, -id, 0.5 FROM history WHERE id % 10 = 0 AND id <> 0")
+def history_append(s, d):
+    h = T.belief_history(s, d)
+    new = h.where("id % 10 = 0 and id <> 0").withColumn("id", -F.col("id")).withColumn("confidence", F.lit(0.5))
+    return beliefs.append_history(h, new.union(h.where("id % 9 = 0").withColumn("confidence", F.lit(9.0)))).select("belief_id", "id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {EPISODES}, ep AS (SELECT episode_id, min(timestamp_ms) AS a, max(timestamp_ms) AS z, count(*) AS n FROM ev GROUP BY 1) SELECT episode_id, CASE WHEN n % 2 = 0 THEN z END AS ended_at_ms, CASE WHEN n % 2 = 0 THEN n || ' events' END AS summary FROM ep")
+def episode_finish(s, d):
+    e = episodic.episodes(T.episode_events(s, d))
+    ends = e.where("n_events % 2 = 0").select("episode_id", "ended_at_ms", F.concat("n_events", F.lit(" events")).alias("summary"))
+    return episodic.finish(e.select("episode_id", F.lit(None).cast("bigint").alias("ended_at_ms"), F.lit(None).cast("string").alias("summary")), ends)

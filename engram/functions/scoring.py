@@ -85,3 +85,8 @@ def trust(confidence: Column, source: Column, age_hours: Column, horizon: float
 def adaptive_threshold(base: Column, average_degree: Column) -> Column:
     """base * (1 + 0.2 * (1 - exp(-d / 10))), at most 1; base without neighbours."""
     return F.when(F.coalesce(average_degree, F.lit(0.0)) <= 0, base).otherwise(F.least(base * (1 + 0.2 * (1 - F.exp(-average_degree / 10))), F.lit(1.0)))
+
+
+def round_to(x: Column, digits: int = 4) -> Column:
+    """Half away from zero at that many digits; not-a-number and infinities count 0."""
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(F.round(x, digits))

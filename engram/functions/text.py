@@ -84,6 +84,31 @@ def composite_contradiction(first: Column, *others: Column) -> Column:
     return first & confirmed
 
 
+def detection(detected: Column, confidence: Column | float, reason: str, inconclusive: Column | None = None) -> Column:
+    """A detector's result as a struct: detected, inconclusive, confidence, reason."""
+    confidence = F.lit(float(confidence)) if isinstance(confidence, (int, float)) else confidence
+    return F.struct(F.coalesce(detected, F.lit(False)).alias("detected"), F.coalesce(inconclusive if inconclusive is not None else F.lit(False), F.lit(False)).alias("inconclusive"), confidence.alias("confidence"), F.lit(reason).alias("reason"))
+
+
+def compose(first: Column, *others: Column) -> Column:
+    """The composite detector: ``first`` must find or be unsure; then the last of the others that finds decides.
+
+    Alone, ``first`` is the result. A result that nothing confirms is not detected, with confidence 0 and no reason.
+    """
+    none = F.struct(F.lit(False).alias("detected"), F.lit(False).alias("inconclusive"), F.lit(0.0).alias("confidence"), F.lit("").alias("reason"))
+    out = none
+    for o in others:
+        out = F.when(o["detected"], o).otherwise(out)
+    return F.when(first["detected"] | first["inconclusive"], out if others else first).otherwise(none)
+
+
+def model_detection(answer: Column) -> Column:
+    """A model's answer ``struct(contradiction boolean, confidence double)`` as a detection: no answer is no, a confidence
+    that is not positive counts 0.5."""
+    c = F.coalesce(answer["confidence"], F.lit(0.0))
+    return detection(answer["contradiction"], F.when(c <= 0, F.lit(0.5)).otherwise(c), "model")
+
+
 def resolve(confidence: Column, threshold: float = 0.7) -> Column:
     """``keep_both`` if the existing confidence (0 counts 1) reaches the threshold, else ``prefer_incoming``."""
     c = F.when(F.coalesce(confidence, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(confidence)

@@ -55,3 +55,17 @@ def decode_blob(b: bytes) -> list[float]:
     if len(b) % 4:
         raise ValueError("the length of a vector blob is a multiple of 4")
     return list(struct.unpack(f"<{len(b) // 4}f", b))
+
+
+def quantized_bytes(q: Column) -> Column:
+    """``quantize`` as bytes: one signed byte a value; the range stands beside it in the table."""
+    return F.unhex(F.array_join(F.transform(q["codes"], lambda c: F.lpad(F.hex(F.pmod(c.cast("int"), F.lit(256))), 2, "0")), ""))
+
+
+def bytes_quantized(low: Column, high: Column, data: Column) -> Column:
+    """The struct of ``quantize`` from range and bytes."""
+    hexed = F.hex(data)
+    byte = lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    signed = lambda b: F.when(b > 127, b - 256).otherwise(b).cast("tinyint")
+    at = F.when(F.octet_length(data) > 0, F.sequence(F.lit(0), F.octet_length(data) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.struct(low.alias("min"), high.alias("max"), F.transform(at, lambda i: signed(byte(i))).alias("codes"))

@@ -102,3 +102,32 @@ def validate_evidence(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("strength", F.when(F.coalesce("strength", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("strength")))
     ok = F.coalesce(F.col("polarity").isin(*POLARITIES) & F.col("strength").between(0, 1), F.lit(False))
     return rows.where(ok), rows.where(~ok)
+
+
+def append_history(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """History with new entries; entries are never changed, so a known id is left as it is."""
+    return history.unionByName(rows.join(history.select("id"), "id", "left_anti").dropDuplicates(["id"]), allowMissingColumns=True)
+
+
+def create(beliefs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(beliefs, rejected): new beliefs with content and a confidence within 0..1, where 0 counts 1; status Active."""
+    rows = rows.withColumn("confidence", F.when(F.coalesce("confidence", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("confidence"))).withColumn("status", F.lit("Active"))
+    ok = F.coalesce(F.col("confidence").between(0, 1) & (F.trim("content") != ""), F.lit(False))
+    good = rows.where(ok).join(beliefs.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    return beliefs.unionByName(good, allowMissingColumns=True), rows.where(~ok)
+
+
+def update(beliefs: DataFrame, rows: DataFrame, columns: tuple[str, ...] = ("confidence", "status", "content")) -> DataFrame:
+    """Beliefs with the given columns of ``rows(id, ...)``; a null leaves the old value."""
+    named = [c for c in columns if c in rows.columns]
+    new = rows.select("id", *[F.col(c).alias(f"_{c}") for c in named]).dropDuplicates(["id"])
+    out = beliefs.join(new, "id", "left")
+    for c in named:
+        out = out.withColumn(c, F.coalesce(f"_{c}", c))
+    return out.select(*beliefs.columns)
+
+
+def delete(beliefs: DataFrame, evidence: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(beliefs, evidence) without ``ids(id)``."""
+    gone = ids.select("id").distinct()
+    return beliefs.join(gone, "id", "left_anti"), evidence.join(gone.withColumnRenamed("id", "belief_id"), "belief_id", "left_anti").select(*evidence.columns)

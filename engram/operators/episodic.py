@@ -91,3 +91,16 @@ def summary_dialog(events: DataFrame, memories: DataFrame) -> DataFrame:
     e = events.select("episode_id", F.lit(0).alias("part"), F.col("timestamp_ms").alias("t"), F.col("id").alias("i"), F.format_string("[%s] %s\n", "type", "content").alias("line"))
     m = memories.select("episode_id", F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("t"), F.col("entity_id").alias("i"), F.format_string("[memory:%s] %s\n", "role", "content").alias("line"))
     return e.union(m).groupBy("episode_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "t", "i", "line"))), lambda x: x["line"]), "").alias("dialog"))
+
+
+def insert(table: DataFrame, rows: DataFrame, keys: list[str], types: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(table, rejected): sessions, episodes or events with new rows; known keys stay, undeclared event types are rejected."""
+    ok = F.lit(True) if types is None else F.coalesce(F.col("type").isin(*types), F.lit(False))
+    good = rows.where(ok).join(table.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    return table.unionByName(good, allowMissingColumns=True), rows.where(~ok)
+
+
+def finish(episodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """Episodes with ``ends(episode_id, ended_at_ms, summary)``; an end that is set stays, a summary is replaced."""
+    new = ends.select("episode_id", F.col("ended_at_ms").alias("_end"), F.col("summary").alias("_summary")).dropDuplicates(["episode_id"])
+    return episodes.join(new, "episode_id", "left").withColumn("ended_at_ms", F.coalesce("ended_at_ms", "_end")).withColumn("summary", F.coalesce("_summary", "summary")).select(*episodes.columns)

@@ -42,6 +42,39 @@ def claim(tasks: DataFrame, edges: DataFrame, n: int = 1, v: Vocabulary = V) ->
     return ordered(executable(tasks, edges, v)).limit(n).withColumn("status", F.lit(v.states[1] if len(v.states) > 1 else v.states[0]))
 
 
+def claim_and_write(tasks: DataFrame, edges: DataFrame, scratch: Scratch, n: int = 1, v: Vocabulary = V) -> tuple[DataFrame, DataFrame]:
+    """(claimed, tasks): the first n executable tasks are taken once, and the table has their new state.
+
+    The claim is written before it is applied, so both results show the same tasks. One driver claims at a time.
+    """
+    taken = scratch.save(claim(tasks, edges, n, v), "claimed")
+    new = taken.select("id", F.col("status").alias("_status"))
+    return taken, tasks.join(new, "id", "left").withColumn("status", F.coalesce("_status", "status")).select(*tasks.columns)
+
+
+def listing(tasks: DataFrame, categories: list[str] | None = None, status: str | None = None, within: DataFrame | None = None, limit: int | None = None, v: Vocabulary = V) -> DataFrame:
+    """Live tasks by category set, status and membership in ``within(id)``, by priority."""
+    df = tasks.where(F.col("category").isin(*(categories or v.task_categories)) & ~F.coalesce("archived", F.lit(False)))
+    df = df if status is None else df.where(F.col("status") == status)
+    df = ordered(df if within is None else df.join(within.select("id").distinct(), "id", "left_semi"))
+    return df if limit is None else df.limit(max(0, limit))
+
+
+def create(tasks: DataFrame, rows: DataFrame, v: Vocabulary = V) -> tuple[DataFrame, DataFrame]:
+    """(tasks, rejected): new tasks of a declared category and state; an empty status is the first state."""
+    rows = rows.withColumn("status", initial_status(F.col("status"), v.states))
+    ok = F.coalesce(F.col("category").isin(*v.task_categories) & F.col("status").isin(*v.states), F.lit(False))
+    fresh = rows.where(ok).join(tasks.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    return tasks.unionByName(fresh, allowMissingColumns=True), rows.where(~ok)
+
+
+def goals(tasks: DataFrame, edges: DataFrame, v: Vocabulary = V) -> DataFrame:
+    """Roots as goals with the number of tasks that wait for each directly and how many of those are done."""
+    waits = edges.where(F.col("relation_type") == v.blocking).select(F.col("source_id").alias("id"), F.col("target_id").alias("t"))
+    per = waits.join(tasks.select(F.col("id").alias("t"), (F.col("status") == v.done).cast("bigint").alias("done")), "t").groupBy("id").agg(F.count("*").alias("n_tasks"), F.sum("done").alias("n_done"))
+    return roots(tasks, edges, v).join(per, "id", "left").select("id", "status", F.coalesce("n_tasks", F.lit(0)).alias("n_tasks"), F.coalesce("n_done", F.lit(0)).alias("n_done"))
+
+
 def claim_candidates(tasks: DataFrame, edges: DataFrame, goal: int, v: Vocabulary = V) -> DataFrame:
     """Executable tasks within a goal: the goal itself, or any task that blocks a live task."""
     live = tasks.where(F.col("category").isin(*v.task_categories) & ~F.coalesce("archived", F.lit(False)))
@@ -77,29 +110,37 @@ def cascade_rollback(tasks: DataFrame, edges: DataFrame, start: DataFrame, scrat
     links = scratch.save(edges.where(F.col("relation_type") == v.blocking).select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).distinct(), "rollback_links")
     todo = tasks.where(F.coalesce(F.col("status") != v.done, F.lit(True))).select("id")
     level = scratch.save(start.select("id").distinct().join(todo, "id", "left_semi").withColumn("depth", F.lit(0)), "rollback0")
-    seen, i = level, 0
-    while not level.isEmpty():
-        if seen.count() > limit:
+    seen, i, total, new = level, 0, 0, level.count()
+    while new:
+        total += new
+        if total > limit:
             raise RuntimeError(f"the rollback exceeds {limit} tasks")
         i += 1
         nxt = level.select("id").join(links, "id").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").join(todo, "id", "left_semi")
         level = scratch.save(nxt.withColumn("depth", F.lit(i)), f"rollback{i}")
-        seen = seen.union(level)
+        seen, new = seen.union(level), level.count()
     note = F.concat(F.col("content"), F.lit(f"\n[ROLLBACK: {context}]")) if context else F.col("content")
     return seen.join(tasks, "id").select("id", "depth", F.lit(v.done or "rolled_back").alias("status"), note.alias("content"))
 
 
-def recovery_plan(edges: DataFrame, start: int, scratch: Scratch, v: Vocabulary = V, limit: int = 4096) -> DataFrame:
-    """The chain over the least ``recovers_via`` target until it ends or meets itself: ``(step, id)``."""
-    nxt = scratch.save(edges.where(F.col("relation_type") == v.recovery).groupBy(F.col("source_id").alias("id")).agg(F.min("target_id").alias("to")), "recovery")
-    chain, here = [], start
-    while len(chain) < limit:
-        row = nxt.where(F.col("id") == here).first()
-        if row is None or row["to"] in chain or row["to"] == start:
+def recovery_plan(edges: DataFrame, start: int, scratch: Scratch, v: Vocabulary = V) -> DataFrame:
+    """The chain over the least ``recovers_via`` target until it ends or meets itself: ``(step, id)``.
+
+    Pointer doubling: each round doubles both the known part of the chain and the length of the jumps, so a chain of n
+    steps takes log2(n) rounds of equi-joins, whatever its length.
+    """
+    jump = scratch.save(edges.where(F.col("relation_type") == v.recovery).groupBy(F.col("source_id").alias("id")).agg(F.min("target_id").alias("to")), "jump0")
+    chain, known, i = scratch.save(edges.sparkSession.createDataFrame([(0, start)], "step bigint, id bigint"), "plan0"), 1, 0
+    while True:
+        i += 1
+        further = chain.join(jump, "id").select((F.col("step") + F.lit(1 << (i - 1))).alias("step"), F.col("to").alias("id"))
+        chain = scratch.save(chain.union(further).groupBy("id").agg(F.min("step").alias("step")).select("step", "id"), f"plan{i}")
+        n = chain.count()
+        if n == known:
             break
-        here = row["to"]
-        chain.append(here)
-    return edges.sparkSession.createDataFrame(list(enumerate(chain, 1)), "step int, id bigint")
+        known = n
+        jump = scratch.save(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), f"jump{i}")
+    return chain.where("step > 0").select(F.col("step").cast("int").alias("step"), "id")
 
 
 def relations(edges: DataFrame, task: int, v: Vocabulary = V) -> DataFrame:

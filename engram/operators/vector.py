@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,11 +31,42 @@ def active(entities: DataFrame) -> DataFrame:
     return entities.where("not coalesce(archived, false) and embedding is not null")
 
 
+def _cosine_to(query: list[float]) -> Column:
+    """Cosine of ``embedding`` to a query of the same dimension; another dimension is an error of the job."""
+    if not query:
+        raise ValueError("the query vector is empty")
+    q = F.array(*[F.lit(float(x)) for x in query])
+    wrong = F.raise_error(F.concat(F.lit(f"dimension mismatch: the query has {len(query)}, the entity "), F.size("embedding").cast("string")))
+    return F.when(F.size("embedding") != len(query), wrong.cast("double")).otherwise(F.round(cosine(F.col("embedding"), q), 6))
+
+
+def search_by_vector(entities: DataFrame, query: list[float], k: int = 5) -> DataFrame:
+    """The k nearest active entities with all their columns and ``similarity``; k beyond ``MAX_K`` counts ``MAX_K``."""
+    return active(entities).withColumn("similarity", _cosine_to(query)).orderBy(F.desc("similarity"), "id").limit(check_k(min(k, MAX_K)))
+
+
+def store(entities: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
+    """Entities with ``rows(id, embedding)`` as new vectors; a vector of another dimension is an error of the job."""
+    new = rows.select("id", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.lit("dimension mismatch")).cast(rows.schema["embedding"].dataType)).alias("_new"))
+    return entities.join(new, "id", "left").withColumn("embedding", F.coalesce("_new", "embedding")).select(*entities.columns)
+
+
+def remove(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """Entities without the vectors of ``ids(id)``; the rows stay."""
+    gone = ids.select("id", F.lit(True).alias("_gone")).distinct()
+    return entities.join(gone, "id", "left").withColumn("embedding", F.when(F.col("_gone").isNull(), F.col("embedding"))).select(*entities.columns)
+
+
+def index_stats(entities: DataFrame) -> DataFrame:
+    """One row: active vectors, their dimensions and the archived share."""
+    live = ~F.coalesce("archived", F.lit(False)) & F.col("embedding").isNotNull()
+    return entities.agg(F.count(F.when(live, 1)).alias("n_vectors"), F.min(F.when(live, F.size("embedding"))).alias("min_dim"), F.max(F.when(live, F.size("embedding"))).alias("max_dim"), F.round(F.avg(F.coalesce("archived", F.lit(False)).cast("double")), 6).alias("archived_ratio"))
+
+
 def search(entities: DataFrame, query: list[float], k: int = 5, id_col: str = "id") -> DataFrame:
     """The k active entities nearest to one vector: ``(id, similarity)``. Ends in TakeOrderedAndProject."""
     check_k(k)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return active(entities).select(id_col, F.round(cosine(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
+    return active(entities).select(id_col, _cosine_to(query).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
 def _unit(v: list) -> np.ndarray:
@@ -132,6 +163,11 @@ def dedup_match(entities: DataFrame, incoming: DataFrame, threshold: float = 0.8
     return incoming.select("query_id").join(best, "query_id", "left")
 
 
-def evict(entities: DataFrame, stored_at: str, limit: int = 500_000) -> DataFrame:
-    """The ``limit`` most recently stored entities."""
-    return entities.orderBy(F.desc(stored_at), "id").limit(limit)
+def evict(entities: DataFrame, stored_at: str, limit: int = 500_000, id_col: str = "id") -> DataFrame:
+    """The ``limit`` most recently stored entities. Only ids and times are ordered, by range partitions."""
+    from engram.operators.ranks import global_rank
+    from engram.sources.scratch import Scratch
+
+    scratch = Scratch(entities.sparkSession)
+    kept = global_rank(entities.select(id_col, stored_at), [F.col(stored_at).desc_nulls_last(), F.col(id_col)], scratch, "stored").where(F.col("rank") < limit).select(id_col)
+    return entities.join(kept, id_col, "left_semi")

@@ -129,6 +129,12 @@ def multihop_seeds(entities: DataFrame, edges: DataFrame, seeds: DataFrame, hops
     return spark.createDataFrame([(i,) for i in sorted(have)], "id bigint")
 
 
+def multihop(entities: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2, o: Options = Options(), tokens: int | None = None) -> DataFrame:
+    """``retrieve`` from the seeds of ``multihop_seeds``: no hop count is 2, one hop is a plain retrieval."""
+    hops = hops if hops > 0 else 2
+    return retrieve(entities, edges, seeds if hops == 1 else multihop_seeds(entities, edges, seeds, hops), o, tokens)
+
+
 def explain(ranked: DataFrame) -> DataFrame:
     """Score and features, flat."""
     return ranked.select("id", "depth", "category", "score", "features.*")

@@ -13,26 +13,53 @@ from pyspark.sql import DataFrame, SparkSession
 class Scratch:
     """Parquet tables in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Writing a table cuts lineage: what follows survives the loss of any executor. Where the setting is absent,
-    as in local tests, a temporary folder of this machine stands in.
+    Writing a table cuts lineage: what follows survives the loss of any executor. Where the setting is absent and the
+    master is local, a temporary folder of this machine stands in; on a cluster its absence is an error, as executors
+    would write to folders that nobody else reads. ``close`` deletes the tables; what is still open goes when the
+    driver ends.
     """
 
     _local: str | None = None
+    _open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             if not Scratch._local:
                 Scratch._local = tempfile.mkdtemp(prefix="engram-")
                 atexit.register(shutil.rmtree, Scratch._local, ignore_errors=True)
             base = f"file://{Scratch._local}"
+        elif not Scratch._open:
+            atexit.unregister(Scratch.close_since)
+            atexit.register(Scratch.close_since, 0)
         self.spark, self.path = spark, f"{base.rstrip('/')}/engram-{uuid.uuid4().hex}"
+        Scratch._open.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._delete(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Deletes all tables; frames that read them are of no use afterwards."""
+        self._delete(self.path)
+        Scratch._open = [s for s in Scratch._open if s is not self]
+
+    @classmethod
+    def opened(cls) -> int:
+        return len(cls._open)
+
+    @classmethod
+    def close_since(cls, mark: int) -> None:
+        """Closes what was opened after ``opened()`` gave ``mark``."""
+        for s in cls._open[mark:]:
+            if s.spark.sparkContext._jsc is not None:
+                s.close()
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,19 +14,19 @@ from engram.operators.vector import dedup_match
 from engram.schema import Vocabulary
 
 
-def ingest_batch(entities: DataFrame, incoming: DataFrame, v: Vocabulary = Vocabulary(), threshold: float = 0.88) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest_batch(entities: DataFrame, incoming: DataFrame, v: Vocabulary = Vocabulary(), threshold: float = 0.88, detect: Callable[[Column, Column], Column] = lexical_contradiction, resolver: Callable[[Column], Column] = resolve) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(changes, contradiction edges, rejected) for extracted ``incoming(id, category, content, embedding)``.
 
     All matches are found against the state before the batch. A match without contradiction is merged; with one,
     the existing entity's confidence decides between keeping both, joined by an edge, and preferring the new one, which
-    archives the old. Undeclared categories are rejected.
+    archives the old. Undeclared categories are rejected. ``detect`` and ``resolver`` may be replaced.
     """
     known = F.col("category").isin(*v.categories)
     rejected, good = incoming.where(~F.coalesce(known, F.lit(False))), incoming.where(known)
     match = dedup_match(entities, good.select(F.col("id").alias("query_id"), "embedding"), threshold)
     old = entities.select(F.col("id").alias("match_id"), F.col("content").alias("old_content"), F.col("confidence").alias("old_confidence"))
     both = good.join(match.withColumnRenamed("query_id", "id"), "id").join(old, "match_id", "left")
-    action = F.when(F.col("match_id").isNull(), "create").when(lexical_contradiction(F.col("old_content"), F.col("content")), resolve(F.col("old_confidence"))).otherwise("merge")
+    action = F.when(F.col("match_id").isNull(), "create").when(detect(F.col("old_content"), F.col("content")), resolver(F.col("old_confidence"))).otherwise("merge")
     acted = both.withColumn("action", action)
     changed = acted.select(
         F.when(F.col("action") == "merge", F.col("match_id")).otherwise(F.col("id")).alias("id"), "category",
@@ -51,6 +51,29 @@ def ingest_stream(messages: DataFrame, extract: Callable[[DataFrame], DataFrame]
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def drain(pending: DataFrame, path: str) -> None:
+    """Messages that a stopping worker could not finish, appended as JSON lines, one file per partition."""
+    pending.write.mode("append").json(path)
+
+
+def undrained(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The messages that ``drain`` left, for the next run."""
+    return spark.read.schema(schema).json(path)
+
+
+def every(ticks: DataFrame, run: Callable[[int], None], checkpoint: str, interval: str = "1 hour") -> StreamingQuery:
+    """``run(batch_id)`` at each trigger of ``ticks``, such as a rate stream: the ticker of sweeps."""
+    return ticks.writeStream.foreachBatch(lambda _, batch_id: run(batch_id)).trigger(processingTime=interval).option("checkpointLocation", checkpoint).start()
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Stream-stream join: events of ``right(key, ts)`` at most ``within`` after one of ``left(key, ts)``; state ends by watermark."""
+    a = left.select(F.col(key).alias("k"), F.col("ts").alias("left_ts"), F.struct("*").alias("left")).withWatermark("left_ts", late)
+    b = right.select(F.col(key).alias("rk"), F.col("ts").alias("right_ts"), F.struct("*").alias("right")).withWatermark("right_ts", late)
+    near = (F.col("right_ts") >= F.col("left_ts")) & (F.col("right_ts") <= F.col("left_ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col("k") == F.col("rk")) & near).select(F.col("k").alias(key), "left_ts", "right_ts", "left", "right")
+
+
 def access_updates(accesses: DataFrame) -> DataFrame:
     """The last access of each id in a batch of ``(id, accessed_ms)``."""
     return accesses.groupBy("id").agg(F.max("accessed_ms").alias("last_accessed_ms"))
