@@ -139,12 +139,15 @@ class Index:
         self.where = (np.concatenate(where) if where else np.empty(0, np.int64))[order]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.hash >> np.uint32(10)] = True
-        size = np.array([len(c) for c in chars], np.int64)
-        self.window = np.minimum(size, b.w)
-        self.budget = np.where(size >= b.w, b.k, np.maximum(size * b.k // b.w, 1))
+        self.size = np.array([len(c) for c in chars], np.int64)
+        self.window = np.minimum(self.size, b.w)
+        self.budget = np.where(self.size >= b.w, b.k, np.maximum(self.size * b.k // b.w, 1))
         self.bound = np.maximum(self.window - b.q + 1 - self.budget * b.q, 1)
         self.passages = [passages(c, b.words) for c in chars]
-        self.shortest = min((int((to - at).min()) for at, to in self.passages if len(at)), default=1 << 30)
+        short = np.array([int((to - at).min()) if len(at) else 1 << 30 for at, to in self.passages], np.int64)
+        self.shortest = int(short.min(initial=1 << 30))
+        # fewer hits of a segment than this are neither a window nor a passage
+        self.need = np.maximum(np.minimum(self.bound, short - b.q + 1), 1)
         self.over = 2 * (b.w + 2 * b.k)
 
     def hits(self, c: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -209,7 +212,7 @@ class Index:
 
     def regions(self, item: np.ndarray, g: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, ...]:
         """Windows that pass the lemma: (item, window start in the item, diagonal at the left of the band)."""
-        if len(g) < self.bound.min():
+        if not len(g):
             return (np.empty(0, np.int64),) * 3
         width = self.b.k + 1
         half = diagonal // width
@@ -218,7 +221,8 @@ class Index:
         low = int(half.min()) - 1
         span = int(half.max()) - low + 2
         longest = int(g.max()) + 1
-        key = np.unique((item * span + (band - low)) * longest + g)
+        key = np.sort((item * span + (band - low)) * longest + g)
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
         g, rest = key % longest, key // longest
         item, band = rest // span, rest % span + low
         end = np.arange(len(g)) + self.bound[item] - 1
@@ -226,7 +230,7 @@ class Index:
         end = end[at]
         good = (item[end] == item[at]) & (band[end] == band[at]) & (g[end] - g[at] <= self.window[item[at]] - self.b.q)
         at, end = at[good], end[good]
-        size = np.array([len(x) for x in self.chars], np.int64)[item[at]]
+        size = self.size[item[at]]
         # every window that holds the run, not only the one at its first q-gram: edits may precede that
         first = np.maximum(g[end] + self.b.q - self.window[item[at]], 0)
         last = np.minimum(g[at], size - self.window[item[at]])
@@ -258,12 +262,16 @@ class Index:
                 edits[chunk], ends[chunk] = cost[back], places[t] + w + best[back]
         return edits, ends
 
-    def found(self, text: str | None) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    def found(self, whole: np.ndarray) -> Iterator[tuple[int, int, int, int, int, bool]]:
         """Windows and passages in the normal text: (item, start in the item, edits, end in the text, length, exact)."""
-        whole = normal(text)
         for left in range(0, max(1, len(whole) - self.over), self.b.piece):
             c = whole[left : left + self.b.piece + self.over]
             for hits in self.hits(c):
+                enough = np.bincount(hits[0], minlength=len(self.chars)) >= self.need
+                if not enough.any():
+                    continue
+                mine = enough[hits[0]]
+                hits = tuple(x[mine] for x in hits)
                 for i, s, end, w in self.exact(c, *hits):
                     yield self.home[i], s + self.base[i], 0, end + left, w, True
                 item, start, diagonal = self.regions(*hits)
@@ -276,12 +284,12 @@ class Index:
 
     def holds(self, text: str | None) -> bool:
         """Whether any item is found; ends at the first."""
-        return next(self.found(text), None) is not None
+        return next(self.found(normal(text)), None) is not None
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """One entry per item found in the text: (item id, start, end, least edits, share of the item covered)."""
-        length, best = len(normal(text)), {}
-        for i, s, edits, end, w, exact in self.found(text):
+        whole, best = normal(text), {}
+        for i, s, edits, end, w, exact in self.found(whole):
             # passages count only where no window of the item is found
             x = best.get(i)
             if x is None or x[4] and not exact:
@@ -291,7 +299,7 @@ class Index:
             x[0], x[1], x[2] = min(x[0], end - w), max(x[1], end), min(x[2], edits)
             x[3][s] += 1
             x[3][min(s + w, self.sizes[i])] -= 1
-        return [(self.ids[i], max(x[0], 0), min(x[1], length), x[2], round(float((np.cumsum(x[3])[:-1] > 0).mean()), 4)) for i, x in sorted(best.items())]
+        return [(self.ids[i], max(x[0], 0), min(x[1], len(whole)), x[2], round(float((np.cumsum(x[3])[:-1] > 0).mean()), 4)) for i, x in sorted(best.items())]
 
 
 def part_count(benchmark: DataFrame, text: str, part_chars: int) -> int:
