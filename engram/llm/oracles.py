@@ -6,7 +6,7 @@ a seeded hash; these have brute-force and held-out tests instead.
 
 from __future__ import annotations
 
-from engram.llm import quality, secrets, urls
+from engram.llm import licenses, quality, secrets, urls
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -108,10 +108,60 @@ def _urls() -> str:
  SELECT page_id, host, path, {_rule("host", "path", "name")} AS rule, coalesce({_rule("host", "path", "verdict")}, v, 'allow') AS verdict FROM u LEFT JOIN cls USING (k)"""
 
 
+def _licenses() -> str:
+    spaces = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
+
+    def rule(i: int, r: licenses.Rule) -> str:
+        p = quoted(r.regex)
+        return f"SELECT doc_id, {i} AS rank, {quoted(r.label)} AS label, {r.weight} AS weight, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS gaps FROM d WHERE regexp_matches(t, {p})"
+
+    phrases = ", ".join(f"({quoted(' ' + p.replace(' ', '  ') + ' ')}, {quoted(label)}, {len(p.split())})" for p, label in (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")))
+    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.CAPITALS}', '{licenses.SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ d AS MATERIALIZED (SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, '  ') || ' ' ELSE '' END AS t FROM w),
+ b AS (SELECT doc_id, label, len(parts) - 1 AS n, {spaces("parts[1]")} // 2 AS f, n_words - {spaces("parts[len(parts)]")} // 2 - k AS l FROM (SELECT doc_id, n_words, label, k, string_split(t, phrase) AS parts FROM d, (VALUES {phrases}) AS p(phrase, label, k) WHERE contains(t, phrase))),
+ base AS (SELECT doc_id, sum(n)::BIGINT AS n_base, min(f)::BIGINT AS first_word, max(l)::BIGINT AS last_word, string_agg(label, ',' ORDER BY label) AS base_labels, list(label) AS ls FROM b GROUP BY 1),
+ hits AS ({" UNION ALL ".join(rule(i, r) for i, r in enumerate(licenses.RULES))}),
+ m AS (SELECT doc_id, rank, label, weight, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM hits),
+ s AS (SELECT doc_id, rank, label, weight, sum({spaces("g")} + {spaces("m")}) OVER (PARTITION BY doc_id, rank ORDER BY i) // 2 AS e, {spaces("m")} // 2 AS n FROM m),
+ o AS (SELECT x.*, x.e - x.n AS s FROM s x),
+ own AS (SELECT * FROM o x WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.doc_id = x.doc_id AND y.s <= x.s AND y.e >= x.e AND (y.s < x.s OR y.e > x.e OR y.rank < x.rank))),
+ near AS (SELECT *, coalesce(lag(e) OVER q > s AND lag(rank) OVER q < rank, false) OR coalesce(lead(s) OVER q < e AND lead(rank) OVER q < rank, false) AS loses FROM own WINDOW q AS (PARTITION BY doc_id ORDER BY s)),
+ found AS (SELECT doc_id, list(label) AS ls, max(weight) AS score FROM near WHERE NOT loses GROUP BY 1)
+ SELECT d.doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+ array_to_string(list_sort(list_distinct(coalesce(base.ls, []) || coalesce(found.ls, []))), ',') AS labels, greatest(coalesce(found.score, 0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ e AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+ kept AS (SELECT lang, term, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+ total AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY 1),
+ occ AS (SELECT lang, source, term, count(*) AS c FROM e SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+ grp AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN occ USING (lang, source) GROUP BY 1, 2),
+ p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (g.n + v) AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (t.n + v) AS q FROM grp g JOIN kept k USING (lang) JOIN total t USING (lang) LEFT JOIN occ USING (lang, source, term)),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS i, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) z ON z.lang = a.lang AND s = a.source AND i = b.source),
+ terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE c > 0 AND p > q),
+ ranked AS (SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms))
+ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+INFILL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ n AS (SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+ c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+ o AS (SELECT *, '<P>' || t[1:a] AS p, '<S>' || t[b + 1:] AS s, '<M>' || CASE WHEN b > a THEN t[a + 1:b] ELSE '' END AS m FROM c),
+ r AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN CASE WHEN a = 0 THEN '<P>' ELSE p END || s || m ELSE s || CASE WHEN a = 0 THEN '<P>' ELSE p END || m END AS output FROM o),
+ x AS (SELECT *, string_split_regex(output, '<P>|<S>|<M>') AS parts FROM r)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars, sha256(output) AS output_sha256,
+ sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN parts[2] || parts[4] || parts[3] ELSE parts[3] || parts[4] || parts[2] END) AS restored_sha256 FROM x"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": _quality(),
     "op4_secret_scan": _secrets(),
     "op8_substring_dedup": SUBSTRINGS,
     "op9_minhash_dedup": NEAR_COPIES,
     "op10_url_filter": _urls(),
+    "op11_license_scan": _licenses(),
+    "op12_source_divergence": DIVERGENCE,
+    "op13_fill_in_middle": INFILL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontaminate, html_extract, langid, mixing, neardup, quality, secrets, substrings, toxicity, urls
+from engram.llm import decontaminate, divergence, html_extract, infill, langid, licenses, mixing, neardup, quality, secrets, substrings, toxicity, urls
 from engram.llm.common import Scratch, table
 from engram.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -62,4 +62,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "j.host", "j.path", "j.rule", "j.verdict")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mix, op4_secret_scan, op5_language_id, op6_html_extraction, op7_decontamination, op8_substring_dedup, op9_minhash_dedup, op10_url_filter)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark), out="s")
+    base = F.col("s.base")
+    return df.select(
+        "doc_id", "s.n_words", F.aggregate(base, F.lit(0).cast("long"), lambda n, b: n + b["n"]).alias("n_base"),
+        F.array_min(F.transform(base, lambda b: b["first"])).alias("first_word"), F.array_max(F.transform(base, lambda b: b["last"])).alias("last_word"),
+        F.array_join(F.sort_array(F.transform(base, lambda b: b["label"])), ",").alias("base_labels"), F.array_join("s.labels", ",").alias("labels"), "s.score",
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), out="x")
+    output, form = F.col("x.output"), F.col("x.form")
+    return df.select("doc_id", "x.n", "x.form", F.col("x.prefix_units").alias("prefix_chars"), F.col("x.middle_units").alias("middle_chars"), F.sha2(output, 256).alias("output_sha256"), F.sha2(infill.restore(output, form), 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mix, op4_secret_scan, op5_language_id, op6_html_extraction, op7_decontamination, op8_substring_dedup, op9_minhash_dedup, op10_url_filter, op11_license_scan, op12_source_divergence, op13_fill_in_middle)}
