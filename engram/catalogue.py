@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import scoring, text, times, vectors
-from engram.operators import beliefs, episodic, evaluation, graph, lookup, maintenance, ranges, tasks, vector
+from engram.operators import beliefs, episodic, evaluation, graph, lookup, maintenance, ranges, tasks, vector, vector_index
 from engram.plans import retrieval
 from engram.schema import STRATEGIES
 from engram.sources import tables as T
@@ -106,6 +106,16 @@ def similar_pairs_threshold(s, d):
     return vector.block_pairs(T.entities(s, d), threshold=0.3)
 
 
+@query(f"WITH {PAIRS} SELECT a, b, similarity FROM near WHERE a < b AND similarity >= 0.35")
+def similar_pairs_indexed(s, d):
+    return vector_index.similar(vector_index.fit(T.entities(s, d), 64, Scratch(s)), 0.35)
+
+
+@query()
+def knn_indexed_topk(s, d):
+    return vector_index.search(vector_index.fit(T.entities(s, d), 64, Scratch(s)), probes(s, d), 10)
+
+
 @query(f"WITH {PAIRS} SELECT a AS source_id, b AS target_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS r FROM near) WHERE r <= 3 AND a <> b AND similarity > 0.3")
 def autolink_edges(s, d):
     return vector.autolink(T.entities(s, d), 0.3)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from engram.operators import vector_index
 from engram.operators.graph import orphan_edges
 from engram.operators.vector import block_pairs
 from engram.sources.scratch import Scratch
@@ -72,14 +73,14 @@ def reembed(entities: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> Dat
     return entities.select(*rest).mapInPandas(run, f"{kinds}, embedding array<float>")
 
 
-def greedy_clusters(entities: DataFrame, scratch: Scratch, threshold: float = 0.75, least: int = 2, most: int = 10) -> DataFrame:
+def greedy_clusters(entities: DataFrame, scratch: Scratch, threshold: float = 0.75, least: int = 2, most: int = 10, index: vector_index.Index | None = None) -> DataFrame:
     """Greedy clusters by id: ``(cluster, id)``, cluster = its seed.
 
     The first free entity takes all free ones at or above the threshold; members beyond ``most`` leave the pool as well.
-    Similar pairs come from block joins. Taking an entity depends only on smaller ids that are linked to it, so rounds
+    Similar pairs come from the join of ``index`` if one is given, else from all block pairs; both are exact. Taking an entity depends only on smaller ids that are linked to it, so rounds
     settle every entity whose smaller neighbours are settled, as the lexicographically first independent set does.
     """
-    pairs = scratch.save(block_pairs(entities, threshold=threshold).select("a", "b"), "cluster_pairs")
+    pairs = scratch.save((vector_index.similar(index, threshold) if index else block_pairs(entities, threshold=threshold)).select("a", "b"), "cluster_pairs")
     ids = scratch.save(entities.where("not coalesce(archived, false) and embedding is not null").select("id"), "cluster_ids")
     # seeds: an entity is a seed if no smaller neighbour is one
     state = scratch.save(ids.withColumn("seed", F.lit(None).cast("boolean")), "state0")

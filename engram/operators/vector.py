@@ -12,12 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions.vectors import cosine
+from engram.operators.ranks import global_rank
 from engram.schema import MAX_K
+from engram.sources.scratch import Scratch
 
 
 def check_k(k: int) -> int:
@@ -31,18 +33,26 @@ def active(entities: DataFrame) -> DataFrame:
     return entities.where("not coalesce(archived, false) and embedding is not null")
 
 
-def _cosine_to(query: list[float]) -> Column:
-    """Cosine of ``embedding`` to a query of the same dimension; another dimension is an error of the job."""
+def _nearest(entities: DataFrame, query: list[float], k: int, id_col: str) -> DataFrame:
+    """The k best active entities by ``similarity``, those of the query's dimension only.
+
+    Entities of another dimension are left out, and an error of the job if there are no others. That is decided on the k
+    rows that are left, where those that fit come first, so the scan neither fails on a bad row nor runs twice.
+    """
     if not query:
         raise ValueError("the query vector is empty")
     q = F.array(*[F.lit(float(x)) for x in query])
-    wrong = F.raise_error(F.concat(F.lit(f"dimension mismatch: the query has {len(query)}, the entity "), F.size("embedding").cast("string")))
-    return F.when(F.size("embedding") != len(query), wrong.cast("double")).otherwise(F.round(cosine(F.col("embedding"), q), 6))
+    fits = F.size("embedding") == len(query)
+    scored = active(entities).withColumn("similarity", F.when(fits, F.round(cosine(F.col("embedding"), q), 6)))
+    best = scored.orderBy(F.desc_nulls_last("similarity"), id_col).limit(k)
+    some = F.max(F.col("similarity").isNotNull()).over(Window.partitionBy())  # k rows at most
+    wrong = F.raise_error(F.concat(F.lit(f"dimension mismatch: the query has {len(query)}, the entities "), F.size("embedding").cast("string")))
+    return best.withColumn("similarity", F.when(some, F.col("similarity")).otherwise(wrong.cast("double"))).where("similarity is not null")
 
 
 def search_by_vector(entities: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     """The k nearest active entities with all their columns and ``similarity``; k beyond ``MAX_K`` counts ``MAX_K``."""
-    return active(entities).withColumn("similarity", _cosine_to(query)).orderBy(F.desc("similarity"), "id").limit(check_k(min(k, MAX_K)))
+    return _nearest(entities, query, check_k(min(k, MAX_K)), "id")
 
 
 def store(entities: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
@@ -64,12 +74,11 @@ def index_stats(entities: DataFrame) -> DataFrame:
 
 
 def search(entities: DataFrame, query: list[float], k: int = 5, id_col: str = "id") -> DataFrame:
-    """The k active entities nearest to one vector: ``(id, similarity)``. Ends in TakeOrderedAndProject."""
-    check_k(k)
-    return active(entities).select(id_col, _cosine_to(query).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
+    """The k active entities nearest to one vector: ``(id, similarity)``. The scan ends in TakeOrderedAndProject."""
+    return _nearest(entities.select(id_col, "embedding", "archived"), query, check_k(k), id_col).select(id_col, "similarity")
 
 
-def _unit(v: list) -> np.ndarray:
+def unit(v: list | np.ndarray) -> np.ndarray:
     m = np.array(v, np.float64)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1, n)
@@ -78,17 +87,18 @@ def _unit(v: list) -> np.ndarray:
 def search_batch(entities: DataFrame, queries: DataFrame, k: int = 5, query_block: int = 4096, id_col: str = "id") -> DataFrame:
     """The k nearest entities of every query: ``(query_id, id, similarity, rank)``.
 
-    ``queries(query_id, embedding)`` are read in blocks of ``query_block`` rows; one block is at the driver at a time,
-    and each block is one pass over the entities.
+    ``queries(query_id, embedding)`` are read in blocks of about ``query_block`` rows; one block is at the driver and in a
+    plan at a time, as each block's pass over the entities is written before the next begins.
     """
     check_k(k)
     blocks = max(1, -(-queries.count() // query_block))
-    parts = []
+    parts, scratch = [], Scratch(entities.sparkSession) if blocks > 1 else None
     for i in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         rows = part.select("query_id", "embedding").orderBy("query_id").collect()
         if rows:
-            parts.append(_best(entities, [r["query_id"] for r in rows], _unit([r["embedding"] for r in rows]), k, id_col))
+            best = _best(entities, [r["query_id"] for r in rows], unit([r["embedding"] for r in rows]), k, id_col)
+            parts.append(scratch.save(best, f"batch{i}") if scratch else best)
     if not parts:
         return entities.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double, rank int")
     found = parts[0]
@@ -104,7 +114,7 @@ def _best(entities: DataFrame, ids: list, q: np.ndarray, k: int, id_col: str) ->
             if not batch.num_rows:
                 continue
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            sim = np.round(_unit(batch.column(1).to_pylist()) @ q.T, 6) + 0.0
+            sim = np.round(unit(batch.column(1).to_pylist()) @ q.T, 6) + 0.0
             order = np.lexsort((np.broadcast_to(own[:, None], sim.shape), -sim), axis=0)[:k]
             col = np.arange(len(ids))[None, :].repeat(len(order), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[col.ravel()]), pa.array(own[order.ravel()]), pa.array(sim[order.ravel(), col.ravel()])], ["query_id", "id", "similarity"])
@@ -112,16 +122,8 @@ def _best(entities: DataFrame, ids: list, q: np.ndarray, k: int, id_col: str) ->
     return active(entities).select(F.col(id_col).cast("bigint"), "embedding").mapInArrow(run, "query_id bigint, id bigint, similarity double")
 
 
-def block_pairs(entities: DataFrame, threshold: float | None = None, k: int | None = None, block: int = 4096, id_col: str = "id") -> DataFrame:
-    """All-pairs similarity ``(a, b, similarity)`` by block pairs.
-
-    With ``threshold``: pairs a < b at or above it. With ``k``: the best k partners of every a inside each block, for a
-    later ranking. Rows are dealt into n / block blocks; each pair of blocks is one group of at most two blocks.
-    """
-    rows = active(entities).select(F.col(id_col).cast("bigint").alias("id"), "embedding")
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "embedding")
+def compare_blocks(threshold: float | None = None, k: int | None = None):
+    """For ``applyInPandas`` over block pairs ``(x, y)`` of rows ``(own, id, embedding)``: similar pairs, or each row's best k."""
 
     def compare(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         x, y = key
@@ -130,7 +132,7 @@ def block_pairs(entities: DataFrame, threshold: float | None = None, k: int | No
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
         out = []
         for p, q in ((left, right),) if x == y or k is None else ((left, right), (right, left)):
-            sim = np.round(_unit(list(p.embedding)) @ _unit(list(q.embedding)).T, 6) + 0.0
+            sim = np.round(unit(list(p.embedding)) @ unit(list(q.embedding)).T, 6) + 0.0
             pi, qi = p.id.to_numpy(), q.id.to_numpy()
             if k is None:
                 i, j = np.nonzero(sim >= threshold)
@@ -143,7 +145,20 @@ def block_pairs(entities: DataFrame, threshold: float | None = None, k: int | No
                 out.append(pd.DataFrame({"a": pi[row.ravel()], "b": qi[order.ravel()], "similarity": sim[row.ravel(), order.ravel()]}))
         return pd.concat(out)
 
-    return pairs.groupBy("x", "y").applyInPandas(compare, "a bigint, b bigint, similarity double")
+    return compare
+
+
+def block_pairs(entities: DataFrame, threshold: float | None = None, k: int | None = None, block: int = 4096, id_col: str = "id") -> DataFrame:
+    """All-pairs similarity ``(a, b, similarity)`` by block pairs.
+
+    With ``threshold``: pairs a < b at or above it. With ``k``: the best k partners of every a inside each block, for a
+    later ranking. Rows are dealt into n / block blocks; each pair of blocks is one group of at most two blocks.
+    """
+    rows = active(entities).select(F.col(id_col).cast("bigint").alias("id"), "embedding")
+    n = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "embedding")
+    return pairs.groupBy("x", "y").applyInPandas(compare_blocks(threshold, k), "a bigint, b bigint, similarity double")
 
 
 def nearest(entities: DataFrame, k: int, block: int = 4096) -> DataFrame:
@@ -165,9 +180,6 @@ def dedup_match(entities: DataFrame, incoming: DataFrame, threshold: float = 0.8
 
 def evict(entities: DataFrame, stored_at: str, limit: int = 500_000, id_col: str = "id") -> DataFrame:
     """The ``limit`` most recently stored entities. Only ids and times are ordered, by range partitions."""
-    from engram.operators.ranks import global_rank
-    from engram.sources.scratch import Scratch
-
     scratch = Scratch(entities.sparkSession)
     kept = global_rank(entities.select(id_col, stored_at), [F.col(stored_at).desc_nulls_last(), F.col(id_col)], scratch, "stored").where(F.col("rank") < limit).select(id_col)
     return entities.join(kept, id_col, "left_semi")
