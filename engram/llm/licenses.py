@@ -48,7 +48,7 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        return f" {self.pattern.replace(' ', '  ')} "
+        return f" {self.pattern.replace(' ?', '(?: )?').replace(' ', '  ')} "
 
     @property
     def weight(self) -> float:
@@ -67,11 +67,12 @@ apache | apache | apache (?:software )?licen[cs]e | |
 apache-1.1 | apache | apache (?:software )?licen[cs]e(?: version)? v?1 1 | apache 1 1 | apache org licenses license 1 1
 apache-2.0 | apache | apache (?:software )?licen[cs]e(?: version)? v?2(?: 0)? | apache 2 0 | apache org licenses license 2 0
 artistic-2.0 | artistic | artistic licen[cs]e(?: version)? v?2(?: 0)? | artistic 2 0 | opensource org licenses artistic(?: license)? 2 0
-beerware | beer | beer ?ware licen[cs]e | beerware |
+beerware | beerware | beerware licen[cs]e | beerware |
+beerware | beer | beer ware licen[cs]e | |
 bsd | bsd | bsd(?: style)? licen[cs]e | |
-bsd-2-clause | bsd | (?:simplified bsd|bsd (?:2|two) clause|2 clause bsd)(?: licen[cs]e)? | bsd 2 clause | opensource org licenses bsd 2 clause
+bsd-2-clause | bsd | (?:simplified bsd licen[cs]e|bsd (?:2|two) clause(?: licen[cs]e)?|2 clause bsd(?: licen[cs]e)?) | bsd 2 clause | opensource org licenses bsd 2 clause
 bsd-3-clause | bsd | (?:(?:new|revised|modified) bsd licen[cs]e|bsd (?:3|three) clause(?: licen[cs]e)?|3 clause bsd(?: licen[cs]e)?) | bsd 3 clause | opensource org licenses bsd 3 clause
-bsd-4-clause | bsd | (?:original bsd|bsd (?:4|four) clause|4 clause bsd)(?: licen[cs]e)? | bsd 4 clause |
+bsd-4-clause | bsd | (?:original bsd licen[cs]e|bsd (?:4|four) clause(?: licen[cs]e)?|4 clause bsd(?: licen[cs]e)?) | bsd 4 clause |
 bsl-1.0 | boost | boost software licen[cs]e(?: version)?(?: v?1 0)? | bsl 1 0 | boost org license 1 0 txt
 busl-1.1 | business | business source licen[cs]e(?: 1 1)? | busl 1 1 |
 cc0-1.0 | cc0 | cc0(?: 1 0)?(?: universal)? | cc0 1 0 | creativecommons org publicdomain zero 1 0
