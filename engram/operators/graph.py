@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.operators.components import connected_components
+from engram.operators.cycles import KEY, accepted, closing
 from engram.schema import DEPTH_CEILING, MAX_NODES
 from engram.sources.scratch import Scratch
 
-KEY = ["source_id", "target_id", "relation_type"]
-
 
 def symmetrize(edges: DataFrame) -> DataFrame:
     """``(id, neighbor, relation_type, weight)`` in both directions; a self-loop appears twice."""
@@ -77,25 +76,6 @@ def reaches(edges: DataFrame, start: int, goal: int, relation: str, scratch: Scr
     return not closure(edges, seeds, scratch, relation=relation).where(F.col("id") == goal).isEmpty()
 
 
-def closing(edges: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of ``new`` that lie on a cycle along their relation, in ``edges`` and ``new`` together.
-
-    All starts advance together, level by level; a start whose source is found goes no further. Of several new edges that
-    close one cycle only together, all are returned.
-    """
-    name = ["source_id", "target_id", "relation_type"]
-    links = scratch.save(edges.select(*name).union(new.select(*name)).distinct().select(F.col("source_id").alias("id"), F.col("target_id").alias("to"), "relation_type"), "cycle_links")
-    want = scratch.save(new.select(*name).distinct(), "cycle_new")
-    level = scratch.save(want.select(F.col("target_id").alias("start"), "relation_type", F.col("target_id").alias("id")).distinct(), "cycle0")
-    seen, i = level, 0
-    while not level.isEmpty():
-        i += 1
-        step = level.join(links, ["id", "relation_type"]).select("start", "relation_type", F.col("to").alias("id")).distinct()
-        level = scratch.save(step.join(seen, ["start", "relation_type", "id"], "left_anti"), f"cycle{i}")
-        seen = seen.union(level) if i % 16 else scratch.save(seen.union(level), f"cycle_seen{i}")
-    return want.join(seen.select(F.col("start").alias("target_id"), "relation_type", F.col("id").alias("source_id")), name, "left_semi").select(*name)
-
-
 def components(entities: DataFrame, edges: DataFrame, scratch: Scratch, min_size: int = 1) -> DataFrame:
     """``(component, size, avg_degree)``: active entities and what their edges reach, archived ids included."""
     pairs = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
@@ -246,11 +226,12 @@ def verify(entities: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
     return o.union(dimension_mismatch(entities, dim).select(F.lit("dim_mismatch"), F.format_string("%s: %s", "id", "dim")))
 
 
-def add_edges(entities: DataFrame, edges: DataFrame, new: DataFrame, relations: list[str], create_missing: bool = False, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def add_edges(entities: DataFrame, edges: DataFrame, new: DataFrame, relations: list[str], create_missing: bool = False, scratch: Scratch | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, entities, rejected): new edges of a declared relation whose ends exist; a weight of 0 counts 1.
 
     ``create_missing`` adds placeholder entities instead of rejecting. With ``scratch`` edges that close a cycle along
-    their relation are rejected too; the bulk form leaves that check out.
+    their relation are rejected too: with ``order`` (a column) as if inserted one by one in that order, else all that lie on
+    a cycle together. The bulk form leaves that check out.
     """
     new = new.withColumn("weight", F.when(F.coalesce("weight", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("weight")))
     known = F.col("relation_type").isin(relations)
@@ -265,7 +246,7 @@ def add_edges(entities: DataFrame, edges: DataFrame, new: DataFrame, relations:
         rejected = rejected.unionByName(good.join(bad, KEY, "left_semi"))
         good = good.join(bad, KEY, "left_anti")
     if scratch is not None:
-        bad = closing(edges, good, scratch)
+        bad = closing(edges, good, scratch) if order is None else good.select(*KEY).join(accepted(edges, good, order, scratch), KEY, "left_anti").distinct()
         rejected = rejected.unionByName(good.join(bad, KEY, "left_semi"))
         good = good.join(bad, KEY, "left_anti")
     kept = edges.select(*KEY, "weight").join(good.select(*KEY), KEY, "left_anti")
