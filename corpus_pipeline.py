@@ -62,15 +62,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``."""
-    scratch = Scratch(spark)
-    docs, before = table(spark, sf_dir, "documents"), None
-    for i, (name, stage) in enumerate(STAGES):
-        mark = Scratch.opened()
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{i}_{name}")
-        Scratch.close_since(mark)  # the stage's own tables
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """All stages on the documents of ``sf_dir``.
+
+    A stage's own tables, and the result before it, go once its result is written. With ``name`` the results lie in a folder
+    of that name: a run that died is taken up after its last finished stage (of the same documents).
+    """
+    scratch = Scratch(spark, name)
+    docs, before, steps = table(spark, sf_dir, "documents"), None, [f"{i}_{stage}" for i, (stage, _) in enumerate(STAGES)]
+    done = max((i for i, step in enumerate(steps) if scratch.has(step)), default=-1)
+    if done >= 0:
+        docs, before = scratch.load(steps[done]), steps[done]
+    for step, (_, stage) in list(zip(steps, STAGES, strict=True))[done + 1 :]:
+        with scratch.owning():
+            docs = scratch.save(stage(spark, docs, sf_dir), step)
+        scratch.close_owned()
         if before:
             scratch.drop(before)
-        before = f"{i}_{name}"
+        before = step
     return docs

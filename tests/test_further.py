@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,16 +95,58 @@ def test_long_and_cyclic_recovery_chains(spark):
     assert plan(edges(spark, [(1, 2), (2, 3), (3, 2)], "recovers_via"), 1) == [(1, 2), (2, 3)] and plan(edges(spark, [(1, 1)], "recovers_via"), 1) == []
 
 
-def test_scratch_closes_what_was_opened(spark):
+def test_scratch_closes_what_it_owns(spark):
     there = lambda x: os.path.isdir(x.path.removeprefix("file://"))
-    a, mark = Scratch(spark), Scratch.opened()
-    b = Scratch(spark)
-    a.save(spark.range(3), "x")
-    b.save(spark.range(3), "x")
-    Scratch.close_since(mark)
-    assert there(a) and not there(b) and spark.read.parquet(f"{a.path}/x").count() == 3
+    a, other = Scratch(spark), Scratch(spark)
+    with a.owning():
+        b = Scratch(spark)
+        with b.owning():
+            c = Scratch(spark)
+    for x in (a, b, c, other):
+        x.save(spark.range(3), "x")
+    a.close_owned()
+    assert not there(b) and not there(c) and spark.read.parquet(f"{a.path}/x").count() == 3 and there(other)
     a.close()
-    assert not there(a) and Scratch.opened() == mark - 1
+    assert not there(a) and there(other) and other.has("x") and not other.has("y")
+    other.close()
+
+
+def test_two_queries_on_two_threads_keep_their_tables(spark):
+    """One closes what it owns while the other is at work."""
+    ready, closed, out = threading.Event(), threading.Event(), {}
+
+    def first():
+        mine = Scratch(spark)
+        with mine.owning():
+            inner = Scratch(spark)
+            inner.save(spark.range(5), "x")
+            ready.wait(60)
+            mine.close_owned()
+        out["first"] = os.path.isdir(inner.path.removeprefix("file://"))
+        closed.set()
+
+    def second():
+        theirs = Scratch(spark)
+        kept = theirs.save(spark.range(7), "y")
+        ready.set()
+        closed.wait(60)
+        out["second"] = kept.count()
+
+    threads = [threading.Thread(target=f) for f in (first, second)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert out == {"first": False, "second": 7}
+
+
+def test_named_scratch_is_found_again(spark):
+    a = Scratch(spark, "same")
+    a.save(spark.range(4), "x")
+    b = Scratch(spark, "same")
+    assert b.has("x") and b.load("x").count() == 4
+    b.close()
+    assert not a.has("x")
 
 
 def test_vectors_are_stored_removed_and_checked(spark):
