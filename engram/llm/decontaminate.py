@@ -23,13 +23,14 @@ A q-gram that is frequent in texts and items (a line of dashes) has as many hits
 therefore looked up in slices of the text, and where a slice is still too large in groups of items; items are indexed in
 overlapping segments, so one slice of one segment is bounded. Slices overlap by more than a window, so nothing is lost.
 
-Edge cases: null or empty texts match nothing; repeated documents or items each give their own row; very long texts
-are scanned whole, in pieces with overlap; empty tables give an empty result; extra columns are not read, or passed
-through by ``clean``.
+Edge cases: null or empty texts match nothing; an item without id counts, with a null id in the result; repeated documents
+each give their own row, a repeated item (same id and text) one; very long texts are scanned whole, in pieces with overlap;
+empty tables give an empty result; extra columns are not read, or passed through by ``clean``.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from engram.llm.common import Scratch, fresh
 
@@ -302,18 +304,32 @@ class Index:
         return [(self.ids[i], max(x[0], 0), min(x[1], len(whole)), x[2], round(float((np.cumsum(x[3])[:-1] > 0).mean()), 4)) for i, x in sorted(best.items())]
 
 
-def part_count(benchmark: DataFrame, text: str, part_chars: int) -> int:
-    return max(1, -(-(benchmark.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0) // part_chars))
+def parts(benchmark: DataFrame, key: str, text: str, part_chars: int, scratch: Scratch) -> tuple[int, Iterator[list[tuple[int | None, str]]]]:
+    """(number of parts, the parts): the distinct items in parts of about ``part_chars`` characters, each read when the one
+    before is done.
 
-
-def parts(benchmark: DataFrame, key: str, text: str, part_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in parts of about ``part_chars`` characters, each read when the one before is done."""
-    count = part_count(benchmark, text, part_chars)
-    for i in range(count):
-        part = benchmark.where(F.pmod(F.xxhash64(key, text), F.lit(count)) == i) if count > 1 else benchmark
-        items = [(r[0], r[1]) for r in part.select(F.col(key), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()).orderBy(key, text).collect()]
-        if items:
-            yield items
+    Items are dealt by the running sum of their lengths, so a part exceeds the limit by less than one item; only a sum per
+    partition reaches the driver for that. Items without id stay (their id is null), those without text go.
+    """
+    own = fresh(benchmark.select(key, text), "_deal")
+    rows = benchmark.select(key, text).where(F.col(text).isNotNull()).distinct().withColumn(own, F.spark_partition_id())
+    rows = scratch.save(rows, "benchmark")
+    sums = sorted((r[own], r["n"]) for r in rows.groupBy(own).agg(F.sum(F.length(text)).alias("n")).collect())
+    starts = dict(zip((p for p, _ in sums), itertools.accumulate((n for _, n in sums), initial=0), strict=False))
+    count = max(1, -(-sum(n for _, n in sums) // part_chars))
+    if count > 1:
+        before = F.sum(F.length(text)).over(Window.partitionBy(own).orderBy(key, text)) - F.length(text)
+        offset = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col(own))
+        rows = scratch.save(rows.withColumn(own, F.floor((offset + before) / part_chars)), "dealt")
+
+    def read() -> Iterator[list[tuple[int | None, str]]]:
+        for i in range(count):
+            part = rows.where(F.col(own) == i) if count > 1 else rows
+            items = [(r[0], r[1]) for r in part.select(key, text).orderBy(key, text).collect()]
+            if items:
+                yield items
+
+    return count, read()
 
 
 def _scan(docs: DataFrame, items: list[tuple[int, str]], budget: Budget, key: str) -> DataFrame:
@@ -334,7 +350,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None,
     """One row per document and item found in it: ``(key, item_id, doc_start, doc_end, edits, coverage)``."""
     budget, scratch = budget or Budget(), scratch or Scratch(docs.sparkSession)
     out = docs.sparkSession.createDataFrame([], f"`{key}` bigint, {MATCHES}")
-    for i, items in enumerate(parts(benchmark, item_key, item_text, part_chars)):
+    for i, items in enumerate(parts(benchmark, item_key, item_text, part_chars, scratch)[1]):
         out = out.union(scratch.save(_scan(docs.select(F.col(key).cast("bigint"), F.col(text)), items, budget, key), f"part{i}"))
     return out
 
@@ -355,13 +371,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None,
 
         return run
 
-    count = part_count(benchmark, item_text, part_chars)
+    count, items_of = parts(benchmark, item_key, item_text, part_chars, scratch)
     if count == 1:
-        items = next(parts(benchmark, item_key, item_text, part_chars), [])
+        items = next(items_of, [])
         return docs.mapInArrow(keep(items, docs.columns.index(text), False), docs.schema)
     row = fresh(docs, "_row")
     rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = [scratch.save(rows.select(row, text).mapInArrow(keep(items, 1, True), rows.select(row, text).schema).select(row), f"held{i}") for i, items in enumerate(parts(benchmark, item_key, item_text, part_chars))]
+    found = [scratch.save(rows.select(row, text).mapInArrow(keep(items, 1, True), rows.select(row, text).schema).select(row), f"held{i}") for i, items in enumerate(items_of)]
     for held in found:
         rows = rows.join(held, row, "left_anti")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,13 +59,46 @@ class Block:
     linked: int
 
 
+class Open:
+    """The open tags, with their numbers in all and above the innermost wall, so a tag that is not there costs no search."""
+
+    def __init__(self) -> None:
+        self.stack: list[Place] = []
+        self.all: Counter[str] = Counter()
+        self.near: list[Counter[str]] = [Counter()]  # one more for each open wall
+
+    def push(self, place: Place) -> None:
+        self.stack.append(place)
+        self.all[place.tag] += 1
+        if place.tag in WALLS:
+            self.near.append(Counter())
+        else:
+            self.near[-1][place.tag] += 1
+
+    def close(self, tags: set[str], beyond_walls: bool) -> None:
+        """Closes the innermost open tag of ``tags`` and all inside it; none beyond a wall unless said so."""
+        known = self.all if beyond_walls else self.near[-1]
+        if not any(known[t] for t in tags):
+            return
+        while self.stack:
+            tag = self.stack.pop().tag
+            self.all[tag] -= 1
+            if tag in WALLS:
+                self.near.pop()
+            else:
+                self.near[-1][tag] -= 1
+            if tag in tags:
+                return
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order, with the tags and the attribute words above them."""
+    """The leaf blocks of a page in order, with the tags and the attribute words above them. One pass, linear in the page."""
     out: list[Block] = []
-    stack: list[Place] = []
+    tree = Open()
     parts: list[str] = []
     seen: Place | None = None
     linked, page, at = 0, page or "", 0
+    ends: dict[str, re.Match | None] = {}
 
     def flush() -> None:
         nonlocal linked, seen
@@ -74,13 +108,19 @@ def blocks(page: str | None) -> list[Block]:
         parts.clear()
         linked, seen = 0, None
 
+    def next_end(tag: str) -> re.Match | None:
+        """The next end tag; looked for anew only behind the last one found."""
+        if tag not in ends or (ends[tag] and ends[tag].start() < at):
+            ends[tag] = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+        return ends[tag]
+
     while m := TOKEN.match(page, at):
         token, at = m.group(), m.end()
         if token[0] != "<" or token == "<":
             text = entities.unescape(token)
             if seen is None and not text.isspace():
-                seen = stack[-1] if stack else Place()
-            if stack and "a" in stack[-1].tags:
+                seen = tree.stack[-1] if tree.stack else Place()
+            if tree.stack and "a" in tree.stack[-1].tags:
                 linked += len(text.split())
             parts.append(text)
             continue
@@ -90,19 +130,14 @@ def blocks(page: str | None) -> list[Block]:
         if token[1] == "/":
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in WALLS and tag not in BLOCK:
-                    break
+            tree.close({tag}, tag in BLOCK)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            end = next_end(tag)
             at = end.end() if end else len(page)
             continue
         if tag in UNSEEN:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            end = next_end(tag)
             again = re.compile(rf"<{tag}\b", re.I).search(page, at, end.start()) if end and tag != "template" else None
             if end and not again and not token.endswith("/>"):
                 at = end.end()
@@ -111,17 +146,11 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
         if tag in BLOCK:
             flush()
-            stop = CLOSES.get(tag, set()) | {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in stop:
-                    del stack[i:]
-                    break
-                if stack[i].tag in WALLS and stack[i].tag not in stop:
-                    break
+            tree.close(CLOSES.get(tag, set()) | {"p", "h1", "h2", "h3", "h4", "h5", "h6"}, False)
         if tag in VOID or token.endswith("/>") and tag not in BLOCK:
             continue
         words = [w for _, v in ATTRIBUTE.findall(token) for w in re.split(r"[^a-z]+", v.lower()) if w]
-        stack.append((stack[-1] if stack else Place()).down(tag, words))
+        tree.push((tree.stack[-1] if tree.stack else Place()).down(tag, words))
     flush()
     return out
 
@@ -242,6 +271,14 @@ def labelled_pages(count: int = 400, seed: int = 4) -> list[tuple[list[Block], l
         return head + pick("", "<h2>Comments</h2>") + "".join(one() for _ in range(rng.integers(1, 6))) + tail
 
     pages = []
+
+    def add(page: str) -> None:
+        bs = blocks(f"<html><head><title>x</title></head><body>{page}</body></html>")
+        y = ["\x02" in b.text for b in bs]
+        for b in bs:
+            b.text = b.text.replace("\x02", "").strip() or "x"
+        pages.append((bs, y))
+
     for _ in range(count):
         body = []
         if chance(0.4):
@@ -272,11 +309,13 @@ def labelled_pages(count: int = 400, seed: int = 4) -> list[tuple[list[Block], l
             body.append(comments())
         if chance(0.8):
             body.append(f'<footer>{pick("&copy; ", "Copyright ", "")}{say(1, 20)}</footer>')
-        bs = blocks("<html><head><title>x</title></head><body>" + "".join(body) + "</body></html>")
-        y = ["\x02" in b.text for b in bs]
-        for b in bs:
-            b.text = b.text.replace("\x02", "").strip() or "x"
-        pages.append((bs, y))
+        add("".join(body))
+    for _ in range(count // 8):  # pages laid out by tables, with a footer in a row, and fields without a form
+        menu = f"<tr><td>{links(rng.integers(1, 6))}</td></tr>" if chance(0.6) else ""
+        cell = "".join(f"<p>{say(4, 60, chr(2))}</p>" for _ in range(rng.integers(1, 5)))
+        fields = f"<fieldset><legend>{say(1, 3)}</legend><label>{say(1, 3)}</label><input name=q>{pick('', f'<label>{say(1, 4)}</label><input name=r>')}</fieldset>" if chance(0.5) else ""
+        foot = f"<tr><td>{pick('Copyright ', '&copy; ', 'Copyright &copy; ')}{rng.integers(1994, 2030)}{pick('', ' ' + say(1, 6))}</td></tr>"
+        add(f"<table{pick('', ' width=600', ' class=layout')}>{menu}<tr><td><h1>{say(1, 8, chr(2))}</h1>{cell}{fields}</td></tr>{foot}</table>")
     return pages
 
 

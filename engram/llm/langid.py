@@ -186,13 +186,30 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, f"{key} bigint, lang_pred string, score double, accepted boolean")
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, rows: int = 2_500, bits: int = 16) -> DataFrame:
-    """``(key, held_out, lang_pred, score, accepted)`` for every document, learnt outside the held-out fold."""
+def drawn(known: DataFrame, rows: int, languages: int) -> DataFrame:
+    """Distinct ``(lang, k, h)``: at most ``rows`` in all, alike for each of the ``languages`` most frequent languages.
+
+    A hash below a threshold, set by each language's number of rows so that four times its share pass, comes before any row
+    is ordered; so what is shuffled and sorted is bounded however many rows a language has. A language of which copies are
+    more than three quarters may give fewer.
+    """
+    per = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    share = max(1, rows // max(1, per.count()))
+    hashed = F.xxhash64("k", "h", F.lit(21))
+    level = F.least(F.lit(1.0), F.lit(4.0 * share) / F.col("n"))
+    near = known.join(F.broadcast(per), "lang").where(F.pmod(hashed, F.lit(1 << 40)) < level * float(1 << 40)).select("lang", "k", "h").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "k", "h"))
+    return near.withColumn("n", place).where(F.col("n") <= share).select("lang", "k", "h")
+
+
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, rows: int = 2_500, bits: int = 16, languages: int = 250) -> DataFrame:
+    """``(key, held_out, lang_pred, score, accepted)`` for every document, learnt outside the held-out fold.
+
+    The sample is bounded by ``rows``; of more than ``languages`` languages only the most frequent are learnt.
+    """
     outside = F.coalesce(fold(key, folds) != held, F.lit(True))
     known = docs.where(outside & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
-    share = max(20, rows // max(1, known.select("lang").distinct().count()))
-    spread = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k", "h", F.lit(21)), "k", "h"))  # cut to ``share`` rows a language before the shuffle
-    chosen = known.select("lang", "k", "h").distinct().withColumn("n", spread).where(F.col("n") <= share).select("lang", "k", "h")  # at most ``rows``, or 20 a language
+    chosen = drawn(known, rows, languages)  # at most ``rows``, hence the broadcast
     same = [F.col("r.lang") == F.col("c.lang"), F.col("r.k").eqNullSafe(F.col("c.k")), F.col("r.h") == F.col("c.h")]
     picked = known.alias("r").join(F.broadcast(chosen.alias("c")), same, "left_semi").dropDuplicates(["lang", "k", "h"])
     found = picked.select("lang", "t").mapInArrow(feature_rows(bits), "lang string, index binary, count binary").collect()

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -160,11 +160,30 @@ def mix(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "tex
     return out.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "turns", "runs")
 
 
+def cut_runs(text: Column, runs: Column) -> Column:
+    """The pieces of ``text`` from the first to the last character of each run of words (from, to)."""
+    blanks = r"[\x20\x09-\x0D]+"
+    zero = F.lit(0).cast("long")
+    span = lambda x, n: F.aggregate(F.slice(x, 1, n.cast("int")), zero, lambda a, w: a + F.length(w))
+
+    def pieces(both: Column) -> Column:
+        w, gaps = both["w"], both["gaps"]
+        begin = lambda k: span(w, k) + span(gaps, k + 1)
+        end = lambda k: span(w, k) + span(gaps, k)
+        return F.transform(runs, lambda r: F.substring(text, (begin(r["from"]) + 1).cast("int"), (end(r["to"]) - begin(r["from"])).cast("int")))
+
+    # gaps[i] stands before word i; both arrays are read off one text
+    lead = F.regexp_extract(text, "^" + blanks, 0)
+    inner = F.filter(F.regexp_extract_all(text, F.lit(blanks), F.lit(0)), lambda g: g != "")
+    gaps = F.when(lead == "", F.concat(F.array(F.lit("")), inner)).otherwise(inner)
+    return let(F.struct(words(text).alias("w"), gaps.alias("gaps")), pieces)
+
+
 def mixed(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed corpus: ``docs`` with the words taken as ``text``, and ``size, source_size, target, taken``.
 
-    A document taken whole appears as often, its copies joined by two line ends; a run of further words follows, joined
-    by blanks. Documents of which nothing is taken go.
+    A document taken whole appears as often, its copies joined by two line ends; a run of further words follows as it stands
+    in the text, lines and indentation between its words included. Documents of which nothing is taken go.
     """
     row = fresh(docs, "_row")
     plan = dict(weights=(3, 1, 2), total_share=1.5, cap=2.0, block=256, shard_rows=4096, seed=42) | options
@@ -173,5 +192,6 @@ def mixed(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     figures = ["size", "source_size", "target", "taken"]
     df = rows.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), F.col(row).alias("row")).join(found, "row")
     own = F.col(f"doc.`{text}`")
-    parts = F.concat(F.array_repeat(own, F.col("turns").cast("int")), F.when(F.size("runs") == 0, F.expr("cast(array() as array<string>)")).otherwise(let(words(own), lambda w: F.transform("runs", lambda r: F.array_join(F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), " ")))))
+    none = F.expr("cast(array() as array<string>)")
+    parts = F.concat(F.array_repeat(own, F.col("turns").cast("int")), F.when(F.size("runs") == 0, none).otherwise(cut_runs(own, F.col("runs"))))
     return df.select(*[F.array_join(parts, "\n\n").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in figures], *figures)

@@ -38,10 +38,19 @@ def _quality() -> str:
  NOT (n < 50 OR 100 * rep > 50 * n OR {' OR '.join(bad)}) AS kept FROM m"""
 
 
+#: The base patterns as the contract states them, with the least lengths beside them.
+BASE_SECRETS = {
+    "assign": r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+}
+LEAST_SECRETS = {"assign": 12, "access": 18, "hex": 16}
+
+
 def _spans(kind: secrets.Kind, rank: int) -> str:
-    p = quoted(kind.pattern)
+    p, least = quoted(BASE_SECRETS.get(kind.name, kind.pattern)), LEAST_SECRETS.get(kind.name, kind.least)
     value = f"regexp_extract(m, {p}, {kind.group})" if kind.group else "m"
-    good = f"length({value}) >= {kind.least}" if not kind.mixed else f"regexp_matches({value}, '[0-9]') AND regexp_matches({value}, '[a-z]') AND regexp_matches({value}, '[A-Z]')"
+    good = f"length({value}) >= {least}" if not kind.mixed else f"regexp_matches({value}, '[0-9]') AND regexp_matches({value}, '[a-z]') AND regexp_matches({value}, '[A-Z]')"
     return f"""SELECT doc_id, source, {quoted(kind.name)} AS kind, {rank} AS rank, s AS start, s + length(m) AS stop, {value} AS value FROM (
  SELECT doc_id, source, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS s FROM (
  SELECT doc_id, source, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS gaps FROM documents WHERE regexp_matches(text, {p}))) WHERE {good}"""
@@ -52,7 +61,7 @@ def _secrets() -> str:
     n, most = len(secrets.BASE), secrets.Limits()
     every = " UNION ALL ".join(_spans(k, i) for i, k in enumerate(kinds))
     text = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){}, '')"
-    return f"""WITH s AS ({every}), o AS (SELECT sha256(value) AS h, count(DISTINCT coalesce(split_part(source, '/', 1), '')) <= {most.owners} AND count(DISTINCT coalesce(source, '')) <= {most.repos} AND count(DISTINCT doc_id) <= {most.docs} AS owned FROM s GROUP BY 1),
+    return f"""WITH s AS ({every}), o AS (SELECT sha256(value) AS h, count(DISTINCT coalesce(split_part(source, '/', 1), '')) <= {most.owners} AND count(DISTINCT coalesce(source, '')) <= {most.repos} AS owned FROM s GROUP BY 1),
  x AS (SELECT s.*, o.owned, rank < {n} AS base FROM s JOIN o ON o.h = sha256(value)),
  a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
  {text.format(' FILTER (base)')} AS b, {text.format(' FILTER (base OR owned)')} AS sp, count(*) FILTER (owned) AS n_owned, count(*) FILTER (NOT owned) AS n_copied FROM x GROUP BY 1)
@@ -95,12 +104,28 @@ def _decoded(target: str) -> str:
     return f"array_to_string(list_transform(string_split({target}, '&'), lambda p, i: CASE WHEN i = 1 THEN p WHEN ({number}) BETWEEN 1 AND 55295 OR ({number}) BETWEEN 57344 AND 1114111 THEN chr({number}) || {rest} {named} ELSE '&' || p END), '')"
 
 
+#: Patterns of their own, beside those of the operator.
+UNREAD_HTML = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{x}\b[^>]*>.*?(?:</{x}\b[^>]*>|\z)" for x in ("script", "style", "textarea", "title", "template", "xmp"))
+LINK_TAG = r"""(?is)<(?:link|meta)(?:[\s/](?:[^>"']|"[^"]*"|'[^']*')*)?>|<(?:link|meta)(?:[\s/][^>]*)?>"""
+ATTRS = "regexp_extract_all(tag[6:], " + quoted(r"""(?s)[^\s"'>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""") + ")"
+
+
+def _held(name: str) -> str:
+    first = f"list_filter(pairs, lambda x: lower(regexp_extract(x, '^[^\\s=]+')) = '{name}')[1]"
+    value = f"regexp_replace({first}, '(?s)^[^=]*=\\s*', '')"
+    bare = f"""(CASE WHEN left({value}, 1) IN ('"', '''') THEN substr({value}, 2, length({value}) - 2) ELSE {value} END)"""
+    return f"regexp_replace({_decoded(bare)}, '^\\s+|\\s+$', '', 'g')"
+
+
 def _urls() -> str:
     return rf"""WITH RECURSIVE p AS (SELECT page_id, html, {_parts("coalesce(url, '')")} FROM pages), u AS (SELECT *, split_part(rest, '?', 1) AS path, host || rest AS k FROM p),
- tags AS (SELECT host, path, k, unnest(regexp_extract_all(html, {quoted(urls.TAG)})) AS tag FROM u),
- raw AS (SELECT host, path, k, CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, {quoted(urls.HREF)}, 1) ELSE regexp_extract(tag, {quoted(urls.REDIRECT)}, 1) END AS target FROM tags
- WHERE regexp_matches(tag, {quoted(urls.CANONICAL)}) OR regexp_matches(tag, {quoted(urls.REFRESH)})),
- t AS (SELECT host, path, k, {_decoded("target")} AS target FROM raw WHERE target <> ''),
+ seen AS (SELECT host, path, k, regexp_replace(html, {quoted(UNREAD_HTML)}, ' ', 'g') AS h FROM u),
+ tags AS (SELECT host, path, k, unnest(regexp_extract_all(h, {quoted(LINK_TAG)})) AS tag FROM seen),
+ attrs AS (SELECT host, path, k, lower(tag[2:5]) AS el, {ATTRS} AS pairs FROM tags),
+ held AS (SELECT host, path, k, el, {_held("rel")} AS rel, {_held("href")} AS href, {_held("http-equiv")} AS equiv, {_held("content")} AS content FROM attrs),
+ goals AS (SELECT host, path, k, CASE WHEN el = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href
+ WHEN el = 'meta' AND lower(equiv) = 'refresh' THEN regexp_extract(content, '(?is)^[\s\d.]*[\s;,]\s*url\s*=\s*(.*)$', 1) END AS g, el FROM held),
+ t AS (SELECT host, path, k, CASE WHEN el = 'meta' AND g[1] = '"' THEN trim(split_part(g[2:], '"', 1)) WHEN el = 'meta' AND g[1] = '''' THEN trim(split_part(g[2:], '''', 1)) ELSE trim(g) END AS target FROM goals WHERE g <> ''),
  f AS (SELECT k, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target WHEN starts_with(target, '?') THEN 'http://' || host || path || target ELSE 'http://' || host || regexp_replace(path, '[^/]*$', '') || target END AS url FROM t WHERE target <> ''),
  e AS (SELECT k AS a, host || rest AS b FROM (SELECT k, {_parts("url")} FROM f)), sym AS (SELECT a, b FROM e WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM e WHERE a <> '' AND b <> '' AND a <> b),
  reach AS (SELECT DISTINCT a, a AS b FROM sym UNION SELECT r.a, sym.b FROM reach r JOIN sym ON sym.a = r.b),

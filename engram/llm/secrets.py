@@ -2,9 +2,9 @@
 
 Three base patterns give spans that always stay. Wider patterns give candidates: provider tokens, private-key blocks
 and long mixed tokens. Every candidate and base value is hashed, and each hash is aggregated over the corpus by distinct
-owners, repositories and documents. A candidate within all three limits of ``Limits`` is a live-looking credential of its
-owner and becomes a span; a value that many owners, repositories or documents carry is a widely copied example and adds
-none. Base spans are counted in both classes but never removed.
+owners and repositories. A candidate within both limits of ``Limits`` is a live-looking credential of its owner and becomes a
+span, in however many documents of that owner it stands; a value that many owners or repositories carry is a widely copied
+example and adds none. Base spans are counted in both classes but never removed.
 
 Positions are code points, end exclusive. All matches of a pattern come from ``regexp_extract_all`` and the pieces
 between them from ``split``; running sums over their lengths give the positions, so work grows with the matches of a
@@ -62,11 +62,10 @@ SPAN = "struct<start:bigint,end:bigint,rank:int,kind:string,value:string>"
 
 @dataclass(frozen=True)
 class Limits:
-    """The most distinct owners, repositories and documents that an owner-specific value has."""
+    """The most distinct owners and repositories that an owner-specific value has."""
 
     owners: int = 2
     repos: int = 4
-    docs: int = 100
 
 
 def pieces(text: Column, kind: Kind) -> Column:
@@ -97,13 +96,13 @@ def digest(spans: Column) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``(hash, n_owners, n_repos, n_docs)`` of ``found(value, owner, repo, doc)``.
+    """``(hash, n_owners, n_repos)`` of ``found(value, owner, repo)``.
 
     Distinct pairs are counted in two steps, each partially aggregated, so a hot value is reduced before it is shuffled.
     """
-    found = found.select(F.sha2("value", 256).alias("hash"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("owner", "repo", "doc")])
+    found = found.select(F.sha2("value", 256).alias("hash"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("owner", "repo")])
     count = lambda c: found.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(f"n_{c}s"))
-    return count("owner").join(count("repo"), "hash").join(count("doc"), "hash")
+    return count("owner").join(count("repo"), "hash")
 
 
 def scan(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", repo: str = "source", owner: Column | None = None, limits: Limits = Limits(), out: str = "secrets") -> DataFrame:
@@ -117,8 +116,8 @@ def scan(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     kinds = F.filter(F.array(*[F.struct(F.lit(i).alias("rank"), pieces(t, k).alias("ps")) for i, k in enumerate(KINDS)]), lambda x: F.size(x["ps"]) > 0)
     hits = docs.select(F.col(key).cast("string").alias("k"), F.xxhash64(t).alias("h"), F.col(repo).alias("repo"), owner.alias("owner"), kinds.alias("kinds")).where("size(kinds) > 0")
     hits = scratch.save(hits, "hits")
-    seen = values(hits, "k", "h", "repo", "owner").where("good").select("value", "owner", "repo", F.concat_ws(":", "k", "h").alias("doc"))
-    counts = scratch.save(ownership(seen).select("hash", ((F.col("n_owners") <= limits.owners) & (F.col("n_repos") <= limits.repos) & (F.col("n_docs") <= limits.docs)).alias("owned")), "owners")
+    seen = values(hits, "k", "h", "repo", "owner").where("good").select("value", "owner", "repo")
+    counts = scratch.save(ownership(seen).select("hash", ((F.col("n_owners") <= limits.owners) & (F.col("n_repos") <= limits.repos)).alias("owned")), "owners")
     running = Window.partitionBy("k", "h", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     spans = values(hits.dropDuplicates(["k", "h"]), "k", "h").withColumn("end", F.sum(F.col("gap") + F.length("m")).over(running)).where("good")
     spans = spans.withColumn("start", F.col("end") - F.length("m")).withColumn("hash", F.sha2("value", 256)).join(counts, "hash")

@@ -25,6 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from engram.llm.common import Scratch
 
 EDGES = b".,;:!?\"'()[]{}#*$%&|<>"
 #: (power of the feature count, L2 weight, learning rate)
@@ -199,10 +202,12 @@ def fit(spark: SparkSession, p: Sparse, u: Sparse, prior: float, bits: int = 18,
     return Model(bits, SETTINGS[best["i"]][0], best["bias"], best["cut"], weights)
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, train_rows: Column, positives: int, unlabelled: int, bits: int) -> tuple[Sparse, Sparse, float]:
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, train_rows: Column, positives: int, unlabelled: int, bits: int, features: int) -> tuple[Sparse, Sparse, float]:
     """Bounded, seeded samples of P and U as features, and the share of toxic among labelled training rows.
 
-    The draw is over distinct pairs of id and text, found by hash; one row of each drawn pair is read.
+    The draw is over distinct pairs of id and text, found by hash; one row of each drawn pair is read. P and U are cut, in
+    the order of the draw, where they reach ``features`` distinct features in all, so texts of very many words make the
+    sample shorter, not larger.
     """
     known = labels.where(train_rows).select(key, "toxic").distinct()
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
@@ -211,7 +216,12 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, train_rows:
     toxic = known.where("toxic = 1").select(F.col(key).alias("k"))
     chosen = draw(rows.join(toxic, "k", "left_semi"), 11, positives, True).union(draw(rows, 12, unlabelled, False))  # at most positives + unlabelled rows, hence the broadcast
     found = rows.join(F.broadcast(chosen), ["k", "h"]).dropDuplicates(["k", "h", "positive"])
-    rows = found.select("positive", "t").mapInArrow(feature_rows(bits), "positive boolean, index binary, count binary").collect()
+    own = Scratch(docs.sparkSession)
+    ready = own.save(found.select("positive", "t").mapInArrow(feature_rows(bits), "positive boolean, index binary, count binary").withColumn("i", F.monotonically_increasing_id()), "sample")
+    size = ready.select("i", "positive", F.xxhash64("index", "count").alias("draw"), (F.length("index") / 4).cast("long").alias("n"))  # one narrow row for each of the drawn
+    running = F.sum("n").over(Window.partitionBy("positive").orderBy("draw", "i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = ready.join(size.withColumn("sum", running).where(F.col("sum") <= features).select("i"), "i", "left_semi").select("positive", "index", "count").collect()
+    own.close()
     rows.sort(key=lambda r: (r["positive"], bytes(r["index"]), bytes(r["count"])))  # the same order on every run
     packed = lambda want: Sparse([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int16)) for r in rows if r["positive"] == want])
     return packed(True), packed(False), float(min(max(prior or 0.1, 0.005), 0.9))
@@ -248,9 +258,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, f"{key} bigint, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 0, positives: int = 2500, unlabelled: int = 8000, bits: int = 18) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 0, positives: int = 2500, unlabelled: int = 8000, bits: int = 18, features: int = 24_000_000) -> DataFrame:
     """``(key, held_out, score, predicted)`` for every document, learnt from rows outside the held-out fold."""
     outside = F.coalesce(fold(key, folds) != held, F.lit(False))
-    p, u, prior = sample(docs, labels, key, text, outside, positives, unlabelled, bits)
+    p, u, prior = sample(docs, labels, key, text, outside, positives, unlabelled, bits, features)
     scored = score(docs, fit(docs.sparkSession, p, u, prior, bits), key, text)
     return scored.select(key, F.coalesce(fold(key, folds) == held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

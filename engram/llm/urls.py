@@ -6,8 +6,12 @@ are redirects (``meta refresh``) and canonical links, classes are distributed co
 explicitly blocked url is blocked, unless one of its urls is explicitly allowed: the allow takes precedence. A url's
 own rule always stands. Only DataFrame expressions are used.
 
-Every ``link`` and ``meta`` tag of a page counts, whatever its length; character references in targets (numeric, and
-amp, quot, apos, lt, gt) are decoded; relative targets are resolved against the page, dot segments stay as they are.
+Every ``link`` and ``meta`` tag of a page counts, whatever its length, unless it stands in a comment or in a script, style,
+textarea, title, template or xmp element. A tag ends at its first ``>`` outside quotes (at its first ``>`` if its quotes are
+never closed, or if that lies behind more than 500 quoted values); attributes are read in order, each with its own quotes, and
+the first of a name counts. A link is canonical if one of the blank-separated words of ``rel`` is; a refresh has its target
+behind ``url=`` in ``content``. Character references in values (numeric, and amp, quot, apos, lt, gt) are decoded and values
+trimmed; relative targets are resolved against the page, dot segments stay as they are.
 
 Edge cases: a null url or one without ``://`` has empty host and path, matches no rule, has no aliases and is allowed;
 null html has no links; repeated rows and repeated links count once per class, and each row gets its verdict; no edges
@@ -24,12 +28,13 @@ from pyspark.sql import functions as F
 from engram.llm.common import Scratch, connected_components, fresh, let
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A tag that may link; what makes it a canonical link or a redirect, and where its target stands.
-TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-CANONICAL = r"""(?is)^<link\b.*[\s"'/]rel\s*=\s*(?:canonical\b|"[^"]*\bcanonical\b|'[^']*\bcanonical\b)"""
-REFRESH = r"""(?is)^<meta\b.*[\s"'/]http-equiv\s*=\s*["']?refresh\b"""
-HREF = r"""(?is)[\s"'/]href\s*=\s*["']?([^"'\s>]+)"""
-REDIRECT = r"""(?is)[\s;,"']url\s*=\s*["']?([^"'\s>]+)"""
+#: What holds no tags: comments and raw elements, up to their end or that of the page.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|xmp)\b[^>]*>.*?(?:</\1\b[^>]*>|\z)"
+#: Where a tag that may link begins; its inside if its first ``>`` lies between quotes.
+BEGINS = r"(?i)<(?=(?:link|meta)[\s/>])"
+QUOTED = r"""(?s)^([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*){0,500})>"""
+#: An attribute with its value, read from left to right, so what stands in a value is none.
+ATTRIBUTE = r"""(?s)[^\s"'>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 #: Named character references that urls need.
 NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
 
@@ -94,11 +99,44 @@ def decoded(target: Column) -> Column:
     return F.when(F.instr(target, "&") == 0, target).otherwise(F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(piece(p))), ""))
 
 
+def tags(html: Column) -> Column:
+    """The insides of all ``link`` and ``meta`` tags of a page."""
+
+    def inside(rest: Column) -> Column:
+        short = F.substring_index(rest, ">", 1)
+        loose = F.regexp_replace(short, "\"[^\"]*\"|'[^']*'", "").rlike("[\"']")
+        long = F.regexp_extract(rest, QUOTED, 1)
+        return F.when(loose & (long != ""), long).otherwise(short)
+
+    pieces = F.split(F.regexp_replace(html, UNREAD, " "), BEGINS, -1)
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), inside)
+
+
+def attribute(pairs: Column, name: str) -> Column:
+    """The decoded, trimmed value of the first attribute of a name among ``name=value`` texts; null if there is none."""
+    held = F.get(F.filter(pairs, lambda p: F.lower(F.regexp_extract(p, r"^[^\s=]+", 0)) == name), F.lit(0))
+    value = F.regexp_replace(held, r"(?s)^[^=]*=\s*", "")
+    bare = F.when(value.rlike("^[\"']"), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
+    return F.regexp_replace(let(bare, decoded), r"^\s+|\s+$", "")
+
+
+def target(tag: Column) -> Column:
+    """Where a tag links to, null if it is neither a canonical link nor a redirect."""
+
+    def read(pairs: Column) -> Column:
+        canonical = tag.rlike("(?i)^link") & F.array_contains(F.split(F.lower(attribute(pairs, "rel")), r"\s+"), "canonical")
+        refresh = tag.rlike("(?i)^meta") & (F.lower(attribute(pairs, "http-equiv")) == "refresh")
+        goal = F.regexp_extract(attribute(pairs, "content"), r"(?is)^[\s\d.]*[\s;,]\s*url\s*=\s*(.*)$", 1)
+        within = F.regexp_extract(goal, "(?s)^(?:\"[^\"]*|'[^']*)", 0)
+        goal = F.trim(F.when(goal.rlike("^[\"']"), within.substr(F.lit(2), F.length(within))).otherwise(goal))
+        return F.when(canonical, attribute(pairs, "href")).when(refresh, goal)
+
+    return let(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), read)
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Alias edges ``(a, b)`` between url keys from all canonical links and redirects; relative targets are resolved."""
-    tags = F.filter(F.regexp_extract_all(F.col(html), F.lit(TAG), 0), lambda t: t.rlike(CANONICAL) | t.rlike(REFRESH))
-    target = lambda t: decoded(F.when(t.rlike("(?i)^<link"), F.regexp_extract(t, HREF, 1)).otherwise(F.regexp_extract(t, REDIRECT, 1)))
-    df = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("u"), F.explode(F.transform(tags, target)).alias("t")).where("t <> ''")
+    df = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("u"), F.explode(F.transform(tags(F.col(html)), target)).alias("t")).where("t <> ''")
     p, t = parts(F.col("u")), F.col("t")
     here = F.concat(F.lit("http://"), F.col("p.host"))
     full = (
