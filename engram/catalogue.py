@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import scoring, text, times, vectors
 from engram.operators import beliefs, episodic, evaluation, graph, lookup, maintenance, ranges, tasks, vector, vector_index
-from engram.plans import retrieval
+from engram.plans import explain, retrieval
 from engram.schema import STRATEGIES
 from engram.sources import tables as T
 from engram.sources.scratch import Scratch
@@ -228,6 +228,77 @@ def retrieve_token_budget(s, d):
     return retrieval.retrieve(T.entities(s, d), T.edges(s, d), seeds(s), options(s, d), 200).select("id", "category", "bucket_rank", "used")
 
 
+HITS = "hits_up AS (SELECT id, id AS at, depth, [id] AS path, []::VARCHAR[] AS relations, 0 AS n FROM hits UNION ALL SELECT u.id, p.id, u.depth, list_prepend(p.id, u.path), list_prepend(h.rel, u.relations), u.n + 1 FROM hits_up u JOIN hits h ON h.id = u.at JOIN hits p ON p.id = h.parent)"
+
+
+@query(f"WITH RECURSIVE {ENTS}, {EDGES}, {SYM}, {WALK}, {HITS} SELECT id, path[1] AS seed, depth, array_to_string(path, '>') AS path, array_to_string(relations, '>') AS relations FROM hits_up WHERE n = depth")
+def explain_paths(s, d):
+    walked = graph.walk(T.entities(s, d), T.edges(s, d), seeds(s), max_nodes=None)
+    return explain.paths(walked).select("id", "seed", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.array_join("relations", ">").alias("relations"))
+
+
+NODE = f"""{ENTS}, {EDGES}, {SYM}, {DEG}, f AS (SELECT e.id, category, {cos('e.embedding', 'q.embedding')} AS similarity, CASE WHEN age_hours <= 0 THEN 1.0 ELSE exp(-age_hours / 720.0::DOUBLE) END AS recency,
+ CASE WHEN created_hours <= 0 THEN 1.0 ELSE exp(-created_hours / 720.0::DOUBLE) END AS temporal, log10(1 + least(coalesce(degree, 0), 100)) AS centrality FROM ents e LEFT JOIN deg USING (id), (SELECT embedding FROM embeddings WHERE vec_id = {PROBE}) q)"""
+
+
+@query(f"WITH {NODE} SELECT id, category, round(similarity, 6) + 0.0 AS similarity, round(recency, 6) AS recency, round(temporal, 6) AS temporal, round(centrality, 6) AS centrality, 1.0::DOUBLE AS decay, 0.0::DOUBLE AS depth_penalty, round(0.7::DOUBLE * similarity + 0.3::DOUBLE * recency + 0.05::DOUBLE * centrality, 6) + 0.0 AS score FROM f")
+def explain_nodes(s, d):
+    x = explain.nodes(T.entities(s, d), T.edges(s, d), query=tuple(probe_vector(s, d)))
+    return x.select("id", "category", *[(F.round(c, 6) + 0.0).alias(c) for c in ("similarity", "recency", "temporal", "centrality", "decay", "depth_penalty", "score")])
+
+
+NEAREST = f"(SELECT id FROM (SELECT e.id, round({cos('e.embedding', 'q.embedding')}, 6) + 0.0 AS s FROM ents e, (SELECT embedding FROM embeddings WHERE vec_id = {PROBE}) q WHERE NOT archived ORDER BY 2 DESC, 1 LIMIT 3))"
+FROM_NEAREST = RANKED.replace(f"WHERE id IN {SEEDS}", f"WHERE id IN {NEAREST}")
+
+
+@query(f"""WITH RECURSIVE {FROM_NEAREST}, per AS (SELECT category, list_position(['world','opinion','experience','observation'], category) AS o, string_agg('- ' || content || CASE WHEN depth > 0 AND parent IS NOT NULL THEN ' (via ''' || rel || ''' from ' || parent || ')' ELSE '' END || chr(10), '' ORDER BY bucket_rank) AS body FROM facts GROUP BY 1)
+ SELECT '# Memory Context' || chr(10) || chr(10) || coalesce(string_agg('## ' || category || chr(10) || body || chr(10), '' ORDER BY o), '') AS document FROM per""")
+def response_markdown(s, d):
+    return explain.response(T.entities(s, d), T.edges(s, d), probe_vector(s, d))
+
+
+def _fixed(x: str) -> str:
+    return f"printf('%.3f', {x})"
+
+
+@query(f"""WITH RECURSIVE {FROM_NEAREST},
+ seedlines AS (SELECT coalesce(string_agg('  [' || id || '] depth=0 score=' || {_fixed("score")} || chr(10), '' ORDER BY round(score, 9) DESC, id), '  (none)' || chr(10)) AS t, count(*) AS n FROM ranked WHERE depth = 0),
+ factlines AS (SELECT coalesce(string_agg('  ' || repeat('  ', depth) || rpad('d=' || depth, 12, ' ') || content || ' [score=' || {_fixed("score")} || ' vec=' || {_fixed("similarity")} || ' rec=' || {_fixed("recency")} || ' cent=' || {_fixed("centrality")} || ' depth=' || {_fixed("1 - decay")} || ']' || chr(10)
+ || CASE WHEN parent IS NULL THEN '' ELSE '  ' || repeat('  ', depth) || '└─ via ''' || rel || ''' from ' || parent || chr(10) END, '' ORDER BY list_position(['world','opinion','experience','observation'], category), bucket_rank), '  (no facts retrieved)' || chr(10)) AS t,
+ count(*) FILTER (category = 'world') AS w, count(*) FILTER (category = 'opinion') AS o, count(*) FILTER (category = 'experience') AS e, count(*) FILTER (category = 'observation') AS b FROM facts)
+ SELECT 'Query: "what is near"' || chr(10) || chr(10) || '── Seeds (vector search) ──' || chr(10) || s.t || chr(10) || '── Graph walk (edges traversed) ──' || chr(10) || f.t || chr(10) || '── Summary ──' || chr(10) || '  Seeds: ' || n || ' | World: ' || w || ' | Opinion: ' || o || ' | Experience: ' || e || ' | Observation: ' || b || chr(10) AS document FROM seedlines s, factlines f""")
+def explain_tree(s, d):
+    return explain.explained(T.entities(s, d), T.edges(s, d), probe_vector(s, d), "what is near")
+
+
+@query(f"WITH RECURSIVE {RANKED} SELECT id, depth, round(greatest(similarity, recency) * decay - 0.01::DOUBLE * (1 - decay), 6) + 0.0 AS score FROM ranked")
+def retrieve_custom_scorer(s, d):
+    best = lambda f, w: F.greatest(f["similarity"], f["recency"]) * f["decay"] - 0.01 * f["depth_penalty"]
+    return retrieval.rank(T.entities(s, d), T.edges(s, d), seeds(s), options(s, d, scorer=best)).select("id", "depth", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(f"WITH RECURSIVE {RANKED} SELECT id, category, (row_number() OVER (PARTITION BY category ORDER BY length(content) DESC, bucket_rank))::INTEGER AS bucket_rank FROM facts")
+def retrieve_reranked(s, d):
+    facts = retrieval.retrieve(T.entities(s, d), T.edges(s, d), seeds(s), options(s, d))
+    return retrieval.rerank(facts, lambda content: content.str.len()).select("id", "category", "bucket_rank")
+
+
+MANY = f"""{BATCH.replace('rank <= 10', 'rank <= 3')}, {EDGES}, {SYM}, {DEG}, live AS (SELECT id, category FROM ents WHERE NOT archived),
+ l0 AS (SELECT query_id AS q, id, 0 AS depth, 0.0::DOUBLE AS pw FROM knn),
+ l1 AS (SELECT q, b AS id, 1 AS depth, min(pw + w) AS pw FROM l0 JOIN sym ON a = id JOIN live l ON l.id = b WHERE NOT EXISTS (SELECT 1 FROM l0 x WHERE x.q = l0.q AND x.id = b) GROUP BY 1, 2),
+ l2 AS (SELECT q, b AS id, 2 AS depth, min(pw + w) AS pw FROM l1 JOIN sym ON a = id JOIN live l ON l.id = b WHERE NOT EXISTS (SELECT 1 FROM l0 x WHERE x.q = l1.q AND x.id = b) AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.q = l1.q AND x.id = b) GROUP BY 1, 2),
+ seen AS (SELECT u.*, category, row_number() OVER (PARTITION BY q ORDER BY depth, category, id) AS n FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) u JOIN live USING (id)),
+ scored AS (SELECT s.q, s.id, s.depth, s.category, e.content, (0.7::DOUBLE * {cos('e.embedding', 'p.embedding')} + 0.3::DOUBLE * CASE WHEN e.age_hours <= 0 THEN 1.0 ELSE exp(-e.age_hours / 720.0::DOUBLE) END + 0.05::DOUBLE * log10(1 + least(coalesce(degree, 0), 100))) * CASE WHEN s.pw <= 0 THEN 1.0 ELSE pow(0.5::DOUBLE, s.pw) END AS score
+ FROM seen s JOIN ents e USING (id) LEFT JOIN deg USING (id) JOIN embeddings p ON p.vec_id = s.q WHERE n <= 100 AND s.depth > 0)"""
+
+
+@query(f"""WITH {MANY} SELECT q AS query_id, id, depth, category, round(score, 6) + 0.0 AS score, (row_number() OVER (PARTITION BY q, category ORDER BY round(score, 9) DESC, content, id))::INTEGER AS bucket_rank
+ FROM (SELECT *, row_number() OVER (PARTITION BY q, content ORDER BY round(score, 9) DESC, id) AS f FROM scored) WHERE f = 1""")
+def retrieve_many(s, d):
+    return explain.retrieve_many(T.entities(s, d), T.edges(s, d), probes(s, d)).select("query_id", "id", "depth", "category", (F.round("score", 6) + 0.0).alias("score"), "bucket_rank")
+
+
+
 @query(f"WITH RECURSIVE {ENTS}, {EDGES}, {SYM}, {WALK.replace(f'FROM live WHERE id IN {SEEDS}', f'FROM live WHERE id IN {SEEDS} AND id IN (SELECT id FROM ents WHERE age_hours <= 1000)')} SELECT id, depth FROM nodes")
 def temporal_seed_filter(s, d):
     return retrieval.rank(T.entities(s, d), T.edges(s, d), seeds(s), options(s, d, time_from_hours=1000.0)).select("id", "depth")

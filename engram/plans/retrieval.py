@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from engram.functions.scoring import components, composite
+from engram.functions.scoring import components, composite, finite
 from engram.functions.text import token_count
 from engram.functions.vectors import cosine
 from engram.operators.graph import degree, walk
@@ -20,7 +20,8 @@ from engram.schema import BUCKETS, MAX_NODES, Weights
 
 @dataclass(frozen=True)
 class Options:
-    """``query``: without it similarity is 0. ``walk_temporal``: use creation times inside walks."""
+    """``query``: without it similarity is 0. ``walk_temporal``: use creation times inside walks. ``scorer``: the score as an
+    expression over the feature struct and the weights, the weighted sum by default."""
 
     max_depth: int = 2
     max_nodes: int = MAX_NODES
@@ -29,6 +30,7 @@ class Options:
     walk_temporal: bool = False
     time_from_hours: float | None = None
     time_scope: str = "seeds"
+    scorer: Callable[[Column, Weights], Column] = composite
 
 
 def rank(entities: DataFrame, edges: DataFrame, seeds: DataFrame, o: Options = Options()) -> DataFrame:
@@ -44,7 +46,7 @@ def rank(entities: DataFrame, edges: DataFrame, seeds: DataFrame, o: Options = O
     sim = F.lit(0.0) if o.query is None else cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in o.query]))
     features = components(sim, F.col("age_hours"), F.col("created_hours") if o.walk_temporal else None, F.coalesce("degree", F.lit(0)), F.col("path_weight"), w)
     found = found.withColumn("features", features)
-    return found.withColumn("score", composite(F.col("features"), w)).select("id", "depth", "path_weight", "parent_id", "relation_type", "category", "content", "features", "score")
+    return found.withColumn("score", finite(o.scorer(F.col("features"), w))).select("id", "depth", "path_weight", "parent_id", "relation_type", "category", "content", "features", "score")
 
 
 def bucketize(ranked: DataFrame) -> DataFrame:
