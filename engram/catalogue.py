@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from engram.functions import scoring, text, times, vectors
-from engram.operators import beliefs, episodic, evaluation, graph, lookup, maintenance, ranges, tasks, vector, vector_index
+from engram.functions import scoring, sql, text, times, vectors
+from engram.operators import beliefs, episodic, evaluation, graph, lookup, maintenance, ranges, schedule, tasks, vector, vector_index
 from engram.plans import explain, retrieval
 from engram.schema import STRATEGIES
+from engram.sources import meta
 from engram.sources import tables as T
 from engram.sources.scratch import Scratch
 
@@ -713,12 +715,6 @@ def merge_content(s, d):
     return p.select("conv_id", "turn", text.merge_content(F.col("text"), F.col("other")).alias("merged"))
 
 
-@query("SELECT conv_id, substr(sha256(string_agg(turn || ':' || role, ',' ORDER BY turn, role)), 1, 16) AS fingerprint FROM conversations GROUP BY 1")
-def schema_fingerprint(s, d):
-    x = T.read(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("x"))
-    return x.select("conv_id", F.substring(F.sha2(F.array_join(F.transform("x", lambda r: F.concat(r["turn"], F.lit(":"), r["role"])), ","), 256), 1, 16).alias("fingerprint"))
-
-
 @query(f"WITH {ENTS}, {EDGES}, new AS (SELECT id + 1 AS id, 'fresh ' || id AS content FROM ents WHERE id % 3 = 0) SELECT coalesce(n.id, e.id) AS id, coalesce(n.content, e.content) AS content FROM ents e FULL JOIN new n ON n.id = e.id")
 def entity_upsert(s, d):
     e = T.entities(s, d).select("id", "content")
@@ -823,11 +819,11 @@ def grouping_sets_tasks(s, d):
     return t.groupingSets([[t.status], [t.priority], []], t.status, t.priority).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_returnflag AS flag, count(DISTINCT l_partkey) > 0 AS any_part, true AS near FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS flag, count(DISTINCT l_partkey) AS n, true AS near FROM lineitem GROUP BY 1")
 def approx_distinct(s, d):
-    """The sketch's estimate is within five standard errors (0.05) of the exact count."""
+    """The exact count, and that the sketch's estimate lies within five standard errors (0.05) of it."""
     x = T.read(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count_distinct("l_partkey").alias("n"), F.approx_count_distinct("l_partkey", 0.01).alias("e"))
-    return x.select("flag", (F.col("n") > 0).alias("any_part"), (F.abs(F.col("e") - F.col("n")) <= 0.05 * F.col("n")).alias("near"))
+    return x.select("flag", "n", (F.abs(F.col("e") - F.col("n")) <= 0.05 * F.col("n")).alias("near"))
 
 
 @query(f"WITH {TASKS}, {TEDGES} SELECT source_id AS id FROM blk INTERSECT SELECT id FROM tasks WHERE status = 'completed'")
@@ -837,7 +833,7 @@ def done_blockers_intersect(s, d):
 
 @query(f"WITH {TASKS}, {TEDGES} SELECT id FROM tasks EXCEPT SELECT target_id FROM blk")
 def unblocked_except(s, d):
-    return T.tasks(s, d).select("id").exceptAll(T.task_edges(s, d).where("relation_type = 'blocked_by'").select("target_id")).distinct()
+    return T.tasks(s, d).select("id").subtract(T.task_edges(s, d).where("relation_type = 'blocked_by'").select("target_id"))
 
 
 @query(f"WITH {BELIEFS} SELECT status, count(*) AS n FROM beliefs GROUP BY 1")
@@ -858,12 +854,14 @@ def julian_backfill(s, d):
     return T.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), times.julian_ms(day).alias("ms"))
 
 
-@query("SELECT vec_id AS id, 64::INTEGER AS n_bytes, true AS same FROM embeddings")
+@query("""WITH q AS (SELECT vec_id AS id, embedding, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings),
+ c AS (SELECT id, lo, hi, list_transform(embedding, lambda x: trunc((x::DOUBLE - lo) * (127.0::DOUBLE / (hi - lo)))::INT) AS codes FROM q)
+ SELECT id, array_to_string(list_transform(codes, lambda c: printf('%02X', c)), '') AS bytes, array_to_string(codes, ',') AS codes FROM c""")
 def quantized_codec(s, d):
-    e = T.entities(s, d).select("id", vectors.quantize(F.col("embedding")).alias("q"))
-    b = e.withColumn("b", vectors.quantized_bytes(F.col("q")))
+    """The stored bytes, and the codes read back from them."""
+    e = T.entities(s, d).select("id", vectors.quantize(F.col("embedding")).alias("q")).withColumn("b", vectors.quantized_bytes(F.col("q")))
     back = vectors.bytes_quantized(F.col("q.min"), F.col("q.max"), F.col("b"))
-    return b.select("id", F.octet_length("b").alias("n_bytes"), (back["codes"] == F.col("q.codes")).alias("same"))
+    return e.select("id", F.hex("b").alias("bytes"), F.array_join(back["codes"].cast("array<string>"), ",").alias("codes"))
 
 
 @query("SELECT p.o_orderkey AS later, o.o_orderkey AS earlier FROM orders p JOIN orders o ON o.o_custkey = p.o_custkey AND epoch_us(p.o_orderdate) >= epoch_us(o.o_orderdate) AND epoch_us(p.o_orderdate) < epoch_us(o.o_orderdate) + 400 * 86400000000")
@@ -902,3 +900,120 @@ def episode_finish(s, d):
     e = episodic.episodes(T.episode_events(s, d))
     ends = e.where("n_events % 2 = 0").select("episode_id", "ended_at_ms", F.concat("n_events", F.lit(" events")).alias("summary"))
     return episodic.finish(e.select("episode_id", F.lit(None).cast("bigint").alias("ended_at_ms"), F.lit(None).cast("string").alias("summary")), ends)
+
+
+# evaluation by grades, reports and paired runs -------------------------------------------------------------------------
+
+GRADED = f"{BATCH}, judged AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, e.vec_id % 3 AS relevance FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id % 20 = 0), rel AS (SELECT query_id, doc_id FROM judged WHERE relevance > 0)"
+BY_ID = "other AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INTEGER AS rank FROM knn)"
+
+
+def _graded(s, d):
+    results, qrels = _judged(s, d)
+    return results, qrels.withColumn("relevance", F.col("doc_id") % 3)
+
+
+@query(f"""WITH {GRADED}, g AS (SELECT k.query_id, sum(1 / log2(rank + 1)) AS dcg FROM knn k JOIN rel r ON r.query_id = k.query_id AND r.doc_id = k.id GROUP BY 1), i AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1)
+ SELECT query_id, round(coalesce(dcg / list_sum(list_transform(generate_series(1, least(n, 10)), lambda x: 1 / log2(x + 1))), 0), 6) AS ndcg FROM (SELECT DISTINCT query_id FROM judged) q LEFT JOIN g USING (query_id) LEFT JOIN i USING (query_id)""")
+def reranker_ndcg(s, d):
+    results, judged = _graded(s, d)
+    return evaluation.reranker_ndcg(results, judged).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+def _per_query(run: str) -> str:
+    return f"""(SELECT query_id, h / n AS precision, h / t AS recall, coalesce(1.0::DOUBLE / r, 0) AS rr, coalesce(dcg, 0) / list_sum(list_transform(generate_series(1, least(t, 5)), lambda x: 1 / log2(x + 1))) AS ndcg FROM
+ (SELECT k.query_id, sum((r.doc_id IS NOT NULL AND rank <= 5)::INT)::DOUBLE AS h, sum((rank <= 5)::INT)::DOUBLE AS n, min(CASE WHEN r.doc_id IS NOT NULL THEN rank END) AS r, sum(CASE WHEN r.doc_id IS NOT NULL AND rank <= 5 THEN 1 / log2(rank + 1) END) AS dcg FROM {run} k LEFT JOIN rel r ON r.query_id = k.query_id AND r.doc_id = k.id GROUP BY 1)
+ JOIN (SELECT query_id, count(*) AS t FROM rel GROUP BY 1) USING (query_id))"""
+
+
+@query(f"""WITH {GRADED}, {BY_ID}, b AS {_per_query("knn")}, a AS {_per_query("other")}, m AS (SELECT metric, b, a, round(a - b, 12) AS d FROM (
+ {" UNION ALL ".join(f"SELECT '{x}' AS metric, b.{x} AS b, a.{x} AS a FROM b JOIN a USING (query_id)" for x in evaluation.METRICS)}))
+ SELECT metric, count(*) AS n, round(avg(b), 6) AS before, round(avg(a), 6) AS after, round(avg(d), 6) + 0.0 AS difference, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties,
+ round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 6) + 0.0 AS t FROM m GROUP BY 1""")
+def evaluation_compare(s, d):
+    results, judged = _graded(s, d)
+    rel = evaluation.relevant(judged)
+    other = results.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    x = evaluation.compare(evaluation.per_query(results, rel, 5), evaluation.per_query(other, rel, 5))
+    return x.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("before", "after")], (F.round("difference", 6) + 0.0).alias("difference"), "wins", "losses", "ties", (F.round("t", 6) + 0.0).alias("t"))
+
+
+@query(f"""WITH {GRADED}, p AS {_per_query("knn")}, q AS (SELECT count(*) AS queries FROM (SELECT DISTINCT query_id FROM rel)), m AS (SELECT sum((r.doc_id IS NOT NULL)::INT)::DOUBLE AS h, count(*) AS n FROM knn k LEFT JOIN rel r ON r.query_id = k.query_id AND r.doc_id = k.id WHERE rank <= 5),
+ x AS (SELECT queries, h / (SELECT count(*) FROM rel) AS recall, h / n AS precision, (SELECT avg(rr) FROM p) AS mrr, (SELECT avg(ndcg) FROM p) AS ndcg FROM q, m)
+ SELECT 'probes' AS dataset, '=== Benchmark Report ===' || chr(10) || 'Dataset:      probes' || chr(10) || 'Queries:      ' || queries || chr(10) || 'K:            5' || chr(10) || '--- Metrics ---' || chr(10) || 'Recall@5:     ' || printf('%.4f', recall) || chr(10) || 'Precision@5:  ' || printf('%.4f', precision) || chr(10) || 'MRR:          ' || printf('%.4f', mrr) || chr(10) || 'NDCG@5:       ' || printf('%.4f', ndcg) || chr(10) AS document FROM x""")
+def evaluation_report(s, d):
+    results, judged = _graded(s, d)
+    return evaluation.report_text(evaluation.report(results, evaluation.relevant(judged), 5, "probes"))
+
+
+# schedule, vocabulary, extraction, SQL functions ------------------------------------------------------------------------
+
+
+@query(f"""WITH {TASKS}, {TEDGES}, r AS (SELECT o_orderkey AS id, substr(o_orderpriority, 1, 1)::BIGINT AS w, o_custkey AS c, o_orderdate AS t FROM orders),
+ x AS (SELECT id, w, row_number() OVER up - 1 AS level, sum(w) OVER up AS finish, sum(w) OVER down AS tail FROM r WINDOW up AS (PARTITION BY c ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (PARTITION BY c ORDER BY t DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT id, level::INTEGER AS level, finish::BIGINT AS finish, tail::BIGINT AS tail, ((SELECT max(finish) FROM x) - (finish + tail - w))::BIGINT AS slack, (SELECT max(finish) FROM x) = finish + tail - w AS critical FROM x""")
+def task_schedule(s, d):
+    t = T.tasks(s, d).select("id", F.col("priority").cast("bigint").alias("weight"))
+    return schedule.schedule(t, T.task_edges(s, d), Scratch(s))
+
+
+def _names(column: str, source: str) -> str:
+    return f"""(SELECT '[' || string_agg('"' || x || '"', ',' ORDER BY x) || ']' FROM (SELECT DISTINCT {column} AS x FROM {source}))"""
+
+
+@query(f"""WITH {ENTS}, {EDGES}, {TASKS}, {TEDGES}, rel AS (SELECT relation_type AS r FROM edges UNION ALL SELECT 'blocked_by' FROM blk UNION ALL SELECT 'recovers_via' FROM rec),
+ j AS (SELECT '{{"blocking":"blocked_by","categories":' || {_names("category", "ents")} || ',"recovery":"recovers_via","relations":' || {_names("r", "rel")} || ',"stateful":' || {_names("'task'", "tasks")} || ',"states":' || {_names("status", "tasks")} || ',"unblocking":"completed"}}' AS canonical)
+ SELECT canonical, substr(sha256(canonical), 1, 16) AS fingerprint FROM j""")
+def schema_fingerprint(s, d):
+    """Of the vocabulary in use: all seven parts."""
+    every = T.edges(s, d).select("relation_type").union(T.task_edges(s, d).select("relation_type"))
+    v = meta.vocabulary_of(T.entities(s, d), every, T.tasks(s, d), tasks.V)
+    parts = {name: F.col(name) for name in meta.PARTS}
+    return v.select(F.to_json(F.struct(*[parts[n] for n in meta.PARTS])).alias("canonical"), meta.fingerprint_of(**parts).alias("fingerprint"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id::VARCHAR END AS id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS category, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE coalesce(text, '') END AS content, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id + 1)::VARCHAR END AS target FROM documents""")
+def extraction_parse(s, d):
+    """Answers of a model made from documents: some in a code fence, some cut off."""
+    x = T.read(s, d, "documents")
+    one = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("category"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.struct((F.col("doc_id") + 1).cast("string").alias("target_id"), F.lit("next").alias("relation_type"))).alias("relations"))
+    answer = F.to_json(F.struct(F.array(one).alias("entities")))
+    answer = F.when(F.col("doc_id") % 7 == 0, F.substring(answer, 1, 30)).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).otherwise(answer)
+    e = text.parse_extraction(answer)["entities"][0]
+    return x.select("doc_id", e["id"].alias("id"), e["category"].alias("category"), e["content"].alias("content"), e["relations"][0]["target_id"].alias("target"))
+
+
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшыьз"
+_STEM = " ".join(f"WHEN ends_with(w, '{x}') AND length(w) >= {len(x) + 3} THEN left(w, length(w) - {len(x)})" for x in text.SUFFIXES)
+_STEMMED = "array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN NOT regexp_matches(w, '[Ѐ-ӿ]') THEN w {1} ELSE w END), ' ')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, translate(lower(text), '{LATIN}', '{CYRILLIC}') AS t FROM documents), p AS (SELECT a.doc_id, a.t AS la, b.t AS lb FROM c a JOIN c b ON b.doc_id = a.doc_id + 1),
+ x AS (SELECT *, {_STEMMED.format("la", _STEM)} AS sa, {_STEMMED.format("lb", _STEM)} AS sb FROM p)
+ SELECT doc_id, coalesce(({_FLIP}) OR ((sa <> la OR sb <> lb) AND contains(sa, ' не') <> contains(sb, ' не')), false) AS flip FROM x""")
+def lexical_contradiction_stemmed(s, d):
+    """Phrases, then stemmed particles, on documents in Cyrillic letters."""
+    c = T.read(s, d, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, CYRILLIC).alias("t"))
+    p = c.join(c.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("other")), "doc_id")
+    return p.select("doc_id", text.lexical_contradiction(F.col("t"), F.col("other")).alias("flip"))
+
+
+TRUST = f"""{ENTS}, {EDGES}, {SYM}, near AS (SELECT DISTINCT a AS id, b FROM sym), t AS (SELECT e.id, greatest(least(confidence * (CASE category WHEN 'observation' THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END) * CASE WHEN age_hours <= 0 THEN 1.0 ELSE exp(-age_hours / 720.0::DOUBLE) END, 1.0), 0.0) AS trust FROM ents e)"""
+
+
+@query(f"WITH {TRUST} SELECT n.id, round(sum(t.trust * e.confidence) / sum(e.confidence), 6) AS trust FROM near n JOIN ents e ON e.id = n.b JOIN t ON t.id = n.b GROUP BY 1 HAVING sum(e.confidence) > 0")
+def sql_neighbor_trust(s, d):
+    """The registered functions from SQL: mean trust of each entity's neighbours, weighted by confidence."""
+    sql.register(s, T.entities(s, d), T.edges(s, d))
+    return s.sql("""
+        SELECT id, round(trust, 6) AS trust FROM (
+        SELECT n.id, weighted_mean(trust_of(e.confidence, e.category, e.age_hours), e.confidence) AS trust
+        FROM (SELECT source_id AS id, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges) n JOIN entities e ON e.id = n.b
+        GROUP BY n.id) WHERE trust IS NOT NULL""")
+
+
+@query(f"WITH {ENTS}, {EDGES}, {SYM} SELECT s.id AS start, e.id, r AS relation, e.content FROM ents s JOIN sym ON a = s.id JOIN ents e ON e.id = b WHERE s.id % 20 = 0 AND NOT e.archived")
+def sql_neighbors(s, d):
+    """The registered table function, joined laterally to the stated query set."""
+    sql.register(s, T.entities(s, d), T.edges(s, d))
+    return s.sql("SELECT s.id AS start, n.id, n.relation, n.content FROM entities s, LATERAL neighbors_of(s.id) n WHERE s.id % 20 = 0")

@@ -128,3 +128,12 @@ def strip_fence(text: Column) -> Column:
 def parse_list(text: Column) -> Column:
     """Comma-separated values, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+#: The fields of an extraction by a model.
+EXTRACTION = "struct<entities:array<struct<id:string,category:string,content:string,relations:array<struct<target_id:string,relation_type:string>>>>>"
+
+
+def parse_extraction(answer: Column) -> Column:
+    """A model's JSON answer, with or without a code fence, as ``EXTRACTION``; null if it is no such JSON."""
+    return F.from_json(strip_fence(answer), EXTRACTION, {"mode": "PERMISSIVE"})

@@ -79,3 +79,64 @@ def run(retrieve: Callable[[DataFrame], DataFrame], queries: DataFrame, qrels: D
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"))
+
+
+def relevant(judged: DataFrame) -> DataFrame:
+    """Judgements ``(query_id, doc_id, relevance)`` as binary ones: what has a relevance above 0 is relevant."""
+    return judged.where(F.col("relevance") > 0).select("query_id", "doc_id")
+
+
+def reranker_ndcg(order: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
+    """Binary nDCG at k of a reranked order ``(query_id, doc_id, rank)`` by graded judgements, for every judged query.
+
+    A query without a relevant document has an ideal of nothing and scores 0.
+    """
+    every = judged.select("query_id").distinct()
+    return every.join(ndcg(order, relevant(judged), k), "query_id", "left").select("query_id", F.coalesce("ndcg", F.lit(0.0)).alias("ndcg"))
+
+
+def per_query(results: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """``(query_id, precision, recall, rr, ndcg)`` for every query with results or judgements; 0 where a denominator is 0."""
+    top = hits(results, qrels).where(F.col("rank") <= k).groupBy("query_id").agg(F.sum("rel").alias("h"), F.count("*").alias("n"))
+    first = hits(results, qrels).where("rel = 1").groupBy("query_id").agg(F.min("rank").alias("r"))
+    total = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("t"))
+    every = results.select("query_id").union(qrels.select("query_id")).distinct()
+    df = every.join(top, "query_id", "left").join(first, "query_id", "left").join(total, "query_id", "left").join(ndcg(results, qrels, k), "query_id", "left")
+    share = lambda a, b: F.when(F.col(b) > 0, F.coalesce(F.col(a), F.lit(0)) / F.col(b)).otherwise(F.lit(0.0))
+    return df.select("query_id", share("h", "n").alias("precision"), share("h", "t").alias("recall"), F.coalesce(1 / F.col("r"), F.lit(0.0)).alias("rr"), F.coalesce("ndcg", F.lit(0.0)).alias("ndcg"))
+
+
+METRICS = ("precision", "recall", "rr", "ndcg")
+
+
+def compare(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two runs' ``per_query`` frames, paired by query: ``(metric, n, before, after, difference, wins, losses, ties, t)``.
+
+    ``t`` is the paired t statistic, null where all differences are equal or there is one pair. Queries of one run only are
+    left out.
+    """
+    names = lambda df, side: df.select("query_id", *[F.col(m).alias(f"{side}_{m}") for m in METRICS])
+    both = names(before, "b").join(names(after, "a"), "query_id")
+    long = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"b_{m}").alias("b"), F.col(f"a_{m}").alias("a")) for m in METRICS])).alias("x")).select("x.*").withColumn("d", F.round(F.col("a") - F.col("b"), 12))
+    out = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("b").alias("before"), F.avg("a").alias("after"), F.avg("d").alias("difference"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"), F.stddev_samp("d").alias("s"))
+    return out.withColumn("t", F.when(F.col("s") > 0, F.col("difference") / (F.col("s") / F.sqrt("n")))).drop("s")
+
+
+def report(results: DataFrame, qrels: DataFrame, k: int, dataset: str) -> DataFrame:
+    """One row ``(dataset, queries, k, recall, precision, mrr, ndcg)``; queries are those with judgements."""
+    n = qrels.select("query_id").distinct().agg(F.count("*").alias("queries"))
+    mean = ndcg(results, qrels, k).agg(F.avg("ndcg").alias("ndcg"))
+    row = n.crossJoin(precision_recall(results, qrels, k)).crossJoin(mrr(results, qrels)).crossJoin(mean)  # one row each
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return row.select(F.lit(dataset).alias("dataset"), "queries", F.lit(k).alias("k"), zero("recall"), zero("precision"), zero("mrr"), zero("ndcg"))
+
+
+def report_text(rows: DataFrame) -> DataFrame:
+    """Reports as ``(dataset, document)``, a line a figure."""
+    at = lambda name: F.rpad(F.concat(F.lit(f"{name}@"), F.col("k").cast("string"), F.lit(":")), 14, " ")
+    number = lambda c: F.format_string("%.4f", c)
+    lines = [
+        F.lit("=== Benchmark Report ==="), F.concat(F.rpad(F.lit("Dataset:"), 14, " "), F.col("dataset")), F.concat(F.rpad(F.lit("Queries:"), 14, " "), F.col("queries").cast("string")), F.concat(F.rpad(F.lit("K:"), 14, " "), F.col("k").cast("string")),
+        F.lit("--- Metrics ---"), F.concat(at("Recall"), number("recall")), F.concat(at("Precision"), number("precision")), F.concat(F.rpad(F.lit("MRR:"), 14, " "), number("mrr")), F.concat(at("NDCG"), number("ndcg")), F.lit(""),
+    ]
+    return rows.select("dataset", F.concat_ws("\n", *lines).alias("document"))
