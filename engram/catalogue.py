@@ -1017,3 +1017,219 @@ def sql_neighbors(s, d):
     """The registered table function, joined laterally to the stated query set."""
     sql.register(s, T.entities(s, d), T.edges(s, d))
     return s.sql("SELECT s.id AS start, n.id, n.relation, n.content FROM entities s, LATERAL neighbors_of(s.id) n WHERE s.id % 20 = 0")
+
+
+# lookups, sinks and changes of tables -----------------------------------------------------------------------------------
+
+
+@query("SELECT event_id AS id, event_type FROM events SEMI JOIN (SELECT o_orderkey * 3 AS event_id FROM orders) USING (event_id)")
+def batch_lookup(s, d):
+    ids = T.read(s, d, "orders").select((F.col("o_orderkey") * 3).alias("id"))
+    return lookup.by_ids(T.read(s, d, "events"), ids, "event_id").select(F.col("event_id").alias("id"), "event_type")
+
+
+NEW_EDGES = "new AS (SELECT vec_id AS source_id, vec_id * 2 + 1 AS target_id, CASE WHEN vec_id % 9 = 0 THEN 'undeclared' ELSE 'supports' END AS relation_type, CASE WHEN vec_id % 4 = 0 THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END AS weight FROM embeddings)"
+SET_WEIGHT = "CASE WHEN weight = 0 THEN 1.0::DOUBLE ELSE weight END"
+
+
+def _new_edges(s, d):
+    i = T.read(s, d, "embeddings").select(F.col("vec_id").alias("source_id"))
+    return i.select("source_id", (F.col("source_id") * 2 + 1).alias("target_id"), F.when(F.col("source_id") % 9 == 0, "undeclared").otherwise("supports").alias("relation_type"), F.when(F.col("source_id") % 4 == 0, 0.0).otherwise(0.25).alias("weight"))
+
+
+@query(f"WITH {EDGES}, {NEW_EDGES} SELECT source_id, target_id, relation_type, weight FROM edges UNION ALL SELECT source_id, target_id, relation_type, {SET_WEIGHT} FROM new WHERE relation_type = 'supports' AND target_id IN (SELECT vec_id FROM embeddings)")
+def edge_bulk_insert(s, d):
+    kept, _, _ = graph.add_edges(T.entities(s, d), T.edges(s, d), _new_edges(s, d), ["supports"])
+    return kept
+
+
+@query(f"WITH {NEW_EDGES} SELECT source_id, target_id, relation_type FROM new WHERE relation_type <> 'supports' OR target_id NOT IN (SELECT vec_id FROM embeddings)")
+def edge_bulk_rejected(s, d):
+    return graph.add_edges(T.entities(s, d), T.edges(s, d), _new_edges(s, d), ["supports"])[2].select("source_id", "target_id", "relation_type")
+
+
+@query(f"WITH {ENTS}, {NEW_EDGES} SELECT id, category, content FROM ents UNION ALL SELECT DISTINCT target_id, 'world', target_id::VARCHAR FROM new WHERE relation_type = 'supports' AND target_id NOT IN (SELECT id FROM ents)")
+def edge_endpoints_created(s, d):
+    return graph.add_edges(T.entities(s, d), T.edges(s, d), _new_edges(s, d), ["supports"], create_missing=True)[1].select("id", "category", "content")
+
+
+@query(f"WITH {EPISODES}, old AS (SELECT DISTINCT episode_id, entity_id, role FROM mem), keyed AS (SELECT episode_id, entity_id, min(role) AS role FROM old GROUP BY 1, 2), new AS (SELECT DISTINCT episode_id, id % 700 AS entity_id FROM ev WHERE id % 4 = 0) SELECT * FROM keyed UNION ALL SELECT episode_id, entity_id, 'extracted' FROM new ANTI JOIN keyed USING (episode_id, entity_id)")
+def episode_link(s, d):
+    old = T.episode_links(s, d)[0].groupBy("episode_id", "entity_id").agg(F.min("role").alias("role"))
+    new = T.episode_events(s, d).where("id % 4 = 0").select("episode_id", (F.col("id") % 700).alias("entity_id"), F.lit("").alias("role"))
+    return episodic.link(old, new, ["episode_id", "entity_id"])
+
+
+@query(f"WITH {EPISODES} SELECT episode_id, entity_id, role, count(*) AS n FROM mem ANTI JOIN (SELECT DISTINCT episode_id, id % 500 AS entity_id FROM ev WHERE id % 9 = 0) USING (episode_id, entity_id) GROUP BY 1, 2, 3")
+def episode_unlink(s, d):
+    gone = T.episode_events(s, d).where("id % 9 = 0").select("episode_id", (F.col("id") % 500).alias("entity_id"))
+    left = episodic.unlink(T.episode_links(s, d)[0], gone, ["episode_id", "entity_id"])
+    return left.groupBy("episode_id", "entity_id", "role").agg(F.count("*").alias("n"))
+
+
+FRAMES = "f AS (SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY timestamp_ms, id)::INTEGER AS frame, type AS kind, id::VARCHAR AS source_id, content FROM ev)"
+
+
+def _frames(s, d):
+    place = F.row_number().over(Window.partitionBy("episode_id").orderBy("timestamp_ms", "id"))
+    return T.episode_events(s, d).select("episode_id", place.alias("frame"), F.col("type").alias("kind"), F.col("id").cast("string").alias("source_id"), "content")
+
+
+@query(f"""WITH {EPISODES}, {FRAMES} SELECT episode_id, '[' || string_agg('{{"frame":' || frame || ',"kind":"' || kind || '","source_id":"' || source_id || '","content":"' || content || '"}}', ',' ORDER BY frame) || ']' AS json,
+ '# Episode' || chr(10) || chr(10) || string_agg('- **' || kind || '** ' || content, chr(10) ORDER BY frame) AS markdown, string_agg('[' || kind || '] ' || content, chr(10) ORDER BY frame) AS text FROM f GROUP BY 1""")
+def episode_exports(s, d):
+    frames = _frames(s, d)
+    out = None
+    for form in ("json", "markdown", "text"):
+        x = episodic.export(frames, form).withColumnRenamed("document", form)
+        out = x if out is None else out.join(x, "episode_id")
+    return out
+
+
+@query(f"""WITH {EPISODES}, l AS (SELECT episode_id, 0 AS part, timestamp_ms AS t, id AS i, '[' || type || '] ' || content || chr(10) AS line FROM ev UNION ALL SELECT episode_id, 1, 0, entity_id, '[memory:' || role || '] ' || content || chr(10) FROM mem JOIN (SELECT vec_id AS entity_id, 'memory ' || label || '-' || (vec_id % 50) AS content FROM embeddings) USING (entity_id))
+ SELECT episode_id, string_agg(line, '' ORDER BY part, t, i, line) AS dialog FROM l GROUP BY 1""")
+def episode_dialog(s, d):
+    return episodic.summary_dialog(T.episode_events(s, d), episodic.memories_of(T.episode_links(s, d)[0], T.entities(s, d)))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'unknown_or_deleted_source' ELSE event_type END AS source, CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS created_at FROM events")
+def lineage_labels(s, d):
+    e = T.read(s, d, "events")
+    source = F.when(F.col("event_id") % 6 == 0, "").when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("event_type"))
+    return graph.lineage_labels(e.select(F.col("event_id").alias("id"), source.alias("source"), F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("created_at"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("updated_at")))
+
+
+@query(f"WITH {ENTS} SELECT id, age_hours FROM ents WHERE NOT archived AND category = 'opinion' AND age_hours <= 1000")
+def rebuild_selection(s, d):
+    return lookup.rebuild_selection(T.entities(s, d), "opinion", 1000.0).select("id", "age_hours")
+
+
+@query(f"WITH {TASKS} SELECT id, CASE WHEN id % 3 = 0 THEN 'pending' ELSE status END AS status FROM tasks")
+def initial_status(s, d):
+    raw = F.when(F.col("id") % 6 == 0, "").when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("status"))
+    return T.tasks(s, d).select("id", tasks.initial_status(raw).alias("status"))
+
+
+@query(f"WITH {TASKS} SELECT id, CASE WHEN id % 8 = 0 THEN 'completed' ELSE status END AS status FROM tasks")
+def status_set(s, d):
+    t = T.tasks(s, d)
+    return tasks.set_status(t, t.where("id % 8 = 0"), "completed").select("id", "status")
+
+
+@query(f"WITH {TASKS}, {TEDGES} SELECT e.id, e.status, e.priority FROM tasks e WHERE status = 'pending' AND NOT archived AND NOT EXISTS (SELECT 1 FROM blk JOIN tasks b ON b.id = blk.source_id WHERE blk.target_id = e.id AND b.status <> 'completed') AND (e.id = (SELECT min(id) FROM tasks) OR e.id IN (SELECT source_id FROM blk JOIN tasks t ON t.id = blk.target_id WHERE NOT t.archived))")
+def claim_goal_candidates(s, d):
+    t = T.tasks(s, d)
+    return tasks.claim_candidates(t, T.task_edges(s, d), t.agg(F.min("id")).first()[0]).select("id", "status", "priority")
+
+
+@query(f"WITH {BELIEFS} SELECT id, CASE WHEN id % 4 = 0 THEN 'Superseded' ELSE status END AS status, CASE WHEN id % 4 = 0 THEN id + 2 WHEN id % 11 = 0 THEN id + 1 END AS superseded_by FROM beliefs")
+def supersede_beliefs(s, d):
+    b = T.beliefs(s, d)
+    return beliefs.supersede(b, b.where("id % 4 = 0").select("id", (F.col("id") + 2).alias("successor"))).select("id", "status", "superseded_by")
+
+
+@query(f"WITH {BELIEFS}, new AS (SELECT id + 1000000 AS id, CASE WHEN id % 6 = 0 THEN ' ' ELSE content END AS content, CASE WHEN id % 3 = 0 THEN 0.0 WHEN id % 5 = 0 THEN 2.0 ELSE 0.5 END AS confidence FROM beliefs) SELECT id, content, round(confidence, 6) AS confidence, status FROM beliefs UNION ALL SELECT id, content, CASE WHEN confidence = 0 THEN 1.0 ELSE confidence END, 'Active' FROM new WHERE trim(content) <> '' AND confidence <= 1")
+def belief_create(s, d):
+    b = T.beliefs(s, d)
+    rows = b.select((F.col("id") + 1_000_000).alias("id"), F.when(F.col("id") % 6 == 0, " ").otherwise(F.col("content")).alias("content"), F.when(F.col("id") % 3 == 0, 0.0).when(F.col("id") % 5 == 0, 2.0).otherwise(0.5).alias("confidence"))
+    return beliefs.create(b, rows)[0].select("id", "content", F.round("confidence", 6).alias("confidence"), "status")
+
+
+@query(f"WITH {EVIDENCE}, x AS (SELECT belief_id, polarity, CASE WHEN strength > 0.97 THEN 0.0 ELSE strength * 1.05 END AS strength FROM evidence) SELECT belief_id, count(*) AS n, round(sum(CASE WHEN strength = 0 THEN 1.0 ELSE strength END), 6) AS strength FROM x WHERE strength <= 1 GROUP BY 1")
+def evidence_validation(s, d):
+    e = T.evidence(s, d).withColumn("strength", F.when(F.col("strength") > 0.97, 0.0).otherwise(F.col("strength") * 1.05))
+    good, _ = beliefs.validate_evidence(e)
+    return good.groupBy("belief_id").agg(F.count("*").alias("n"), F.round(F.sum("strength"), 6).alias("strength"))
+
+
+# detectors, rendering, stages, clusters ---------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS order_key, l_linenumber AS line, l_returnflag = 'R' AS detected, CASE WHEN l_discount <= 0.02 THEN 0.5::DOUBLE ELSE round(l_discount::DOUBLE - 0.02::DOUBLE, 6) END AS confidence, 'model' AS reason FROM lineitem")
+def model_detection(s, d):
+    li = T.read(s, d, "lineitem")
+    answer = F.struct((F.col("l_returnflag") == "R").alias("contradiction"), F.round(F.col("l_discount").cast("double") - 0.02, 6).alias("confidence"))
+    x = li.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), text.model_detection(answer).alias("r"))
+    return x.select("order_key", "line", "r.detected", F.round("r.confidence", 6).alias("confidence"), "r.reason")
+
+
+@query(f"WITH {BELIEFS} SELECT id, CASE WHEN confidence = 0 OR confidence >= 0.7 THEN 'keep_both' ELSE 'prefer_incoming' END AS resolution FROM beliefs")
+def contradiction_resolution(s, d):
+    return T.beliefs(s, d).select("id", text.resolve(F.col("confidence")).alias("resolution"))
+
+
+@query("""SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(10) || chr(9)) AS body, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS parts FROM documents""")
+def fences_and_lists(s, d):
+    x = T.read(s, d, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    fenced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), "t", F.lit("\n```"))).otherwise(F.col("t"))
+    return x.select("doc_id", F.regexp_replace(text.strip_fence(fenced), r"^[ \n\t]+|[ \n\t]+$", "").alias("body"), F.array_join(text.parse_list(F.col("text")), "|").alias("parts"))
+
+
+@query(f"WITH RECURSIVE {RANKED}, spent AS (SELECT *, sum({TOKENS} + 2) OVER (ORDER BY list_position(['world','opinion','experience','observation'], category), bucket_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS used FROM facts) SELECT id, category, bucket_rank FROM spent WHERE used <= 120 AND depth = 1")
+def retrieve_staged(s, d):
+    """Stages put together by the caller: buckets, token budget and one of the caller's own."""
+    stages = retrieval.pipeline(retrieval.bucketize, lambda df: retrieval.budget(df, 120), lambda df: df.where("depth = 1"))
+    return stages(retrieval.rank(T.entities(s, d), T.edges(s, d), seeds(s), options(s, d))).select("id", "category", "bucket_rank")
+
+
+@query(f"""WITH RECURSIVE {RANKED}, per AS (SELECT category, list_position(['world','opinion','experience','observation'], category) AS o, string_agg('  - ' || content || CASE WHEN depth > 0 AND parent IS NOT NULL THEN ' (via ''' || rel || ''' from ' || parent || ')' ELSE '' END || chr(10), '' ORDER BY bucket_rank) AS body, '[' || string_agg('"' || content || '"', ',' ORDER BY bucket_rank) || ']' AS j FROM facts GROUP BY 1)
+ SELECT string_agg(category || ':' || chr(10) || body || chr(10), '' ORDER BY o) AS text, '{{' || string_agg('"' || CASE category WHEN 'world' THEN 'world_facts' ELSE category || 's' END || '":' || j, ',' ORDER BY CASE category WHEN 'world' THEN 'world_facts' ELSE category || 's' END) || '}}' AS json FROM per""")
+def render_text_and_json(s, d):
+    facts = retrieval.retrieve(T.entities(s, d), T.edges(s, d), seeds(s), options(s, d))
+    return retrieval.render(facts, "text").toDF("text").crossJoin(retrieval.render(facts, "json").toDF("json"))  # one row each
+
+
+@query(f"WITH {ENTS}, {EDGES} SELECT 'orphan_edge' AS kind, source_id || ' -> ' || target_id || ' (' || relation_type || ')' AS subject FROM edges WHERE source_id % 7 = 0 OR target_id % 7 = 0 UNION ALL SELECT 'dim_mismatch', id || ': 3' FROM ents WHERE id % 7 <> 0 AND id % 10 = 0")
+def verify_report(s, d):
+    """Over a graph from which every seventh entity is missing and every tenth has a short vector."""
+    e = T.entities(s, d).where("id % 7 <> 0").withColumn("embedding", F.when(F.col("id") % 10 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    return graph.verify(e, T.edges(s, d), 64)
+
+
+GROUPS = "g AS (SELECT label AS cluster, list(id ORDER BY id) AS members, avg(confidence) AS confidence, string_agg('[' || category || '] ' || content || chr(10), '' ORDER BY id) AS dialog FROM ents GROUP BY 1)"
+
+
+def _by_label(s, d):
+    return T.entities(s, d).select(F.col("label").alias("cluster"), "id")
+
+
+@query(f"WITH {ENTS}, {GROUPS} SELECT cluster, dialog, array_to_string(members, ',') AS members, round(confidence, 6) AS confidence FROM g")
+def compression_dialogs(s, d):
+    x = maintenance.compression_dialog(T.entities(s, d), _by_label(s, d))
+    return x.select("cluster", "dialog", F.array_join(F.col("compressed_from").cast("array<string>"), ",").alias("members"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {ENTS}, {GROUPS}, c AS (SELECT cluster, cluster % 3 AS top, length(dialog)::VARCHAR AS content, confidence FROM g) SELECT top AS cluster, sum(length('[summary] ' || content) + 1)::VARCHAR AS content, array_to_string(list(cluster ORDER BY cluster), ',') AS members, round(avg(confidence), 6) AS confidence, 2 AS generation FROM c GROUP BY 1")
+def recompressed_summaries(s, d):
+    size = lambda rows: F.length("dialog").cast("string")
+    first = maintenance.compress(T.entities(s, d), _by_label(s, d), size)
+    top = first.select((F.col("cluster") % 3).alias("cluster"), F.col("cluster").alias("id"))
+    x = maintenance.recompress(first, top, size)
+    return x.select("cluster", "content", F.array_join(F.col("compressed_from").cast("array<string>"), ",").alias("members"), F.round("confidence", 6).alias("confidence"), "generation")
+
+
+@query(f"WITH {ENTS}, {GROUPS} SELECT cluster, CASE WHEN cluster % 2 = 0 THEN 'new:' || length(dialog) ELSE 'old' END AS content, 1 AS generation FROM g")
+def regenerated_summaries(s, d):
+    e = T.entities(s, d)
+    old = maintenance.compress(e, _by_label(s, d), lambda rows: F.lit("old"))
+    x = maintenance.regenerate(old, e, old.where("cluster % 2 = 0").select("cluster"), lambda rows: F.concat(F.lit("new:"), F.length("dialog").cast("string")))
+    return x.select("cluster", "content", "generation")
+
+
+@query(f"""WITH {ENTS}, inc AS (SELECT id + 100000 AS id, CASE WHEN id % 40 = 0 THEN 'odd' ELSE 'world' END AS category, CASE WHEN id % 3 = 0 THEN 'not ' || content ELSE content || ' more' END AS content, embedding, id AS old FROM ents WHERE id % 20 = 0),
+ m AS (SELECT i.*, e.content AS old_content, e.confidence AS conf, e.id AS hit FROM inc i LEFT JOIN ents e ON e.id = i.old AND NOT e.archived WHERE i.category = 'world'),
+ a AS (SELECT *, CASE WHEN hit IS NULL THEN 'create' WHEN contains(content, 'not ') THEN CASE WHEN conf = 0 OR conf >= 0.7 THEN 'keep_both' ELSE 'prefer_incoming' END ELSE 'merge' END AS action FROM m)
+ SELECT CASE WHEN action = 'merge' THEN hit ELSE id END AS id, CASE WHEN action = 'merge' THEN old_content || '; ' || content ELSE content END AS content, action, CASE WHEN action = 'prefer_incoming' THEN hit END AS archives FROM a""")
+def ingest_changes(s, d):
+    """A batch matched against the state: created, merged, kept beside or preferred."""
+    from engram.streaming.ingest import ingest_batch
+
+    e = T.entities(s, d)
+    new = e.where("id % 20 = 0").select((F.col("id") + 100_000).alias("id"), F.when(F.col("id") % 40 == 0, "odd").otherwise("world").alias("category"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("not "), "content")).otherwise(F.concat("content", F.lit(" more"))).alias("content"), "embedding")
+    return ingest_batch(e, new)[0].select("id", "content", "action", "archives")
+
+
+@query("SELECT event_id AS id, greatest(least(round(value / 300.0::DOUBLE, 6), 1.0), 0.25) AS clamped, round(value / 7.0::DOUBLE, 4) AS rounded FROM events")
+def clamp_and_round(s, d):
+    e = T.read(s, d, "events")
+    return e.select(F.col("event_id").alias("id"), scoring.clamp(F.round(F.col("value") / 300.0, 6), 0.25).alias("clamped"), scoring.round_to(F.col("value") / 7.0).alias("rounded"))
