@@ -51,11 +51,20 @@ RULES = (
 
 
 def repeat_words(w: Column) -> Column:
-    """Words covered by 3-word windows found at least twice in the array ``w``, in n log n steps."""
+    """Words covered by 3-word windows found at least twice in the array ``w``, in n log n steps.
+
+    Windows are sorted by a 64-bit hash; neighbours of one hash are compared by their words, so no windows are taken for equal
+    that are not.
+    """
     n = F.size(w)
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p"))))
-    grams = F.coalesce(grams, F.expr("cast(array() as array<struct<g:string,p:int>>)"))
-    twice = lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1)["g"] == x["g"]) | (F.get(s, i + 1)["g"] == x["g"]))
+    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))))
+    grams = F.coalesce(grams, F.expr("cast(array() as array<struct<h:bigint,p:int>>)"))
+
+    def equal(x: Column, y: Column) -> Column:
+        words_equal = lambda i: F.get(w, x["p"] + i) == F.get(w, y["p"] + i)
+        return (x["h"] == y["h"]) & words_equal(0) & words_equal(1) & words_equal(2)
+
+    twice = lambda s: F.filter(s, lambda x, i: F.coalesce(equal(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(equal(x, F.get(s, i + 1)), F.lit(False)))
     at = F.sort_array(F.transform(let(F.sort_array(grams), twice), lambda x: x["p"]))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, p: F.struct((p + 3).alias("end"), (acc["n"] + p + 3 - F.greatest(acc["end"], p)).alias("n"))
