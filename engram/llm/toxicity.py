@@ -110,7 +110,7 @@ class Sparse:
         """Forget all other features and number these anew; the rows' sums stay."""
         kept = live[self.index]
         self.size = np.bincount(np.repeat(np.arange(len(self.size)), self.size), kept, len(self.size)).astype(np.int64)
-        self.index, self.count = (np.cumsum(live) - 1)[self.index[kept]], self.count[kept]
+        self.index, self.count = (np.cumsum(live) - 1).astype(np.int32)[self.index[kept]], self.count[kept]
         self.starts = np.cumsum(self.size) - self.size
 
     def take(self, rows: np.ndarray, power: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,9 +222,11 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, train_rows:
     running = F.sum("n").over(Window.partitionBy("positive").orderBy("draw", "i").rowsBetween(Window.unboundedPreceding, 0))
     rows = ready.join(size.withColumn("sum", running).where(F.col("sum") <= features).select("i"), "i", "left_semi").select("positive", "index", "count").collect()
     own.close()
-    rows.sort(key=lambda r: (r["positive"], bytes(r["index"]), bytes(r["count"])))  # the same order on every run
+    rows.sort(key=lambda r: (r["positive"], r["index"], r["count"]))  # the same order on every run
     packed = lambda want: Sparse([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int16)) for r in rows if r["positive"] == want])
-    return packed(True), packed(False), float(min(max(prior or 0.1, 0.005), 0.9))
+    p, u = packed(True), packed(False)
+    rows.clear()  # both hold copies
+    return p, u, float(min(max(prior or 0.1, 0.005), 0.9))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
