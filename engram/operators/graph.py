@@ -39,16 +39,19 @@ def walk(entities: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int
 
     A first hit has the least depth, then the least path weight, then parent and relation. A shortest path has only
     nodes at their own least depth before its end, so going level by level with the least (weight, parent, relation) per
-    node equals enumerating all simple paths. ``max_nodes`` keeps the first in (depth, category, id) order.
+    node equals enumerating all simple paths. ``max_nodes`` keeps the first in (depth, category, id) order. Symmetric edges,
+    live entities and each level but the last are written once, so no level computes them, or the levels before, anew.
     """
-    live = entities.where("not coalesce(archived, false)").select("id", "category")
+    scratch = Scratch(entities.sparkSession)
+    live = scratch.save(entities.where("not coalesce(archived, false)").select("id", "category"), "live")
     none = {"parent_id": "bigint", "relation_type": "string"}
     level = live.join(seeds.select("id").distinct(), "id").select("id", F.lit(0).alias("depth"), F.lit(0.0).alias("path_weight"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    seen, links = level, symmetrize(edges)
-    for depth in range(1, min(max_depth or 2, ceiling) + 1):
+    seen, links, last = level, scratch.save(symmetrize(edges), "links"), min(max_depth or 2, ceiling)
+    for depth in range(1, last + 1):
         step = level.select(F.col("id").alias("parent_id"), F.col("path_weight").alias("so_far")).join(links.withColumnRenamed("id", "parent_id"), "parent_id")
         hits = step.groupBy(F.col("neighbor").alias("id")).agg(F.min(F.struct((F.col("so_far") + F.coalesce("weight", F.lit(1.0))).alias("path_weight"), "parent_id", "relation_type")).alias("h"))
         level = hits.join(live.select("id"), "id", "left_semi").join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "h.path_weight", "h.parent_id", "h.relation_type")
+        level = level if depth == last else scratch.save(level, f"level{depth}")
         seen = seen.union(level)
     if max_nodes is None:
         return seen
