@@ -306,12 +306,23 @@ def temporal_seed_filter(s, d):
     return retrieval.rank(T.entities(s, d), T.edges(s, d), seeds(s), options(s, d, time_from_hours=1000.0)).select("id", "depth")
 
 
-@query()
+HOP = f"""h_live AS (SELECT id, category FROM ents WHERE NOT archived), h0 AS (SELECT id, 0 AS depth, 0.0::DOUBLE AS pw FROM h_live WHERE id IN {SEEDS}),
+ h1 AS (SELECT b AS id, 1 AS depth, min(w) AS pw FROM h0 JOIN sym ON a = h0.id JOIN h_live l ON l.id = b WHERE b NOT IN (SELECT id FROM h0) GROUP BY 1),
+ h_all AS (SELECT u.* FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1) u JOIN h_live USING (id) ORDER BY depth, category, id LIMIT 100),
+ h_rank AS (SELECT e.id, e.content, e.embedding, round((0.3::DOUBLE * CASE WHEN age_hours <= 0 THEN 1.0 ELSE exp(-age_hours / 720.0::DOUBLE) END + 0.05::DOUBLE * log10(1 + least(coalesce(degree, 0), 100))) * CASE WHEN pw <= 0 THEN 1.0 ELSE pow(0.5::DOUBLE, pw) END, 9) AS score FROM h_all JOIN ents e USING (id) LEFT JOIN deg USING (id)),
+ h_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY score DESC, id) AS f FROM h_rank) WHERE f = 1 ORDER BY score DESC, content, id LIMIT 2),
+ h_near AS (SELECT id FROM (SELECT e.id, row_number() OVER (PARTITION BY t.id ORDER BY round({cos('e.embedding', 't.embedding')}, 6) + 0.0 DESC, e.id) AS r FROM h_top t, ents e WHERE NOT e.archived) WHERE r <= 3),
+ hops AS (SELECT unnest({list(SEEDS)})::BIGINT AS id UNION SELECT id FROM h_near)"""
+
+
+@query(f"WITH {ENTS}, {EDGES}, {SYM}, {DEG}, {HOP} SELECT id FROM hops")
 def multihop_seeds(s, d):
     return retrieval.multihop_seeds(T.entities(s, d), T.edges(s, d), seeds(s))
 
 
-@query()
+@query(f"""WITH RECURSIVE {RANKED}, spent AS (SELECT *, sum({TOKENS} + 2) OVER (ORDER BY list_position(['world','opinion','experience','observation'], category), bucket_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS used FROM facts),
+ per AS (SELECT category, list_position(['world','opinion','experience','observation'], category) AS o, string_agg('- ' || content || CASE WHEN depth > 0 AND parent IS NOT NULL THEN ' (via ''' || rel || ''' from ' || parent || ')' ELSE '' END || chr(10), '' ORDER BY bucket_rank) AS body FROM spent WHERE used <= 200 GROUP BY 1)
+ SELECT '# Memory Context' || chr(10) || chr(10) || coalesce(string_agg('## ' || category || chr(10) || body || chr(10), '' ORDER BY o), '') AS document FROM per""")
 def render_markdown(s, d):
     return retrieval.render(retrieval.retrieve(T.entities(s, d), T.edges(s, d), seeds(s), options(s, d), 200))
 
@@ -608,7 +619,7 @@ def fsm_transitions(s, d):
     return p.withColumn("allowed", tasks.transition_allowed(F.col("old_status"), F.col("new_status")))
 
 
-@query()
+@query(f"WITH RECURSIVE {TASKS}, {TEDGES}, tree AS (SELECT 0 AS depth, (SELECT max(target_id) FROM blk) AS id UNION ALL SELECT depth + 1, source_id FROM tree JOIN blk ON target_id = tree.id) SELECT depth::INTEGER AS depth, id, content AS label FROM tree JOIN tasks USING (id)")
 def task_tree(s, d):
     e = T.task_edges(s, d)
     root = e.agg(F.max("target_id")).first()[0]
@@ -883,7 +894,10 @@ def composite_detection(s, d):
     return p.withColumn("r", text.compose(first, near, long)).select("doc_id", "r.detected", "r.confidence", "r.reason")
 
 
-@query()
+MULTIHOP = RANKED.replace(f"WHERE id IN {SEEDS}", "WHERE id IN (SELECT id FROM hops)").replace(f"{ENTS}, {EDGES}, {SYM}, ", f"{ENTS}, {EDGES}, {SYM}, {DEG}, {HOP}, ").replace(f"{HOP}, {DEG}, ", f"{HOP}, ")
+
+
+@query(f"WITH RECURSIVE {MULTIHOP}, spent AS (SELECT *, sum({TOKENS} + 2) OVER (ORDER BY list_position(['world','opinion','experience','observation'], category), bucket_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS used FROM facts) SELECT id, depth, category, content FROM spent WHERE used <= 200")
 def multihop_context(s, d):
     return retrieval.multihop(T.entities(s, d), T.edges(s, d), seeds(s), 2, options(s, d), 200).select("id", "depth", "category", "content")
 

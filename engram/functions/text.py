@@ -74,16 +74,6 @@ def embedding_contradiction(similarity: Column, a: Column, b: Column, threshold:
     return (similarity >= threshold) & (a != b)
 
 
-def composite_contradiction(first: Column, *others: Column) -> Column:
-    """``first``: the first detector does not rule a contradiction out; with others, one of them must confirm."""
-    if not others:
-        return first
-    confirmed = others[0]
-    for o in others[1:]:
-        confirmed = confirmed | o
-    return first & confirmed
-
-
 def detection(detected: Column, confidence: Column | float, reason: str, inconclusive: Column | None = None) -> Column:
     """A detector's result as a struct: detected, inconclusive, confidence, reason."""
     confidence = F.lit(float(confidence)) if isinstance(confidence, (int, float)) else confidence

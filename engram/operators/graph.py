@@ -6,8 +6,6 @@ anti-join; each level is written to scratch where a loop may be long, so lineage
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -277,9 +275,3 @@ def upsert(entities: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
 def lineage_labels(entities: DataFrame) -> DataFrame:
     """Source label and creation time for display: an empty source is unknown, a missing creation time is the update time."""
     return entities.select("id", F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown_or_deleted_source")).alias("source"), F.coalesce("created_at", "updated_at").alias("created_at"))
-
-
-def render_tree(rows: list[tuple]) -> Iterator[str]:
-    """Lines for (depth, label) rows in order."""
-    for depth, label in rows:
-        yield "  " * depth + str(label)

@@ -109,7 +109,7 @@ def query(entities: DataFrame, edges: DataFrame, vector: list[float], k: int = 3
 
 
 def multihop_seeds(entities: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2, facts: int = 2, neighbors: int = 3, most: int = 20) -> DataFrame:
-    """Seeds after jumps through vector space: each hop embeds the best facts of a shallow walk and adds their neighbours.
+    """Seeds after jumps through vector space (fixed values: 2 facts a hop, 3 neighbours each, up to 20 seeds): each hop embeds the best facts of a shallow walk and adds their neighbours.
 
     A fact's embedding is its stored vector. The seed set is bounded by ``most`` plus one hop's additions, so it is held
     at the driver.

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+#: Entity categories.
 CATEGORIES = ("world", "opinion", "experience", "observation", "summary")
 #: Buckets of a retrieval result, in the order in which the token budget is spent.
 BUCKETS = ("world", "opinion", "experience", "observation")
+#: The largest k of a search, the deepest walk and the node cap of a walk.
 MAX_K = 500
 DEPTH_CEILING = 5
 MAX_NODES = 100
@@ -14,7 +16,7 @@ MAX_NODES = 100
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Declared categories, relations and ordered task states."""
+    """Declared categories, relations and ordered task states. The defaults."""
 
     categories: tuple[str, ...] = CATEGORIES
     relations: tuple[str, ...] = ("related_to", "part_of", "causes", "contradicts", "supports", "blocked_by", "recovers_via", "next", "long-range")
@@ -27,7 +29,7 @@ class Vocabulary:
 
 @dataclass(frozen=True)
 class Weights:
-    """Ranking weights; a zero takes the default, as a weight of zero cannot be expressed."""
+    """Ranking weights; a zero takes the default, as a weight of zero cannot be expressed. The defaults."""
 
     vector: float = 0.7
     recency: float = 0.3
@@ -61,6 +63,7 @@ class Profile:
     k: int = 3
 
 
+#: Retrieval profiles.
 PROFILES = {
     **{name: Profile(w) for name, w in STRATEGIES.items()},
     "conversation_memory": Profile(Weights(0.5, 0.35, 0.05, 0.1, 0.0, 24.0, 24.0).with_defaults(), 1, 50, 5),

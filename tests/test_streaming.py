@@ -44,3 +44,23 @@ def test_windows_and_sessions(spark):
     e = spark.createDataFrame([(1, "x", 0), (1, "x", 600), (1, "y", 7200)], "user_id bigint, event_type string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
     assert {x["n"] for x in ingest.event_windows(e).where("event_type = 'x'").collect()} == {2}
     assert sorted(x["n"] for x in ingest.sessions(e).collect()) == [1, 2]
+
+
+def test_ticks_run_a_sweep_each(spark, tmp_path):
+    ran = []
+    q = ingest.every(spark.readStream.format("rate").option("rowsPerSecond", 5).load(), ran.append, str(tmp_path / "t"), "100 milliseconds")
+    try:
+        for _ in range(600):
+            if len(ran) >= 2:
+                break
+            q.awaitTermination(0.1)
+    finally:
+        q.stop()
+    assert ran[:2] == [0, 1]
+
+
+def test_what_is_drained_is_read_again(spark, tmp_path):
+    path = str(tmp_path / "pending")
+    for part in ([(1, "a")], [(2, "b"), (3, None)]):
+        ingest.drain(spark.createDataFrame(part, "id bigint, dialog string"), path)
+    assert sorted((r["id"], r["dialog"]) for r in ingest.undrained(spark, path, "id bigint, dialog string").collect()) == [(1, "a"), (2, "b"), (3, None)]
