@@ -1247,3 +1247,29 @@ def ingest_changes(s, d):
 def clamp_and_round(s, d):
     e = T.read(s, d, "events")
     return e.select(F.col("event_id").alias("id"), scoring.clamp(F.round(F.col("value") / 300.0, 6), 0.25).alias("clamped"), scoring.round_to(F.col("value") / 7.0).alias("rounded"))
+
+
+# selections and orders --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ENTS} SELECT id, category, age_hours FROM ents WHERE NOT archived AND age_hours <= 1500 AND category = 'world'")
+def conditional_selection(s, d):
+    """Two conditions that are set and two that are not."""
+    x = lookup.Selection(T.entities(s, d)).where("NOT archived").where_if("age_hours <= ?", 1500.0).where_if("category = ?", "world").where_if("label = ?", None).where_if("content = ?", "")
+    return x.build().select("id", "category", "age_hours")
+
+
+@query(f"WITH {EPISODES} SELECT user_id AS session_id, min(timestamp_ms) AS started_at_ms, count(DISTINCT episode_id) AS n_episodes, row_number() OVER (ORDER BY min(timestamp_ms) DESC, user_id) - 1 AS position FROM ev GROUP BY 1")
+def session_order(s, d):
+    x = episodic.session_order(episodic.sessions(T.episode_events(s, d)), Scratch(s))
+    return x.select("session_id", "started_at_ms", "n_episodes", F.col("position").cast("bigint").alias("position"))
+
+
+@query(f"WITH {EPISODES} SELECT episode_id, min(user_id) AS session_id, (row_number() OVER (PARTITION BY min(user_id) ORDER BY min(timestamp_ms), episode_id))::INTEGER AS position FROM ev GROUP BY 1")
+def episode_order(s, d):
+    return episodic.episode_order(episodic.episodes(T.episode_events(s, d))).select("episode_id", "session_id", "position")
+
+
+@query(f"WITH {EPISODES} SELECT episode_id, id, content, timestamp_ms FROM ev WHERE type = 'action' ORDER BY timestamp_ms DESC, id LIMIT 50")
+def latest_actions(s, d):
+    return episodic.latest_of_type(T.episode_events(s, d), "action", 50)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions.vectors import cosine
+from engram.operators.ranks import global_rank
+from engram.sources.scratch import Scratch
 
 KINDS = ("event", "memory", "task")
 EVENT_TYPES = ("message", "action", "observation", "system")
@@ -104,3 +106,23 @@ def finish(episodes: DataFrame, ends: DataFrame) -> DataFrame:
     """Episodes with ``ends(episode_id, ended_at_ms, summary)``; an end that is set stays, a summary is replaced."""
     new = ends.select("episode_id", F.col("ended_at_ms").alias("_end"), F.col("summary").alias("_summary")).dropDuplicates(["episode_id"])
     return episodes.join(new, "episode_id", "left").withColumn("ended_at_ms", F.coalesce("ended_at_ms", "_end")).withColumn("summary", F.coalesce("_summary", "summary")).select(*episodes.columns)
+
+
+def sessions(events: DataFrame) -> DataFrame:
+    """``(session_id, started_at_ms, ended_at_ms, n_episodes)`` from events with ``user_id`` as session."""
+    return events.groupBy(F.col("user_id").alias("session_id")).agg(F.min("timestamp_ms").alias("started_at_ms"), F.max("timestamp_ms").alias("ended_at_ms"), F.count_distinct("episode_id").alias("n_episodes"))
+
+
+def session_order(sessions: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sessions with ``position``: latest start first, then id. Positions come from range partitions."""
+    return global_rank(sessions, [F.col("started_at_ms").desc_nulls_last(), F.col("session_id")], scratch, "sessions", "position")
+
+
+def episode_order(episodes: DataFrame) -> DataFrame:
+    """Episodes with ``position`` in their session: earliest start first, then id."""
+    return episodes.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("started_at_ms").asc_nulls_last(), "episode_id")))
+
+
+def latest_of_type(events: DataFrame, kind: str, n: int) -> DataFrame:
+    """The n latest events of a type: time descending, id ascending; a negative n gives none."""
+    return by_type(events, kind).orderBy(F.desc("timestamp_ms"), "id").limit(max(0, n))

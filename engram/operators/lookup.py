@@ -46,3 +46,41 @@ def rebuild_selection(entities: DataFrame, category: str | None = None, max_age_
     if category:
         df = df.where(F.col("category") == category)
     return df if max_age_hours is None else df.where(F.col("age_hours") <= max_age_hours)
+
+
+class Selection:
+    """Conditions put together step by step: all of ``where`` and those of ``where_if`` whose arguments are set.
+
+    Arguments are bound by ``?`` markers, never pasted into the text. The result is one plan: conditions reach the scan.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df, self.conditions, self.arguments, self.sort, self.most = df, [], [], None, None
+
+    def where(self, condition: str, *arguments: object) -> Selection:
+        if condition.count("?") != len(arguments):
+            raise ValueError(f"{condition!r} has {condition.count('?')} markers for {len(arguments)} arguments")
+        self.conditions.append(f"({condition})")
+        self.arguments += arguments
+        return self
+
+    def where_if(self, condition: str, *arguments: object) -> Selection:
+        """Left out if an argument is null, empty text or zero."""
+        unset = lambda a: a is None or (a in ("", 0) and not isinstance(a, bool))
+        return self if any(unset(a) for a in arguments) else self.where(condition, *arguments)
+
+    def order(self, order: str) -> Selection:
+        self.sort = order
+        return self
+
+    def limit(self, n: int) -> Selection:
+        """The first n rows; 0 and less is no limit."""
+        self.most = n if n > 0 else None
+        return self
+
+    def text(self) -> str:
+        where = f" WHERE {' AND '.join(self.conditions)}" if self.conditions else ""
+        return "SELECT * FROM {rows}" + where + (f" ORDER BY {self.sort}" if self.sort else "") + (f" LIMIT {self.most}" if self.most else "")
+
+    def build(self) -> DataFrame:
+        return self.df.sparkSession.sql(self.text(), args=list(self.arguments) or None, rows=self.df)

@@ -74,3 +74,17 @@ def test_exports(spark):
     old = spark.createDataFrame([("e", 1, "cited")], "episode_id string, entity_id bigint, role string")
     new = spark.createDataFrame([("e", 1, "cited"), ("e", 2, "")], "episode_id string, entity_id bigint, role string")
     assert {(r["entity_id"], r["role"]) for r in episodic.link(old, new, ["episode_id", "entity_id"]).collect()} == {(1, "cited"), (2, "extracted")}
+
+
+def test_selections_bind_what_is_set(spark):
+    from engram.operators.lookup import Selection
+
+    df = spark.createDataFrame([(1, "a", True), (2, "b'; DROP", False), (3, "a", None)], "id bigint, name string, flag boolean")
+    ids = lambda x: [r["id"] for r in x.build().collect()]
+    assert ids(Selection(df).order("id DESC")) == [3, 2, 1]
+    assert ids(Selection(df).where_if("name = ?", "").where_if("id = ?", 0).where_if("name = ?", None).order("id")) == [1, 2, 3]
+    assert ids(Selection(df).where("name = ?", "b'; DROP")) == [2]
+    assert ids(Selection(df).where("id > ? OR name = ?", 2, "a").where_if("flag = ?", False).order("id")) == []
+    assert ids(Selection(df).where("id IN (?, ?)", 1, 3).order("id").limit(1)) == [1] and ids(Selection(df).limit(0).order("id")) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        Selection(df).where("id = ?")
