@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +45,7 @@ class Scratch:
         owner = Scratch._owner.get()
         folder = owner.path if owner else base.rstrip("/")
         self.spark, self.path, self.owned = spark, f"{folder}/engram-{name or uuid.uuid4().hex}", []
+        self._conf = spark._jsc.hadoopConfiguration()  # serves when the session has been stopped, too
         (owner.owned if owner else Scratch._open).append(self)
         self._among = owner.owned if owner else Scratch._open
 
@@ -64,7 +65,7 @@ class Scratch:
     def has(self, name: str) -> bool:
         """Whether a table was written to its end."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return path.getFileSystem(self._conf).exists(path)
 
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -87,9 +88,9 @@ class Scratch:
     @classmethod
     def close_all(cls) -> None:
         for s in list(cls._open):
-            if s.spark.sparkContext._jsc is not None:
+            with suppress(Exception):  # at the driver's end its JVM may be gone
                 s.close()
 
     def _delete(self, where: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(self._conf).delete(path, True)

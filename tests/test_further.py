@@ -141,9 +141,10 @@ def test_two_queries_on_two_threads_keep_their_tables(spark):
 
 
 def test_named_scratch_is_found_again(spark):
-    a = Scratch(spark, "same")
+    name = f"same-{os.getpid()}"
+    a = Scratch(spark, name)
     a.save(spark.range(4), "x")
-    b = Scratch(spark, "same")
+    b = Scratch(spark, name)
     assert b.has("x") and b.load("x").count() == 4
     b.close()
     assert not a.has("x")
