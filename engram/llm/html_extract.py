@@ -313,7 +313,8 @@ def labelled_pages(count: int = 400, seed: int = 4) -> list[tuple[list[Block], l
     for _ in range(count // 8):  # pages laid out by tables, with a footer in a row, and fields without a form
         menu = f"<tr><td>{links(rng.integers(1, 6))}</td></tr>" if chance(0.6) else ""
         cell = "".join(f"<p>{say(4, 60, chr(2))}</p>" for _ in range(rng.integers(1, 5)))
-        fields = f"<fieldset><legend>{say(1, 3)}</legend><label>{say(1, 3)}</label><input name=q>{pick('', f'<label>{say(1, 4)}</label><input name=r>')}</fieldset>" if chance(0.5) else ""
+        bare = pick("<fieldset><legend>{}</legend><label>{}</label><input name=q></fieldset>", "<fieldset><legend>{}</legend><label>{}</label><input name=q><input name=r></fieldset>", "<form><p>{}</p><input name=q><button>{}</button></form>", "<form><p>{} {}</p><input name=q></form>")
+        fields = bare.format(say(1, 3), say(1, 3)) if chance(0.7) else ""
         foot = f"<tr><td>{pick('Copyright ', '&copy; ', 'Copyright &copy; ')}{rng.integers(1994, 2030)}{pick('', ' ' + say(1, 6))}</td></tr>"
         add(f"<table{pick('', ' width=600', ' class=layout')}>{menu}<tr><td><h1>{say(1, 8, chr(2))}</h1>{cell}{fields}</td></tr>{foot}</table>")
     return pages

@@ -202,7 +202,7 @@ def fit(spark: SparkSession, p: Sparse, u: Sparse, prior: float, bits: int = 18,
     return Model(bits, SETTINGS[best["i"]][0], best["bias"], best["cut"], weights)
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, train_rows: Column, positives: int, unlabelled: int, bits: int, features: int) -> tuple[Sparse, Sparse, float]:
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, train_rows: Column, positives: int, unlabelled: int, bits: int, features: int = 24_000_000) -> tuple[Sparse, Sparse, float]:
     """Bounded, seeded samples of P and U as features, and the share of toxic among labelled training rows.
 
     The draw is over distinct pairs of id and text, found by hash; one row of each drawn pair is read. P and U are cut, in

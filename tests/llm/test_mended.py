@@ -1,6 +1,7 @@
 """Cases found in review: links that were lost or false, items without id, bounded samples, linear parsing, cut runs, resumed runs."""
 
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,9 +149,11 @@ def test_a_run_that_died_goes_on_after_its_last_stage(spark, sf, monkeypatch):
 
     stages = corpus_pipeline.STAGES
     monkeypatch.setattr(corpus_pipeline, "STAGES", [counting(n, f, n == "secrets") for n, f in stages])
+    name = f"again-{uuid.uuid4().hex}"
     with pytest.raises(RuntimeError, match="lost"):
-        corpus_pipeline.run(spark, sf, "again")
+        corpus_pipeline.run(spark, sf, name)
     monkeypatch.setattr(corpus_pipeline, "STAGES", [counting(n, f, False) for n, f in stages])
-    out = corpus_pipeline.run(spark, sf, "again")
+    out = corpus_pipeline.run(spark, sf, name)
     assert done == ["quality", "near_dedup", "decontamination", "secrets", "mixing"]
     assert sorted(map(repr, out.collect())) == whole
+    Scratch(spark, name).close()
