@@ -12,22 +12,26 @@ from engram.sources.scratch import Scratch
 
 
 def longest(weights: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``(id, level, total)``: the most links on a way into a node, and the heaviest way into it, its own weight included.
+    """``(way, id, level, total)``: the most links on a way to a node, and the heaviest way to it, its own weight included;
+    ``way`` 0 follows the links, 1 goes against them.
 
-    ``weights(id, weight)``, ``links(a, b)`` without cycles. A round passes on only what grew in the round before, so rounds
-    are the depth of the graph; a round joins the nodes that grew with their links, sums partially and writes the state.
+    ``weights(id, weight)``, ``links(a, b)`` without cycles. Both ways advance together. A round passes on only what grew in the
+    round before, so rounds are the depth of the graph; a round joins the nodes that grew with their links, sums partially and
+    writes the state.
     """
-    state = scratch.save(weights.select("id", "weight", F.lit(0).alias("level"), F.col("weight").alias("total"), F.lit(True).alias("grew")), f"{name}0")
-    links, i = scratch.save(links.select("a", "b").distinct(), f"{name}_links"), 0
+    both = links.select(F.lit(0).alias("way"), "a", "b").union(links.select(F.lit(1), F.col("b"), F.col("a"))).distinct()
+    links, i = scratch.save(both, f"{name}_links"), 0
+    ways = weights.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), "id", "weight")
+    state = scratch.save(ways.select("way", "id", "weight", F.lit(0).alias("level"), F.col("weight").alias("total"), F.lit(True).alias("grew")), f"{name}0")
     while not state.where("grew").isEmpty():
         i += 1
-        push = state.where("grew").select(F.col("id").alias("a"), "level", "total").join(links, "a").groupBy(F.col("b").alias("id")).agg((F.max("level") + 1).alias("deeper"), F.max("total").alias("above"))
+        push = state.where("grew").select("way", F.col("id").alias("a"), "level", "total").join(links, ["way", "a"]).groupBy("way", F.col("b").alias("id")).agg((F.max("level") + 1).alias("deeper"), F.max("total").alias("above"))
         level = F.greatest("level", F.coalesce("deeper", F.lit(0)))
         total = F.greatest("total", F.col("weight") + F.coalesce("above", F.lit(0)))
-        grown = state.join(push, "id", "left").select("id", "weight", level.alias("level"), total.alias("total"), ((level > F.col("level")) | (total > F.col("total"))).alias("grew"))
+        grown = state.join(push, ["way", "id"], "left").select("way", "id", "weight", level.alias("level"), total.alias("total"), ((level > F.col("level")) | (total > F.col("total"))).alias("grew"))
         state = scratch.save(grown, f"{name}{i}")
         scratch.drop(f"{name}{i - 1}")
-    return state.select("id", "level", "total")
+    return state.select("way", "id", "level", "total")
 
 
 def schedule(tasks: DataFrame, edges: DataFrame, scratch: Scratch, weight: str = "weight", v: Vocabulary = V) -> DataFrame:
@@ -44,8 +48,9 @@ def schedule(tasks: DataFrame, edges: DataFrame, scratch: Scratch, weight: str =
     held = strongly_connected(links, scratch, "schedule_cycles").first()
     if held:
         raise ValueError(f"task {held['node']} waits for itself")
-    into = scratch.save(longest(rows, links, scratch, "schedule_in"), "schedule_into").select("id", "level", F.col("total").alias("finish"))
-    out = longest(rows, links.select(F.col("b").alias("a"), F.col("a").alias("b")), scratch, "schedule_out").select("id", F.col("total").alias("tail"))
+    found = longest(rows, links, scratch, "schedule")
+    into = found.where("way = 0").select("id", "level", F.col("total").alias("finish"))
+    out = found.where("way = 1").select("id", F.col("total").alias("tail"))
     both = scratch.save(rows.join(into, "id").join(out, "id"), "schedule_both")
     whole = both.agg(F.max("finish").alias("whole"))  # one row
     slack = F.col("whole") - (F.col("finish") + F.col("tail") - F.col("weight"))
