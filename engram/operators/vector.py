@@ -178,6 +178,14 @@ def dedup_match(entities: DataFrame, incoming: DataFrame, threshold: float = 0.8
     return incoming.select("query_id").join(best, "query_id", "left")
 
 
+def named_match(entities: DataFrame, incoming: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """``dedup_match`` where each row of ``incoming(query_id, embedding, about)`` may only match the active entity ``about``."""
+    known = active(entities).select(F.col("id").alias("match_id"), F.col("embedding").alias("_known"))
+    similarity = F.round(cosine(F.col("_known"), F.col("embedding")), 6) + 0.0
+    best = incoming.join(known, F.col("about") == F.col("match_id")).withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("query_id", "match_id", "similarity")
+    return incoming.select("query_id").join(best, "query_id", "left")
+
+
 def evict(entities: DataFrame, stored_at: str, limit: int = 500_000, id_col: str = "id") -> DataFrame:
     """The ``limit`` most recently stored entities. Only ids and times are ordered, by range partitions."""
     scratch = Scratch(entities.sparkSession)

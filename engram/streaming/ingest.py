@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from engram.functions.text import lexical_contradiction, merge_content, resolve
-from engram.operators.vector import dedup_match
+from engram.operators.vector import dedup_match, named_match
 from engram.schema import Vocabulary
 
 
@@ -20,10 +20,15 @@ def ingest_batch(entities: DataFrame, incoming: DataFrame, v: Vocabulary = Vocab
     All matches are found against the state before the batch. A match without contradiction is merged; with one,
     the existing entity's confidence decides between keeping both, joined by an edge, and preferring the new one, which
     archives the old. Undeclared categories are rejected. ``detect`` and ``resolver`` may be replaced.
+
+    A column ``about`` names the entity that a row restates: the row matches that one or none, and is not searched for.
     """
     known = F.col("category").isin(*v.categories)
     rejected, good = incoming.where(~F.coalesce(known, F.lit(False))), incoming.where(known)
-    match = dedup_match(entities, good.select(F.col("id").alias("query_id"), "embedding"), threshold)
+    if "about" in incoming.columns:
+        match = named_match(entities, good.select(F.col("id").alias("query_id"), "embedding", "about"), threshold)
+    else:
+        match = dedup_match(entities, good.select(F.col("id").alias("query_id"), "embedding"), threshold)
     old = entities.select(F.col("id").alias("match_id"), F.col("content").alias("old_content"), F.col("confidence").alias("old_confidence"))
     both = good.join(match.withColumnRenamed("query_id", "id"), "id").join(old, "match_id", "left")
     action = F.when(F.col("match_id").isNull(), "create").when(detect(F.col("old_content"), F.col("content")), resolver(F.col("old_confidence"))).otherwise("merge")
