@@ -1,6 +1,6 @@
 """Exact vector search and similarity joins.
 
-The kernel is a matrix product over Arrow batches. Queries go to the workers in blocks of bounded size; every batch
+The kernel is a matrix product over slices of bounded size. Queries go to the workers in blocks of bounded size; every task
 keeps only its best k per query, so what is shuffled for the final ranking is small. Joins of all rows against all rows
 deal both sides into blocks and compare block pairs, so no task ever holds more than two blocks.
 """
@@ -108,16 +108,61 @@ def search_batch(entities: DataFrame, queries: DataFrame, k: int = 5, query_bloc
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Similarities computed at once: four bytes each.
+CELLS = 1 << 21
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a list column as one matrix of doubles; all rows must have one length."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of different dimension")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
+
+
+def candidates(x: np.ndarray, y: np.ndarray, floor: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, similarity)`` of unit rows: all that reach ``floor[i]``, or with ``k`` all that reach the k best of a row and it.
+
+    Products are formed in single precision, with a margin above its largest error, and again in double precision for what
+    is left; similarities are rounded to six digits. Not-a-number counts as the greatest, as in SQL.
+    """
+    near = x.astype(np.float32) @ y.astype(np.float32).T
+    margin = 2e-6 + 1.2e-7 * x.shape[1]
+    if k is not None and 0 < k < len(y):
+        low = floor == -np.inf
+        floor = floor.copy()
+        floor[low] = np.partition(near[low], len(y) - k, axis=1)[:, len(y) - k]
+    i, j = np.nonzero(~(near < (floor - margin).astype(np.float32)[:, None]))
+    exact = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 65536]], y[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+    return i, j, np.round(exact, 6) + 0.0
+
+
+def best_of(group: np.ndarray, ids: np.ndarray, similarity: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each group, groups ascending; ties go to the lesser id."""
+    order = np.lexsort((ids, np.where(np.isnan(similarity), -np.inf, -similarity), group))
+    ranked = group[order]
+    return order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < k]
+
+
 def _best(entities: DataFrame, ids: list, q: np.ndarray, k: int, id_col: str) -> DataFrame:
+    """Each task's k best for every query; slices of its rows meet all queries, and only those that beat the kth so far stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(ids, np.int64)
+        query, found, similarity = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor, rows = np.full(len(names), -np.inf), max(1, CELLS // len(names))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            sim = np.round(unit(batch.column(1).to_pylist()) @ q.T, 6) + 0.0
-            order = np.lexsort((np.broadcast_to(own[:, None], sim.shape), -sim), axis=0)[:k]
-            col = np.arange(len(ids))[None, :].repeat(len(order), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[col.ravel()]), pa.array(own[order.ravel()]), pa.array(sim[order.ravel(), col.ravel()])], ["query_id", "id", "similarity"])
+            own, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            for at in range(0, batch.num_rows, rows):
+                i, j, sim = candidates(q, unit(matrix(vectors.slice(at, rows))), floor, k)
+                query, found, similarity = np.concatenate([query, i]), np.concatenate([found, own[at + j]]), np.concatenate([similarity, sim])
+                kept = best_of(query, found, similarity, k)
+                query, found, similarity = query[kept], found[kept], similarity[kept]
+                last = np.arange(len(query)) - np.searchsorted(query, query) == k - 1
+                floor[query[last]] = similarity[last]
+        for at in range(0, len(query), 10_000):
+            part = slice(at, at + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(names[query[part]]), pa.array(found[part]), pa.array(similarity[part])], ["query_id", "id", "similarity"])
 
     return active(entities).select(F.col(id_col).cast("bigint"), "embedding").mapInArrow(run, "query_id bigint, id bigint, similarity double")
 
@@ -130,19 +175,21 @@ def compare_blocks(threshold: float | None = None, k: int | None = None):
         left, right = df[df.own == x], df[df.own == y]
         if left.empty or right.empty:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        u, v = unit(list(left.embedding)), unit(list(right.embedding))
+        sides = (left.id.to_numpy(), u), (right.id.to_numpy(), v)
         out = []
-        for p, q in ((left, right),) if x == y or k is None else ((left, right), (right, left)):
-            sim = np.round(unit(list(p.embedding)) @ unit(list(q.embedding)).T, 6) + 0.0
-            pi, qi = p.id.to_numpy(), q.id.to_numpy()
-            if k is None:
-                i, j = np.nonzero(sim >= threshold)
-                if x == y:
-                    i, j = i[pi[i] < qi[j]], j[pi[i] < qi[j]]
-                out.append(pd.DataFrame({"a": np.minimum(pi[i], qi[j]), "b": np.maximum(pi[i], qi[j]), "similarity": sim[i, j]}))
-            else:
-                order = np.lexsort((np.broadcast_to(qi, sim.shape), -sim), axis=1)[:, :k]
-                row = np.arange(len(pi))[:, None].repeat(order.shape[1], axis=1)
-                out.append(pd.DataFrame({"a": pi[row.ravel()], "b": qi[order.ravel()], "similarity": sim[row.ravel(), order.ravel()]}))
+        for (pi, p), (qi, q) in (sides,) if x == y or k is None else (sides, sides[::-1]):
+            rows = max(1, CELLS // len(q))
+            for at in range(0, len(p), rows):
+                part = p[at : at + rows]
+                i, j, sim = candidates(part, q, np.full(len(part), -np.inf if k is not None else threshold), k)
+                a, b = pi[at + i], qi[j]
+                if k is None:
+                    kept = (sim >= threshold) & ((x != y) | (a < b))
+                    out.append(pd.DataFrame({"a": np.minimum(a, b)[kept], "b": np.maximum(a, b)[kept], "similarity": sim[kept]}))
+                else:
+                    kept = best_of(i, b, sim, k)
+                    out.append(pd.DataFrame({"a": a[kept], "b": b[kept], "similarity": sim[kept]}))
         return pd.concat(out)
 
     return compare
