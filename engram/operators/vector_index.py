@@ -150,19 +150,38 @@ def probes_for(index: Index, share: float) -> Index:
     return replace(index, probes=max(1, int(np.ceil(share * len(index.directions)))))
 
 
-def _own_block(index: Index) -> F.Column:
+def _own_block(first: np.ndarray, pieces: np.ndarray) -> F.Column:
     """The block of a row of the index: its list's first block plus a hash of its id."""
-    first, pieces = (F.array(*[F.lit(int(x)) for x in a]) for a in (index.first, np.maximum(index.pieces, 1)))
-    return (F.get(first, F.col("list")) + F.pmod(F.xxhash64("id"), F.get(pieces, F.col("list")))).cast("int")
+    start, count = (F.array(*[F.lit(int(x)) for x in a]) for a in (first, np.maximum(pieces, 1)))
+    return (F.get(start, F.col("list")) + F.pmod(F.xxhash64("id"), F.get(count, F.col("list")))).cast("int")
 
 
-def _blocks_of(index: Index, reached: np.ndarray) -> pa.Array:
-    """Per row of a boolean matrix over lists, the numbers of all blocks of the lists in reach."""
-    lists = [np.concatenate([np.arange(index.first[i], index.first[i] + index.pieces[i]) for i in np.flatnonzero(row)] or [np.zeros(0, np.int64)]) for row in reached]
+def _blocks_of(first: np.ndarray, pieces: np.ndarray, reached: np.ndarray) -> pa.Array:
+    """Per row of a boolean matrix over lists, the numbers of all blocks of the lists in reach, each once."""
+    lists = [np.unique(np.concatenate([np.arange(first[i], first[i] + pieces[i]) for i in np.flatnonzero(row)] or [np.zeros(0, np.int64)])) for row in reached]
     ends = np.cumsum([0, *(len(x) for x in lists)])
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)))
 
 
+def packed(index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """``(first, pieces)``: blocks of lists where small lists of near directions share one, so that blocks are as many as rows
+    ask for and not as lists are. Each list is followed by the nearest one left."""
+    first, pieces, left = np.zeros(len(index.sizes), np.int64), index.pieces, np.ones(len(index.sizes), bool)
+    at, block, filled = 0, -1, index.block
+    for _ in range(len(index.sizes)):
+        left[at] = False
+        size = index.sizes[at]
+        if filled + size > index.block:
+            block, filled = block + 1, 0
+        first[at] = block
+        if size > index.block:
+            block, filled = block + pieces[at] - 1, index.block
+        else:
+            filled += size
+        at = int(np.argmax(np.where(left, index.directions @ index.directions[at], -np.inf)))
+    return first, pieces
+
+
 def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest rows of every query in the lists it reads: ``(query_id, id, similarity, rank)``.
 
@@ -180,14 +199,14 @@ def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
                 near = np.argsort(-(v @ bare.directions.T), axis=1, kind="stable")[:, : bare.probes]
                 reached = np.zeros((len(v), len(bare.directions)), bool)
                 np.put_along_axis(reached, near, True, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(v), _blocks_of(bare, reached)], ["query_id", "embedding", "blocks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(v), _blocks_of(bare.first, bare.pieces, reached)], ["query_id", "embedding", "blocks"])
 
     asked = queries.where(F.size("embedding") == dim).select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("embedding"))
     deals = max(1, -(-queries.count() * index.probes // max(1, len(index.directions) * index.block)))
     deal = F.pmod(F.xxhash64("query_id"), F.lit(int(deals))).cast("int").alias("deal")
     asked = asked.mapInArrow(reach, "query_id bigint, embedding array<double>, blocks array<int>").select("query_id", "embedding", F.explode("blocks").alias("block"), deal)
     met = asked.select(F.col("block").alias("b"), F.col("deal").alias("d")).distinct()
-    rows = index.rows.select("id", "embedding", _own_block(index).alias("own")).join(met, F.col("own") == F.col("b")).select("id", "embedding", F.col("b").alias("block"), F.col("d").alias("deal"))
+    rows = index.rows.select("id", "embedding", _own_block(index.first, index.pieces).alias("own")).join(met, F.col("own") == F.col("b")).select("id", "embedding", F.col("b").alias("block"), F.col("d").alias("deal"))
 
     def best(_: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
@@ -208,15 +227,16 @@ def meetings(index: Index, threshold: float) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie above 0 and at most at 1")
     bare = replace(index, rows=None)
+    first, pieces = packed(index)
     widest = np.arccos(max(-1.0, threshold - ROUNDED)) + bare.radii + 1e-6
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 angle = np.arccos(np.clip(_vectors(batch.column(1)) @ bare.directions.T, -1, 1))
-                yield pa.RecordBatch.from_arrays([*batch.columns, _blocks_of(bare, angle <= widest)], ["id", "embedding", "own", "others"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, _blocks_of(first, pieces, angle <= widest)], ["id", "embedding", "own", "others"])
 
-    rows = index.rows.select("id", "embedding", _own_block(index).alias("own")).mapInArrow(reach, "id bigint, embedding array<double>, own int, others array<int>")
+    rows = index.rows.select("id", "embedding", _own_block(first, pieces).alias("own")).mapInArrow(reach, "id bigint, embedding array<double>, own int, others array<int>")
     return rows.withColumn("other", F.explode("others")).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "embedding")
 
 
