@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ByteType
 
 #: Negation phrases, English then Russian.
 NEGATIONS = (
@@ -42,6 +43,7 @@ def negation_flip(a: Column, b: Column) -> Column:
     return out
 
 
+@lru_cache(1 << 16)
 def stem(word: str) -> str:
     """A Cyrillic word without its first listed suffix, if three letters remain; other words as they are."""
     if not any("Ѐ" <= c <= "ӿ" for c in word):
@@ -53,20 +55,34 @@ def stemmed(text: str | None) -> str:
     return " ".join(stem(w) for w in unicodedata.normalize("NFC", text or "").lower().split())
 
 
-@F.pandas_udf(BooleanType())
-def stemmed_flip(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The negative particle stands in one stemmed text only, where stemming changed one of them. Needs NFC, hence Arrow."""
-    for a, b in pairs:
+@F.pandas_udf(ByteType())
+def stem_marks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """1 if stemming changes the text, plus 2 if the negative particle stands in the stemmed one. Needs NFC, hence Arrow."""
+    for a in texts:
         out = []
-        for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
-            sx, sy = stemmed(x), stemmed(y)
-            out.append((sx != x.lower() or sy != y.lower()) and (PARTICLE in sx) != (PARTICLE in sy))
-        yield pd.Series(out)
+        for x in a.fillna(""):
+            s = stemmed(x)
+            out.append((s != x.lower()) + 2 * (PARTICLE in s))
+        yield pd.Series(out, dtype="int8")
+
+
+def lexical_marks(a: Column) -> Column:
+    """What ``marks_contradict`` needs of one text: the phrases in it as bits, null without text, and its stem marks."""
+    low = F.lower(a)
+    phrases = [F.contains(low, F.lit(n)).cast("bigint") * F.lit(1 << i) for i, n in enumerate(NEGATIONS)]
+    return F.struct(sum(phrases[1:], phrases[0]).alias("phrases"), stem_marks(a).alias("stems"))
+
+
+def marks_contradict(a: Column, b: Column) -> Column:
+    """A phrase in one text only, or the negative particle in one stemmed text only, where stemming changed one of them."""
+    changed = a["stems"].bitwiseOR(b["stems"]).bitwiseAND(F.lit(1).cast("tinyint")) == 1
+    particle = a["stems"].bitwiseXOR(b["stems"]).bitwiseAND(F.lit(2).cast("tinyint")) == 2
+    return F.coalesce((a["phrases"] != b["phrases"]) | (changed & particle), F.lit(False))
 
 
 def lexical_contradiction(a: Column, b: Column) -> Column:
-    """Phrases first, then the stemmed particle."""
-    return F.coalesce(negation_flip(a, b) | stemmed_flip(a, b), F.lit(False))
+    """Phrases first, then the stemmed particle. Where a text meets others in a join, its ``lexical_marks`` are enough."""
+    return marks_contradict(lexical_marks(a), lexical_marks(b))
 
 
 def embedding_contradiction(similarity: Column, a: Column, b: Column, threshold: float = 0.8) -> Column:
