@@ -49,7 +49,8 @@ def _solve(graph: DataFrame, scratch: Scratch, name: str, turn: int) -> DataFram
     inner = scratch.save(_solve(core, scratch, name, turn + 1), f"{name}_{turn}_inner")
     side = lambda x: inner.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     live = forks.where("b <> top").join(side("a"), "a").join(side("top"), "top").where("c_a = c_top").select(F.col("b").alias("node"), F.col("c_a").alias("component")).distinct()
-    for k, hop in enumerate(hops):  # steps of 1, 2, 4, ... reach every node further down the chain
+    live = scratch.save(live, f"{name}_{turn}_live")
+    for k, hop in enumerate([] if live.isEmpty() else hops):  # steps of 1, 2, 4, ... reach every node further down the chain
         live = scratch.save(live.union(live.join(hop.where("open").select(F.col("v").alias("node"), "to"), "node").select("to", "component")).distinct(), f"{name}_{turn}_live{k}")
     return inner.union(live).union(rings)
 
@@ -64,9 +65,9 @@ def _chains(one: DataFrame, scratch: Scratch, name: str) -> tuple[list[DataFrame
     hop = scratch.save(one.join(known, "to", "left").select("v", "to", F.coalesce("open", F.lit(False)).alias("open"), F.col("v").alias("least")), f"{name}_hop0")
     hops, before = [], None
     while True:
-        on = F.when(F.col("open"), F.col("to"))
-        now = tuple(hop.agg(F.count(on), F.count_distinct(on), F.sum(F.xxhash64("least").cast("decimal(38,0)"))).first())
-        if not now[0] or now == before:
+        n = hop.where("open").count()
+        now = (n, *_turning(hop)) if before and n == before[0] else (n,)  # while pointers close, the rest need not be looked at
+        if not n or now == before:
             break
         hops, before = [*hops, hop], now
         ahead = hop.select(F.col("v").alias("to"), F.col("to").alias("to2"), F.col("open").alias("open2"), F.col("least").alias("least2"))
@@ -76,6 +77,11 @@ def _chains(one: DataFrame, scratch: Scratch, name: str) -> tuple[list[DataFrame
     return hops, hop, hop.join(on, "v", "left_semi").select(F.col("v").alias("node"), F.col("least").alias("component"))
 
 
+def _turning(hop: DataFrame) -> tuple:
+    """How many targets the open pointers have, and a digest of the least nodes."""
+    return tuple(hop.where("open").agg(F.count_distinct("to"), F.sum(F.xxhash64("least").cast("decimal(38,0)"))).first())
+
+
 def _peel(graph: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     out, n, i = [], graph.count(), 0
     while n:
@@ -122,8 +128,15 @@ def _colours(graph: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return colour
 
 
-def links(edges: DataFrame, *more: str) -> DataFrame:
-    """Edges between (relation, id) pairs, with the columns ``more``: relations do not mix."""
+def links(edges: DataFrame, *more: str, kinds: DataFrame | None = None) -> DataFrame:
+    """Edges between (relation, id) pairs, with the columns ``more``: relations do not mix.
+
+    With ``kinds(kind)`` only edges of these relations; where it is one, the id alone stands for the pair.
+    """
+    if kinds is not None:
+        edges = edges.join(kinds, F.col("relation_type").eqNullSafe(F.col("kind")), "left_semi")
+    if kinds is not None and kinds.count() == 1:
+        return edges.select(*KEY, F.col("source_id").alias("a"), F.col("target_id").alias("b"), *more)
     end = lambda c, name: F.when(F.col(c).isNotNull(), F.struct(F.col("relation_type").alias("relation"), F.col(c).alias("id"))).alias(name)
     return edges.select(*KEY, end("source_id", "a"), end("target_id", "b"), *more)
 
@@ -140,8 +153,9 @@ def closing(edges: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
 
     Of several new edges that close one cycle only together, all are returned; ``accepted`` takes them in order.
     """
-    want = scratch.save(links(new).distinct(), "cycle_new")
-    components = strongly_connected(links(edges).union(want), scratch, "cycle")
+    kinds = scratch.save(new.select(F.col("relation_type").alias("kind")).distinct(), "cycle_kinds")
+    want = scratch.save(links(new, kinds=kinds).distinct(), "cycle_new")
+    components = strongly_connected(links(edges, kinds=kinds).union(want), scratch, "cycle")
     return _inside(want, components).where("component is not null").select(*KEY)
 
 
@@ -156,8 +170,9 @@ def accepted(edges: DataFrame, new: DataFrame, order: str, scratch: Scratch) ->
     """
     if order not in new.columns:
         raise ValueError(f"no column {order}")
-    have = scratch.save(links(edges).select("a", "b").distinct(), "order_have0")
-    todo = links(new, order).groupBy(*KEY, "a", "b").agg(F.min(order).alias("at"))
+    kinds = scratch.save(new.select(F.col("relation_type").alias("kind")).distinct(), "order_kinds")
+    have = scratch.save(links(edges, kinds=kinds).select("a", "b").distinct(), "order_have0")
+    todo = links(new, order, kinds=kinds).groupBy(*KEY, "a", "b").agg(F.min(order).alias("at"))
     old = strongly_connected(have, scratch, "order_old")
     todo = scratch.save(_inside(todo, old).where("component is null").drop("component"), "order_todo0")
     taken, i = [], 0
